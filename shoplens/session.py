@@ -27,7 +27,12 @@ def configure(spark: SparkSession) -> SparkSession:
 
 def build_session(app_name: str, master: str | None = None, **conf: str) -> SparkSession:
     """A session for scripts and tests; on a cluster ``master`` comes from spark-submit."""
-    builder = SparkSession.builder.appName(app_name).config("spark.ui.enabled", "false")
+    builder = (
+        SparkSession.builder.appName(app_name)
+        .config("spark.ui.enabled", "false")
+        # Recording the Python call site of every column costs more than small plans take to run.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+    )
     if master:
         builder = builder.master(master)
     for key, value in {**RUNTIME_CONF, **conf}.items():

@@ -15,7 +15,7 @@ from shoplens.plans import funnel, landing, product, summary, variation, visitor
 from shoplens.session import shared_dir
 from shoplens.sources import documents, tables
 from shoplens.streaming import jobs
-from shoplens.testbed.views import Testbed, order_seconds
+from shoplens.testbed.views import DRIVER_TABLES, Testbed, order_seconds
 
 WINDOW = ReportWindow("2024-01-03T00-00-00", "2024-01-28T23-59-59")
 DAYS = RecentDays(dt.datetime(2024, 1, 15, 7, 30))
@@ -465,8 +465,7 @@ class StreamingTestbed(Testbed):
 
     def raw(self, name: str) -> DataFrame:
         # As a pattern the path may be one file or a folder of files.
-        schema = super().raw(name).schema
-        return self.spark.readStream.schema(schema).parquet(f"{self.sf_dir}/{name}.parquet*")
+        return self.spark.readStream.schema(DRIVER_TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet*")
 
 
 def _stream(t: Testbed) -> tuple[StreamingTestbed, str, str]:
