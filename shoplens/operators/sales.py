@@ -88,12 +88,8 @@ def attributed_sales(
     cart_orders = lines.groupBy("client_id", "cart_token", "order_id", "last_update").agg(
         F.sum(line_value()).alias("value")
     )
-    cart_last = (
-        paid(orders)
-        .filter(F.col("cart_token").isNotNull())
-        .groupBy("client_id", "cart_token")
-        .agg(F.max("updated_at").alias("cart_update"))
-    )
+    # From the same grouped lines, so both uses share one scan and shuffle of the orders.
+    cart_last = lines.groupBy("client_id", "cart_token").agg(F.max("last_update").alias("cart_update"))
     buying = (
         cart_sessions(cookies)
         .join(cart_last, ["client_id", "cart_token"])

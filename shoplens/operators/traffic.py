@@ -30,6 +30,9 @@ def first_touch(visits: DataFrame) -> DataFrame:
     rank = F.array_position(F.array(*[F.lit(p) for p in ENTRY_PAGES]), F.col("event_name")) - 1
     packed = F.unix_micros("creation_time") * len(ENTRY_PAGES) + rank
     width = F.lit(len(ENTRY_PAGES))
+    pages = F.array(*[F.lit(p) for p in ENTRY_PAGES])
+    first_rank = F.pmod(F.col("_first"), width)
+    first_micros = F.call_function("div", F.col("_first") - first_rank, width)
     return (
         visits.filter(F.col("event_name").isin(*ENTRY_PAGES))
         .groupBy("client_id", "session_id")
@@ -37,11 +40,8 @@ def first_touch(visits: DataFrame) -> DataFrame:
         .select(
             "client_id",
             "session_id",
-            F.element_at(
-                F.array(*[F.lit(p) for p in ENTRY_PAGES]),
-                (F.pmod(F.col("_first"), width) + 1).cast("int"),
-            ).alias("event_name"),
-            F.timestamp_micros(F.call_function("div", F.col("_first"), width)).alias("first_time"),
+            F.element_at(pages, (first_rank + 1).cast("int")).alias("event_name"),
+            F.timestamp_micros(first_micros).alias("first_time"),
         )
     )
 

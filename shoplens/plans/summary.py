@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.stats import chi_square_confidence, pooled_chi_square, required_sample_size
@@ -11,59 +11,46 @@ from shoplens.operators.experiments import experiment_span
 EXPERIMENT = ["client_id", "experiment_id"]
 
 
-def ab_evaluation(table: DataFrame) -> DataFrame:
+def ab_evaluation(goals: DataFrame) -> DataFrame:
     """One row per experiment with its best arm, compared with every other arm.
 
-    Confidence is the product over the other arms of one minus the chi-square tail; it is null
-    when any comparison is undefined, for example against an arm without visitors.
+    ``goals`` is the goal table (or the conversion table): one row per arm. Confidence is the
+    product over the other arms of one minus the chi-square tail; it is null when any
+    comparison is undefined, for example against an arm without visitors.
     """
     rate = F.col("goal_conversion_count") / (F.col("num_visitor") + F.lit(0.01))
-    arms = table.select(
-        *EXPERIMENT,
+    best = F.struct(
+        (-F.col("rate")).alias("order"),
         "variation_id",
         "variation_name",
-        "num_session",
-        "num_visitor",
-        "goal_conversion_count",
-        rate.alias("rate"),
-    )
-    first_best = F.min(
-        F.struct(
-            (-F.col("rate")).alias("order"),
-            "variation_id",
-            "variation_name",
-            F.col("goal_conversion_count").alias("c"),
-            F.col("num_visitor").alias("n"),
-        )
+        F.col("goal_conversion_count").alias("c"),
+        F.col("num_visitor").alias("n"),
     )
-    totals = arms.groupBy(*EXPERIMENT).agg(
-        first_best.alias("best"),
-        F.count(F.lit(1)).alias("arms"),
-        F.sum("num_session").alias("sessions"),
-        F.sum("num_visitor").alias("visitors"),
+    # A window instead of a self-join: the counts below are computed once.
+    arms = goals.withColumn("rate", rate).withColumn(
+        "best", F.min(best).over(Window.partitionBy(*EXPERIMENT))
     )
-    others = (
-        arms.join(totals, EXPERIMENT)
-        .filter(F.col("variation_id") != F.col("best.variation_id"))
-        .withColumn(
-            "x",
-            pooled_chi_square(
-                F.col("best.c"), F.col("best.n"), F.col("goal_conversion_count"), F.col("num_visitor")
-            ),
-        )
+    other = F.col("variation_id") != F.col("best.variation_id")
+    x = pooled_chi_square(F.col("best.c"), F.col("best.n"), F.col("goal_conversion_count"), F.col("num_visitor"))
+    totals = (
+        arms.withColumn("x", F.when(other, x))
         .withColumn("confidence", chi_square_confidence("x"))
         .groupBy(*EXPERIMENT)
         .agg(
+            F.any_value("best").alias("best"),
+            F.count(F.lit(1)).alias("arms"),
+            F.sum("num_session").alias("sessions"),
+            F.sum("num_visitor").alias("visitors"),
             F.product("confidence").alias("confidence"),
-            F.max(F.col("x").isNull()).alias("undefined"),
             F.sum("x").alias("chi_square_sum"),
-            F.sum(F.col("rate").cast("decimal(38,18)")).alias("other_rates"),
+            F.max(other & F.col("x").isNull()).alias("undefined"),
+            F.sum(F.when(other, F.col("rate").cast("decimal(38,18)"))).alias("other_rates"),
         )
     )
     best_rate = -F.col("best.order")
-    mean_other = F.col("other_rates").cast("double") / (F.col("arms") - 1)
-    defined = ~F.coalesce(F.col("undefined"), F.lit(True))
-    return totals.join(others, EXPERIMENT, "left").select(
+    mean_other = F.try_divide(F.col("other_rates").cast("double"), F.col("arms") - 1)
+    defined = ~F.col("undefined")
+    return totals.select(
         *EXPERIMENT,
         "arms",
         "sessions",
@@ -81,16 +68,16 @@ def ab_evaluation(table: DataFrame) -> DataFrame:
 def experiment_summary(
     experiments: DataFrame,
     events: DataFrame,
-    table: DataFrame,
+    goals: DataFrame,
     confidence_cap: float = 99.99,
     confidence_threshold: float = 95.0,
 ) -> DataFrame:
     """Status of every experiment: insufficient, pending, no_clear_winner or winner.
 
-    ``table`` is the conversion table. Confidence is capped before it is compared, and a
+    ``goals`` is the goal table. Confidence is capped before it is compared, and a
     sample that is exactly complete still counts as pending.
     """
-    evaluated = experiment_span(experiments, events).join(ab_evaluation(table), EXPERIMENT, "left")
+    evaluated = experiment_span(experiments, events).join(ab_evaluation(goals), EXPERIMENT, "left")
     missing = F.col("required_sessions") - F.col("sessions")
     per_day = F.try_divide(F.col("sessions"), F.col("num_hour") + 1) * 24
     days = F.try_divide(F.col("remaining_sessions"), per_day)

@@ -16,6 +16,15 @@ def _or_zero(name: str, kind: str = "bigint") -> Column:
     return F.coalesce(name, F.lit(0).cast(kind)).alias(name)
 
 
+def goal_table(variations: DataFrame, events: DataFrame) -> DataFrame:
+    """Served sessions, visitors and goal conversions of every variation, zero where none."""
+    return (
+        variation_list(variations)
+        .join(variation_event_counts(events), ARM, "left")
+        .select(*ARM, "variation_name", *[_or_zero(c) for c in ["num_session", "num_visitor", "goal_conversion_count"]])
+    )
+
+
 def conversion_table(
     variations: DataFrame, experiments: DataFrame, events: DataFrame, orders: DataFrame, cookies: DataFrame
 ) -> DataFrame:
@@ -23,17 +32,13 @@ def conversion_table(
 
     A variation of an unknown experiment keeps its event counts and has no sales.
     """
-    counts = ["num_session", "num_visitor", "goal_conversion_count", "sales_conversion_count", "order_count"]
-    base = (
-        variation_list(variations)
-        .join(variation_event_counts(events), ARM, "left")
-        .join(attributed_sales(orders, cookies, events, experiment_start(experiments)), ARM, "left")
-        .select(
-            *ARM,
-            "variation_name",
-            *[_or_zero(c) for c in counts],
-            _or_zero("total_order_value", "decimal(38,2)"),
-        )
+    goals = goal_table(variations, events)
+    sold = attributed_sales(orders, cookies, events, experiment_start(experiments))
+    base = goals.join(sold, ARM, "left").select(
+        *goals.columns,
+        _or_zero("sales_conversion_count"),
+        _or_zero("order_count"),
+        _or_zero("total_order_value", "decimal(38,2)"),
     )
     return base.select(
         "*",

@@ -371,13 +371,9 @@ def attributed_sales(t: Testbed) -> DataFrame:
     return shown(sales.attributed_sales(t.orders, t.cookies, t.events, starts))
 
 
-def _table(t: Testbed) -> DataFrame:
-    return variation.conversion_table(t.variations, t.experiments, t.events, t.orders, t.cookies)
-
-
 @query
 def conversion_table(t: Testbed) -> DataFrame:
-    return _table(t)
+    return variation.conversion_table(t.variations, t.experiments, t.events, t.orders, t.cookies)
 
 
 @query
@@ -388,13 +384,13 @@ def experiment_span(t: Testbed) -> DataFrame:
 @query
 def ab_evaluation(t: Testbed) -> DataFrame:
     rounded = ["best_rate", "chi_square_sum", "confidence", "betterness"]
-    ev = summary.ab_evaluation(_table(t))
+    ev = summary.ab_evaluation(variation.goal_table(t.variations, t.events))
     return ev.select(*[F.round(c, 6).alias(c) if c in rounded else F.col(c) for c in ev.columns])
 
 
 @query
 def experiment_summary(t: Testbed) -> DataFrame:
-    return summary.experiment_summary(t.experiments, t.events, _table(t))
+    return summary.experiment_summary(t.experiments, t.events, variation.goal_table(t.variations, t.events))
 
 
 def _requests(t: Testbed) -> DataFrame:
