@@ -11,6 +11,7 @@ from shoplens.operators.sales import order_totals, session_orders
 
 # Fixed visitor attributes the report breaks sales down by.
 DIMENSIONS = ["device", "browser", "os"]
+MAX_REGIONS = 10_000
 MEASURES = ["session_count", "visitor_count", "sales_conversion_count", "order_count"]
 
 
@@ -119,13 +120,15 @@ def sales_by_dimension(joined: DataFrame) -> DataFrame:
 def sales_by_region(joined: DataFrame, regions: DataFrame) -> DataFrame:
     """Measures of every reference region for each tenant with visitors, zero where none.
 
-    The region reference is one fixed small file; it reaches each tenant row as an array.
+    The region reference is one small file that reaches each tenant row as an array. Its size
+    is checked: a longer one fails the job rather than losing regions.
     """
     key = ["client_id", "region"]
     found = _measures(_per_session(joined.filter(F.col("region").isNotNull()), key), key)
-    reference = regions.agg(
-        F.array_sort(F.collect_list(F.struct("region_name", "id", "type", "geometry"))).alias("r")
-    ).scalar()
+    found_all = F.count(F.lit(1)) <= MAX_REGIONS
+    too_many = F.raise_error(F.lit(f"the region reference has more than {MAX_REGIONS} rows"))
+    listed = F.array_sort(F.collect_list(F.struct("region_name", "id", "type", "geometry")))
+    reference = regions.limit(MAX_REGIONS + 1).agg(F.when(found_all, listed).otherwise(too_many).alias("r")).scalar()
     grid = joined.select("client_id").distinct().select("client_id", F.inline(reference))
     zero = {c: 0 for c in MEASURES}
     filled = (

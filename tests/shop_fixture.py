@@ -71,14 +71,16 @@ def _order(key, email, token, updated, landing, items):
 def order_page():
     """Five paid orders of two lines each."""
     when = "2020-06-04T14:58:55-04:00"
-    common = [_item(11, 2, 1, "449.00"), _item(22, 2, 2, "449.00")]
-    other = [_item(11, 2, 1, "449.00"), _item(31, 2, 3, "449.00")]
+
+    def items(variant, product):
+        return [_item(11, 2, 1, "449.00"), _item(variant, 2, product, "449.00")]
+
     return [
-        _order(1, "email_1", "cart_1", when, "/", common),
-        _order(2, "email_2", "cart_2", when, "/", common),
-        _order(3, "email_1", "cart_3", when, "/", common),
-        _order(4, "email_3", "cart_4", when, "/products/handle_3", other),
-        _order(5, "email_2", "cart_2", when, "/collections/all", common),
+        _order(1, "email_1", "cart_1", when, "/", items(22, 2)),
+        _order(2, "email_2", "cart_2", when, "/", items(22, 2)),
+        _order(3, "email_1", "cart_3", when, "/", items(22, 2)),
+        _order(4, "email_3", "cart_4", when, "/products/handle_3", items(31, 3)),
+        _order(5, "email_2", "cart_2", when, "/collections/all", items(22, 2)),
     ]
 
 
