@@ -7,7 +7,7 @@ open part and the newest ranges only, never the history.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.operators.merge import upsert_orders, upsert_products
@@ -16,6 +16,7 @@ from shoplens.session import shared_dir
 
 ORDERS_PER_RANGE = 10_000_000
 CLIENT_BUCKETS = 64
+MAX_LISTED_FOLDERS = 10_000
 
 LAYOUT: dict[str, list[str]] = {
     **{table: ["day"] for table in EVENT_TIME},
@@ -94,28 +95,31 @@ def replace_folders(df: DataFrame, root: str, table: str, touched: DataFrame) ->
     _drop_folder(spark, staged)
 
 
-def _touched_part(target: DataFrame, folders: DataFrame, cols: list[str]) -> DataFrame:
-    """The part of the table in those folders; the small list of folders prunes the scan."""
-    return target.join(folders, cols, "left_semi")
+def _merge(spark: SparkSession, root: str, table: str, batch: DataFrame, column: str, upsert, always: Column) -> None:
+    """Upsert a batch, rewriting the folders it falls into and those that ``always`` selects.
+
+    Folder numbers are few and become literals, so that the scan is pruned. Should a batch
+    ever span too many, the whole table counts as touched.
+    """
+    target = read_table(spark, root, table)
+    # Parsed once: the batch is listed, matched and written below.
+    incoming = with_layout(batch, table).persist()
+    try:
+        found = incoming.select(column).distinct().limit(MAX_LISTED_FOLDERS + 1).collect()
+        if not found:
+            return
+        if len(found) <= MAX_LISTED_FOLDERS:
+            target = target.filter(F.col(column).isin([r[0] for r in found]) | always)
+        replace_folders(upsert(target, incoming), root, table, target)
+    finally:
+        incoming.unpersist()
 
 
 def merge_orders(spark: SparkSession, root: str, batch: DataFrame) -> None:
-    """Upsert a sync batch into the stored orders, rewriting only the folders it touches."""
-    target = read_table(spark, root, "orders")
-    incoming = with_layout(batch, "orders")
-    cols = LAYOUT["orders"]
-    # An order may move from open to paid, so both folders of each range count as touched.
-    both = F.explode(F.array(F.lit(True), F.lit(False))).alias("open")
-    either = incoming.select("order_range").distinct().select(both, "order_range")
-    open_folders = target.filter("open").select(*cols).distinct()
-    folders = either.union(open_folders).distinct()
-    part = _touched_part(target, folders, cols)
-    replace_folders(upsert_orders(part, incoming), root, "orders", part)
+    """Upsert a sync batch into the stored orders: open ones, and the id ranges it names."""
+    _merge(spark, root, "orders", batch, "order_range", upsert_orders, F.col("open"))
 
 
 def merge_products(spark: SparkSession, root: str, batch: DataFrame) -> None:
     """Upsert product variants into the stored products."""
-    target = read_table(spark, root, "products")
-    incoming = with_layout(batch, "products")
-    part = _touched_part(target, incoming.select("client_bucket").distinct(), ["client_bucket"])
-    replace_folders(upsert_products(part, incoming), root, "products", part)
+    _merge(spark, root, "products", batch, "client_bucket", upsert_products, F.lit(False))

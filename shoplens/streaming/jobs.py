@@ -40,14 +40,18 @@ def append_stream(rows: DataFrame, root: str, table: str, checkpoint: str, once:
 
 
 def dedup_cookie_stream(
-    rows: DataFrame, path: str, checkpoint: str, delay: str = "1 day", once: bool = True
+    rows: DataFrame, path: str, checkpoint: str, delay: str | None = "1 day", once: bool = True
 ) -> StreamingQuery:
-    """First cookie of each (session, cart) within the delay; state is bounded by the delay."""
-    first = (
-        rows.filter(filled(F.col("session_id")) & filled(F.col("cart_token")))
-        .withWatermark("creation_time", delay)
-        .dropDuplicatesWithinWatermark(COOKIE_KEY)
-    )
+    """First cookie of each (session, cart) to arrive.
+
+    With a delay the state holds only the keys of that long; without one every key is kept on
+    the executors' disks, and no micro-batch has to read what was stored before.
+    """
+    known = rows.filter(filled(F.col("session_id")) & filled(F.col("cart_token")))
+    if delay is None:
+        first = known.dropDuplicates(COOKIE_KEY)
+    else:
+        first = known.withWatermark("creation_time", delay).dropDuplicatesWithinWatermark(COOKIE_KEY)
     writer = first.writeStream.outputMode("append").format("parquet").option("path", path)
     return _start(writer, checkpoint, once)
 
@@ -61,7 +65,11 @@ def _batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def unique_cookie_stream(rows: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """First cookie of each (session, cart) ever, checked against what earlier batches stored."""
+    """Earliest cookie of each (session, cart) of the batch that first held it.
+
+    Checked against what earlier batches stored, so there is no state, but each micro-batch
+    reads the stored keys: for few large batches rather than many small ones.
+    """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         stored = _batches(batch.sparkSession, path, ddl("cookies")).filter(F.col("batch_id") != batch_id)
@@ -146,8 +154,9 @@ def daily_visitor_stream(events: DataFrame, root: str, checkpoint: str, once: bo
         rows = with_layout(batch, "events")
         rows.write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch_id={batch_id}")
         stored = spark.read.schema(f"{ddl('events')}, batch_id bigint, day date").parquet(store)
-        days = stored.filter(F.col("batch_id") == batch_id).select("day").distinct()
-        counts = event_counts(stored.join(days, "day", "left_semi"), "day").drop("served_rows")
+        # Calendar days of one micro-batch, as literals so that only their folders are read.
+        days = [r.day for r in stored.filter(F.col("batch_id") == batch_id).select("day").distinct().toLocalIterator()]
+        counts = event_counts(stored.filter(F.col("day").isin(days)), "day").drop("served_rows")
         counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(
             f"{root}/visitors_by_day"
         )
@@ -161,3 +170,30 @@ def read_daily_visitors(spark: SparkSession, root: str) -> DataFrame:
         "num_visitor bigint, goal_conversion_count bigint, day date"
     )
     return spark.read.schema(schema).parquet(f"{root}/visitors_by_day")
+
+
+def new_visitor_stream(
+    events: DataFrame, path: str, checkpoint: str, delay: str | None = None, once: bool = True
+) -> StreamingQuery:
+    """Distinct visitors per variation, event and UTC day, counted as they first appear.
+
+    The state drops a session seen before on that day; each micro-batch adds only its new
+    ones, so no day is read again. ``delay`` bounds the state and drops later rows.
+    """
+    key = ["day", *ARM, "event_name", "session_id"]
+    known = events.filter(F.col("session_id").isNotNull()).withColumn("day", F.to_date("creation_time"))
+    if delay is None:
+        first = known.dropDuplicates(key)
+    else:
+        first = known.withWatermark("creation_time", delay).dropDuplicatesWithinWatermark(key)
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        added = batch.groupBy("day", *ARM, "event_name").agg(F.count(F.lit(1)).alias("visitors"))
+        added.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _start(first.writeStream.foreachBatch(on_batch), checkpoint, once)
+
+
+def read_new_visitors(spark: SparkSession, path: str) -> DataFrame:
+    schema = "day date, client_id string, experiment_id string, variation_id string, event_name string, visitors bigint"
+    return _batches(spark, path, schema).groupBy("day", *ARM, "event_name").agg(F.sum("visitors").alias("visitors"))

@@ -646,6 +646,10 @@ BODIES = {
         SELECT CAST(CAST(creation_time AS DATE) AS VARCHAR) AS day, client_id, experiment_id, variation_id, event_name,
             count(*) AS events
         FROM exp_events GROUP BY ALL""",
+    "stream_new_visitors": """
+        SELECT CAST(CAST(creation_time AS DATE) AS VARCHAR) AS day, client_id, experiment_id, variation_id, event_name,
+            count(DISTINCT session_id) AS visitors
+        FROM exp_events GROUP BY ALL""",
     "stream_daily_visitors": """
         SELECT CAST(CAST(creation_time AS DATE) AS VARCHAR) AS day, client_id, experiment_id, variation_id,
             count(session_id) FILTER (event_name = 'served') AS num_session,

@@ -512,3 +512,10 @@ def stream_daily_visitors(t: Testbed) -> DataFrame:
     live, root, progress = _stream(t)
     jobs.daily_visitor_stream(live.events, root, progress).awaitTermination()
     return shown(jobs.read_daily_visitors(t.spark, root))
+
+
+@query
+def stream_new_visitors(t: Testbed) -> DataFrame:
+    live, root, progress = _stream(t)
+    jobs.new_visitor_stream(live.events, root, progress).awaitTermination()
+    return shown(jobs.read_new_visitors(t.spark, root))

@@ -145,6 +145,23 @@ def test_stored_orders_merge(spark, tmp_path):
     assert not [p for p in (tmp_path / "orders").rglob("open=true/*/*.parquet")]
 
 
+def test_merge_reads_only_touched_folders(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    old = shop.order_page()
+    for i, o in enumerate(old):
+        o["id"] = tables.ORDERS_PER_RANGE * i
+    tables.merge_orders(spark, root, batch_of(spark, old, []))
+    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "orders").rglob("*.parquet")}
+    assert len(before) == 5
+    tables.merge_orders(spark, root, batch_of(spark, old[:1], []))
+    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "orders").rglob("*.parquet")}
+    assert len(set(before.items()) & set(after.items())) == 4 and len(after) == 5
+    # Beyond the listing limit the whole table is rewritten, with the same result.
+    monkeypatch.setattr(tables, "MAX_LISTED_FOLDERS", 2)
+    tables.merge_orders(spark, root, batch_of(spark, old[:4], []))
+    assert tables.read_table(spark, root, "orders").count() == 10
+
+
 def test_stored_products_merge(spark, tmp_path):
     root = str(tmp_path)
     full = feeds.product_rows(shop.pages(spark, "products", shop.product_page()))

@@ -80,10 +80,11 @@ def test_cookie_dedup_forever(spark, landing):
     assert rows_of(got, "session_id", "cart_token", "h") == [("s1", "c1", 0), ("s1", "c2", 2), ("s2", "c1", 3)]
 
 
-def test_cookie_dedup_within_delay(spark, landing):
+@pytest.mark.parametrize("delay", ["1 day", None])
+def test_cookie_dedup_within_delay(spark, landing, delay):
     landing.put("cookies", cookies(("s1", "c1", 1), ("s1", "c1", 2), ("s2", "c1", 2)))
     landing.put("cookies", cookies(("s1", "c1", 3), ("s3", "c1", 3)))
-    query = jobs.dedup_cookie_stream(landing.stream("cookies"), landing.root, landing.progress)
+    query = jobs.dedup_cookie_stream(landing.stream("cookies"), landing.root, landing.progress, delay)
     query.awaitTermination()
     got = spark.read.parquet(landing.root)
     assert rows_of(got, "session_id", "cart_token") == [("s1", "c1"), ("s2", "c1"), ("s3", "c1")]
@@ -111,6 +112,20 @@ def test_daily_visitors_are_exact_with_late_rows(spark, landing):
     assert rows_of(got, *batch.columns) == rows_of(batch)
 
 
+@pytest.mark.parametrize("delay", ["30 days", None])
+def test_new_visitors(spark, landing, delay):
+    for day in (5, 6, 0, 5):
+        landing.put("events", event_rows(60, day))
+        jobs.new_visitor_stream(landing.stream("events"), landing.root, landing.progress, delay).awaitTermination()
+    batch = (
+        landing.batch("events")
+        .filter("session_id is not null")
+        .groupBy(F.to_date("creation_time").alias("day"), "client_id", "experiment_id", "variation_id", "event_name")
+        .agg(F.count_distinct("session_id").alias("visitors"))
+    )
+    assert rows_of(jobs.read_new_visitors(spark, landing.root), *batch.columns) == rows_of(batch)
+
+
 def test_order_and_product_sync(spark, landing, tmp_path):
     pages = tmp_path / "pages"
     pages.mkdir()
