@@ -14,7 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from shoplens.functions.text import filled
 from shoplens.functions.timeutil import iso_to_time
 from shoplens.operators.experiments import ARM, event_counts
-from shoplens.operators.feeds import ORDER_REQUIRED, PRODUCT_REQUIRED, complete, order_batch, product_rows
+from shoplens.operators.feeds import ORDER_REQUIRED, PRODUCT_REQUIRED, complete, entries_of, order_batch, product_rows
 from shoplens.operators.merge import new_cookies
 from shoplens.schemas import ddl
 from shoplens.sources.tables import LAYOUT, merge_orders, merge_products, with_layout
@@ -85,9 +85,9 @@ def read_unique_cookies(spark: SparkSession, path: str) -> DataFrame:
 
 def latest_documents(pages: DataFrame, entries: str) -> DataFrame:
     """One page per document: of the versions a micro-batch holds, the one updated last."""
-    docs = pages.select("client_id", F.explode(entries).alias("d"))
     return (
-        docs.groupBy("client_id", F.col("d.id").alias("_id"))
+        entries_of(pages, entries, "d")
+        .groupBy("client_id", F.col("d.id").alias("_id"))
         .agg(F.max_by("d", iso_to_time(F.col("d.updated_at"))).alias("d"))
         .select("client_id", F.array("d").alias(entries))
     )

@@ -75,6 +75,11 @@ def test_window_bounds_reach_the_scan(spark):
     spark.conf.unset("spark.sql.maxMetadataStringLength")
 
 
+def test_feed_pages_are_parsed_once(spark):
+    plan = QUERIES["order_feed_flatten"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2, "one for the orders, one for the checkouts"
+
+
 def test_day_layout_prunes_folders(spark, table, tmp_path):
     from shoplens.functions.timeutil import ReportWindow
     from shoplens.sources import tables
