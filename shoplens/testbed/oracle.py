@@ -89,7 +89,7 @@ VIEWS = {
         SELECT concat('c', o_custkey % 3) AS client_id,
             concat('s', o_custkey % 150, '_', day({_time("o_orderkey")})) AS session_id,
             concat('cart-', o_orderkey) AS cart_token, {_time("o_orderkey")} AS creation_time
-        FROM orders WHERE o_orderkey % 4 <> 0""",
+        FROM orders WHERE o_orderpriority <> '5-LOW'""",
     "products": f"""
         SELECT concat('c', p_partkey % 3) AS client_id, p_partkey AS product_id,
             concat(p_name, ' ', p_partkey) AS product_title, concat('part-', p_partkey) AS product_handle,
@@ -129,12 +129,12 @@ VIEWS = {
     # Feeds: documents of 0 to 3 line items per row of orders, already flat here.
     "feed_lines": f"""
         SELECT concat('c', o_custkey % 3) AS client_id, o_orderkey AS order_id, concat('mail-', o_custkey) AS email_id,
-            CASE WHEN o_orderkey % 8 = 0 THEN NULL WHEN o_orderkey % 8 = 4 THEN ''
+            CASE o_orderpriority WHEN '5-LOW' THEN NULL WHEN '4-NOT SPECIFIED' THEN ''
                 ELSE concat('cart-', o_orderkey) END AS given_token,
             o_orderkey % 997 + i AS product_id, (o_orderkey % 997 + i) * 10 + i AS variant_id,
             CAST(i AS INTEGER) AS variant_quantity, CAST(o_custkey % 500 + i AS DECIMAL(8,2)) AS variant_price,
             {_time("o_orderkey")} AS updated_at, o_orderstatus, '/' AS landing_page
-        FROM (SELECT *, unnest(range(1, o_orderkey % 4 + 2)) AS i FROM orders WHERE o_orderkey % 4 <> 3)""",
+        FROM (SELECT *, unnest(range(1, o_orderkey % 4 + 1)) AS i FROM orders)""",
     "order_lines": f"""
         SELECT client_id, order_id, email_id,
             CASE WHEN coalesce(given_token, '') = '' THEN {_token("cart")} ELSE given_token END AS cart_token,
@@ -149,7 +149,7 @@ VIEWS = {
         SELECT client_id, {_token("session")} AS session_id, {_token("cart")} AS cart_token, creation_time
         FROM (SELECT concat('c', o_custkey % 3) AS client_id, o_orderkey AS order_id,
                 {_time("o_orderkey")} AS creation_time
-            FROM orders WHERE o_orderkey % 4 = 0 AND o_orderstatus <> 'P')""",
+            FROM orders WHERE o_orderpriority IN ('5-LOW', '4-NOT SPECIFIED') AND o_orderstatus <> 'P')""",
     "product_feed": f"""
         SELECT concat('c', p_partkey % 3) AS client_id, p_partkey AS product_id,
             concat(p_name, ' ', p_partkey) AS product_title, concat('part-', p_partkey) AS product_handle,
@@ -353,23 +353,25 @@ _PRODUCT_COLUMNS = f"""client_id, product_id, product_title, product_handle, var
 _EVENT_KEY = "variation_id, client_id, experiment_id, session_id, event_name"
 _SECOND = "date_trunc('second', creation_time)"
 
-_FUNNEL = """
+_STEPS = """(VALUES (1, 'Home Page'), (2, 'Collection Page'), (3, 'Product Page'), (4, 'Cart Page'),
+        (5, 'Checkout Page'), (6, 'Purchase')) s(step_id, page)"""
+
+_STEP_COUNTS = """
+    SELECT client_id, 1 AS step_id, count(DISTINCT session_id) AS n FROM visits_w
+        WHERE event_name = 'home' GROUP BY client_id
+    UNION SELECT client_id, 2, count(DISTINCT session_id) FROM visits_w
+        WHERE event_name = 'collection' GROUP BY client_id
+    UNION SELECT client_id, 3, count(DISTINCT session_id) FROM visits_w
+        WHERE event_name = 'product' GROUP BY client_id
+    UNION SELECT client_id, 4, count(DISTINCT session_id) FROM visits_w
+        WHERE event_name = 'cart' GROUP BY client_id
+    UNION SELECT client_id, 5, count(DISTINCT order_id) FROM orders_w GROUP BY client_id
+    UNION SELECT client_id, 6, count(DISTINCT order_id) FROM orders_w WHERE payment_status GROUP BY client_id"""
+
+_FUNNEL = f"""
     SELECT client_id, step_id, page, coalesce(n, 0) AS visitor_count,
         max(coalesce(n, 0)) OVER (PARTITION BY client_id) AS top
-    FROM (SELECT client_id, s.* FROM clients, (VALUES (1, 'Home Page'), (2, 'Collection Page'), (3, 'Product Page'),
-        (4, 'Cart Page'), (5, 'Checkout Page'), (6, 'Purchase')) s(step_id, page))
-    LEFT JOIN (
-        SELECT client_id, 1 AS step_id, count(DISTINCT session_id) AS n FROM visits_w
-            WHERE event_name = 'home' GROUP BY client_id
-        UNION SELECT client_id, 2, count(DISTINCT session_id) FROM visits_w
-            WHERE event_name = 'collection' GROUP BY client_id
-        UNION SELECT client_id, 3, count(DISTINCT session_id) FROM visits_w
-            WHERE event_name = 'product' GROUP BY client_id
-        UNION SELECT client_id, 4, count(DISTINCT session_id) FROM visits_w
-            WHERE event_name = 'cart' GROUP BY client_id
-        UNION SELECT client_id, 5, count(DISTINCT order_id) FROM orders_w GROUP BY client_id
-        UNION SELECT client_id, 6, count(DISTINCT order_id) FROM orders_w WHERE payment_status GROUP BY client_id
-    ) USING (client_id, step_id)"""
+    FROM (SELECT client_id, s.* FROM clients, {_STEPS}) LEFT JOIN ({_STEP_COUNTS}) USING (client_id, step_id)"""
 
 _FUNNEL_ROWS = f"""
     SELECT client_id, step_id, page, visitor_count, {_percent("visitor_count", "top")} AS percentage FROM ({_FUNNEL})"""
@@ -527,7 +529,7 @@ BODIES = {
         SELECT {_DAY_COLUMNS}, variation_name FROM variations JOIN days USING (client_id)""",
     "shop_funnel": _FUNNEL_ROWS,
     "shop_funnel_union": f"""
-        SELECT client_id, step_id, page, visitor_count FROM ({_FUNNEL}) WHERE client_id IN ('c0', 'c1', 'c2')""",
+        SELECT client_id, step_id, page, n AS visitor_count FROM ({_STEP_COUNTS}) JOIN {_STEPS} USING (step_id)""",
     "funnel_churn": f"""
         SELECT client_id, CASE WHEN seen > 0 THEN 'enough' ELSE 'not_enough' END AS status,
             CASE WHEN seen > 0 THEN page END AS page, CASE WHEN seen > 0 THEN round(gap, 2) END AS drop

@@ -151,7 +151,7 @@ class Testbed:
         key = F.col("o_orderkey")
         return (
             self.raw("orders")
-            .filter(key % 4 != 0)
+            .filter(F.col("o_orderpriority") != "5-LOW")
             .select(
                 client_of("o_custkey").alias("client_id"),
                 F.concat(
@@ -261,14 +261,18 @@ class Testbed:
     def order_documents(self, entries: str) -> DataFrame:
         """One feed page per row of ``orders`` with 0 to 3 line items, as (client_id, page).
 
-        A quarter of the orders has no cart: half of those null, half an empty text.
+        Orders of the two lowest priorities have no cart: a null token or an empty one.
         """
         key = F.col("o_orderkey")
-        token = F.when(key % 8 == 0, F.lit(None).cast("string")).when(key % 8 == 4, "").otherwise(
-            F.concat(F.lit("cart-"), key.cast("string"))
+        priority = F.col("o_orderpriority")
+        token = (
+            F.when(priority == "5-LOW", F.lit(None).cast("string"))
+            .when(priority == "4-NOT SPECIFIED", "")
+            .otherwise(F.concat(F.lit("cart-"), key.cast("string")))
         )
 
-        def item(i: Column) -> Column:
+        def item(_: Column, position: Column) -> Column:
+            i = position.cast("bigint") + 1
             product = key % 997 + i
             return F.struct(
                 (product * 10 + i).alias("variant_id"),
@@ -277,9 +281,7 @@ class Testbed:
                 (F.col("o_custkey") % 500 + i).cast("decimal(8,2)").cast("string").alias("price"),
             )
 
-        items = F.when(key % 4 == 3, F.array().cast("array<struct<variant_id bigint, quantity string, product_id bigint, price string>>")).otherwise(
-            F.transform(F.sequence(F.lit(1).cast("bigint"), key % 4 + 1), item)
-        )
+        items = F.transform(F.array_repeat(F.lit(0), (key % 4).cast("int")), item)
         order = F.struct(
             key.alias("id"),
             F.concat(F.lit("mail-"), F.col("o_custkey").cast("string")).alias("email"),
