@@ -47,6 +47,9 @@ def build_session(app_name: str, master: str | None = None, **conf: str) -> Spar
     return configure(builder.getOrCreate())
 
 
+_local_root: list[str] = []
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``, where every executor can reach it.
 
@@ -56,6 +59,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="shoplens-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not _local_root:
+            _local_root.append(tempfile.mkdtemp(prefix="shoplens-"))
+        root = _local_root[0]
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
