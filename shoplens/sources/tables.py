@@ -19,18 +19,21 @@ CLIENT_BUCKETS = 64
 MAX_LISTED_FOLDERS = 10_000
 
 LAYOUT: dict[str, list[str]] = {
-    **{table: ["day"] for table in EVENT_TIME},
+    **{table: ["day", "load"] for table in EVENT_TIME},
     "orders": ["open", "order_range"],
     "products": ["client_bucket"],
 }
-_LAYOUT_TYPES = {"day": "date", "open": "boolean", "order_range": "bigint", "client_bucket": "int"}
+_LAYOUT_TYPES = {"day": "date", "load": "string", "open": "boolean", "order_range": "bigint", "client_bucket": "int"}
 
 
-def with_layout(df: DataFrame, table: str) -> DataFrame:
-    """The table's columns plus the ones its folders are named after."""
+def with_layout(df: DataFrame, table: str, load: str = "batch") -> DataFrame:
+    """The table's columns plus the ones its folders are named after.
+
+    ``load`` names what appended the rows, so that a repeated stream batch finds its own.
+    """
     out = conform(df, table)
     if table in EVENT_TIME:
-        return out.withColumn("day", F.to_date(EVENT_TIME[table]))
+        return out.withColumn("day", F.to_date(EVENT_TIME[table])).withColumn("load", F.lit(load))
     if table == "orders":
         return out.withColumn("open", ~F.coalesce("payment_status", F.lit(False))).withColumn(
             "order_range", F.floor(F.col("order_id") / ORDERS_PER_RANGE).cast("bigint")
@@ -56,6 +59,12 @@ def append_table(df: DataFrame, root: str, table: str) -> None:
     _write(with_layout(df, table), f"{root}/{table}", table, "append")
 
 
+def append_load(df: DataFrame, root: str, table: str, load: str) -> None:
+    """Append rows under a load name; the same load written again replaces itself."""
+    rows = with_layout(df, table, load)
+    _write(rows, f"{root}/{table}", table, "overwrite", partitionOverwriteMode="dynamic")
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A stored table with its layout columns; empty when it was never written."""
     path = f"{root}/{table}"

@@ -1,12 +1,14 @@
 """Ingestion and running counts as Structured Streaming jobs.
 
 Each job takes a streaming DataFrame, writes to a folder and keeps its progress in a
-checkpoint folder. Append jobs use the exactly-once file sink. Jobs that need stored state
-write one folder per micro-batch, so a batch that runs again replaces its own output.
+checkpoint folder. A micro-batch writes folders of its own, so a batch that runs again
+replaces its own output and every row arrives exactly once.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,8 +18,8 @@ from shoplens.functions.timeutil import iso_to_time
 from shoplens.operators.experiments import ARM, event_counts
 from shoplens.operators.feeds import ORDER_REQUIRED, PRODUCT_REQUIRED, complete, entries_of, order_batch, product_rows
 from shoplens.operators.merge import new_cookies
-from shoplens.schemas import ddl
-from shoplens.sources.tables import LAYOUT, merge_orders, merge_products, with_layout
+from shoplens.schemas import conform, ddl
+from shoplens.sources.tables import append_load, merge_orders, merge_products
 
 COOKIE_KEY = ["client_id", "session_id", "cart_token"]
 
@@ -28,15 +30,17 @@ def _start(writer, checkpoint: str, once: bool) -> StreamingQuery:
 
 
 def append_stream(rows: DataFrame, root: str, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append landed registrations to an append-only table, late rows included."""
-    writer = (
-        with_layout(rows, table)
-        .writeStream.outputMode("append")
-        .format("parquet")
-        .partitionBy(*LAYOUT[table])
-        .option("path", f"{root}/{table}")
-    )
-    return _start(writer, checkpoint, once)
+    """Append landed registrations to an append-only table, late rows included.
+
+    Each micro-batch is a load of its own, named after the checkpoint it belongs to, so the
+    table can take rows from streams and batch jobs alike.
+    """
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        append_load(batch, root, table, f"{name}-{batch_id}")
+
+    return _start(rows.writeStream.foreachBatch(on_batch), checkpoint, once)
 
 
 def dedup_cookie_stream(
@@ -150,8 +154,8 @@ def daily_visitor_stream(events: DataFrame, root: str, checkpoint: str, once: bo
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        store = f"{root}/events"
-        rows = with_layout(batch, "events")
+        store = f"{root}/events_by_batch"
+        rows = conform(batch, "events").withColumn("day", F.to_date("creation_time"))
         rows.write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch_id={batch_id}")
         stored = spark.read.schema(f"{ddl('events')}, batch_id bigint, day date").parquet(store)
         # Calendar days of one micro-batch, as literals so that only their folders are read.

@@ -472,7 +472,7 @@ def _stream(t: Testbed) -> tuple[StreamingTestbed, str, str]:
 def stream_event_ingest(t: Testbed) -> DataFrame:
     live, root, progress = _stream(t)
     jobs.append_stream(live.events, root, "events", progress).awaitTermination()
-    return shown(tables.read_table(t.spark, root, "events").drop("day"))
+    return shown(tables.read_table(t.spark, root, "events").drop("day", "load"))
 
 
 @query

@@ -56,7 +56,20 @@ def test_append(spark, landing):
         jobs.append_stream(landing.stream("events"), landing.root, "events", landing.progress).awaitTermination()
     stored = tables.read_table(spark, landing.root, "events")
     assert stored.count() == 80
-    assert rows_of(stored.drop("day")) == rows_of(landing.batch("events"))
+    assert rows_of(stored.drop("day", "load")) == rows_of(landing.batch("events"))
+
+
+def test_streams_and_batches_share_a_table_and_a_repeated_batch_adds_nothing(spark, landing, table):
+    landing.put("events", event_rows(40))
+    jobs.append_stream(landing.stream("events"), landing.root, "events", landing.progress).awaitTermination()
+    tables.append_table(table("events", event_rows(10)), landing.root, "events")
+    tables.append_table(table("events", event_rows(10)), landing.root, "events")
+    assert tables.read_table(spark, landing.root, "events").count() == 60
+    load = [r.load for r in tables.read_table(spark, landing.root, "events").select("load").distinct().collect()]
+    stream_load = next(name for name in load if name != "batch")
+    for _ in range(2):
+        tables.append_load(landing.batch("events"), landing.root, "events", stream_load)
+        assert tables.read_table(spark, landing.root, "events").count() == 60
 
 
 def cookies(*triples):
