@@ -279,7 +279,6 @@ VIEWS = {
             FROM pair_confidence GROUP BY ALL) USING (client_id, experiment_id)""",
     "verdict": """
         SELECT *, required_sessions - sessions AS remaining,
-            date_diff('hour', TIMESTAMP '1970-01-01', start_time) AS unused,
             CAST(floor((epoch(end_time) - epoch(start_time)) / 3600) AS BIGINT) AS num_hour,
             round(least(confidence * 100, 99.99), 2) AS confidence_percentage,
             CASE WHEN NOT (coalesce(visitors, 0) > 0 AND end_time IS NOT NULL AND arms > 1) THEN 'insufficient'
@@ -429,8 +428,6 @@ _TABLE = f"""
         {_mean("total_order_value", "order_count")} AS avg_total_order_value
     FROM table_counts"""
 
-_SLOT = "CAST(concat('0x', substring(md5(concat(session_id, '|', experiment_id)), 1, 8)) AS BIGINT) % arms"
-
 
 def _assigned(requests: str) -> str:
     return f"""
@@ -438,7 +435,8 @@ def _assigned(requests: str) -> str:
         FROM {requests} r
         LEFT JOIN sticky USING (client_id, experiment_id, session_id)
         LEFT JOIN slots s ON s.client_id = r.client_id AND s.experiment_id = r.experiment_id
-            AND s.slot = CAST(concat('0x', substring(md5(concat(r.session_id, '|', r.experiment_id)), 1, 8)) AS BIGINT) % s.arms"""
+            AND s.slot = CAST(concat('0x', substring(md5(concat(r.session_id, '|', r.experiment_id)), 1, 8)) AS BIGINT)
+                % s.arms"""
 
 
 _UPSERT = """
