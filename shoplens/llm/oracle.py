@@ -73,7 +73,19 @@ SELECT doc_id, size::BIGINT AS size, text_crc32, 'rows' AS law, (g * 40 // total
 FROM mixed
 """
 
+_WARC = """
+WITH captured AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM captured)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM firsts
+"""
+
 ORACLE: dict[str, str] = {
+    "op2_warc_transactions": _WARC,
     "op7_source_mix": _MIX,
     "op10_interleaved_shards": _SHARDS,
 }

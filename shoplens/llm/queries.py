@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import mixing, sharding
+from shoplens.llm import mixing, sharding, warc
 from shoplens.llm.common import n_words, table
+from shoplens.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,3 +49,18 @@ def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    captures = warc.assemble(warc.read_archives(spark, path, payloads=False))
+    full = F.coalesce(F.col("original.response"), F.col("response"))
+    return captures.select(
+        "page_id",
+        full["payload_bytes"].alias("payload_bytes"),
+        full["payload_digest"].alias("payload_digest"),
+        F.col("response.type").alias("record_type"),
+        F.col("original.page_id").alias("refers_to"),
+    )
