@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import mixing, sharding, warc
+from shoplens.llm import mixing, sharding, tokens, warc
 from shoplens.llm.common import n_words, table
 from shoplens.session import shared_dir
 
@@ -64,3 +64,14 @@ def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("response.type").alias("record_type"),
         F.col("original.page_id").alias("refers_to"),
     )
+
+
+def public_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.packed_documents(table(spark, sf_dir, "documents"), public_vocabulary())
