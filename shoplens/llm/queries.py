@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import mixing, sharding, tokens, warc
+from shoplens.llm import mixing, quality, sharding, tokens, warc
 from shoplens.llm.common import n_words, table
 from shoplens.session import shared_dir
 
@@ -75,3 +75,10 @@ def public_vocabulary() -> str:
 @query
 def op3_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.packed_documents(table(spark, sf_dir, "documents"), public_vocabulary())
+
+
+@query
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    judged = quality.judged(docs, table(spark, sf_dir, "labels"), "doc_id")
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
