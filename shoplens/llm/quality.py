@@ -194,13 +194,22 @@ class Learner:
                         best = (gain, Condition(name, above, float(cut)), covered)
         return best
 
+    def _centred(self, rules: list[Rule], grown: Rule, condition: Condition) -> Condition:
+        """The same split with its limit half-way between the values on either side."""
+        value, limit = F.col(condition.feature), F.lit(condition.limit)
+        open_rows = self.rows.filter("grows").filter(_verdicts(rules).isNull()).filter(_holds(grown))
+        row = open_rows.agg(F.max(F.when(value <= limit, value)), F.min(F.when(value > limit, value))).first()
+        if None in tuple(row):
+            return condition
+        return Condition(condition.feature, condition.above, (float(row[0]) + float(row[1])) / 2)
+
     def _grow(self, rules: list[Rule]) -> Rule:
         rule: Rule = ()
         while len(rule) < MAX_CONDITIONS:
             _, condition, covered = self._best(self._counts(rules, rule))
             if condition is None:
                 break
-            rule = (*rule, condition)
+            rule = (*rule, self._centred(rules, rule, condition))
             if not covered[1]:
                 break
         return rule
