@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import mixing, quality, sharding, tokens, warc
+from shoplens.llm import mixing, pii, quality, sharding, tokens, warc
 from shoplens.llm.common import n_words, table
 from shoplens.session import shared_dir
 
@@ -82,3 +82,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     judged = quality.judged(docs, table(spark, sf_dir, "labels"), "doc_id")
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "rule")
+
+
+@query
+def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, spans = pii.spans_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = rows.join(pii.listed(spans), "_row", "left")
+    return out.select(
+        "row.doc_id",
+        *[F.coalesce(f"n_{name}", F.lit(0)).cast("long").alias(f"n_{name}") for name in pii.BASE_KINDS],
+        F.sha2(F.coalesce("base_spans", F.lit("")).cast("binary"), 256).alias("base_sha256"),
+        F.coalesce("spans", F.lit("")).alias("spans"),
+    )
