@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import mixing, pii, quality, sharding, tokens, warc
+from shoplens.llm import licenses, mixing, pii, quality, sharding, tokens, warc
 from shoplens.llm.common import n_words, table
 from shoplens.session import shared_dir
 
@@ -94,3 +94,10 @@ def op1_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce("base_spans", F.lit("")).cast("binary"), 256).alias("base_sha256"),
         F.coalesce("spans", F.lit("")).alias("spans"),
     )
+
+
+@query
+def op9_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.licensed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    return found.select("row.doc_id", *columns)
