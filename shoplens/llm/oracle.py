@@ -84,7 +84,38 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM firsts
 """
 
+_NEAR = r"""
+WITH RECURSIVE split AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE
+    WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+  FROM split
+),
+sizes AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS MATERIALIZED (
+  SELECT x.a, x.b FROM (
+    SELECT l.doc_id AS a, r.doc_id AS b, count(*) AS both_n
+    FROM shingles l JOIN shingles r ON l.s = r.s AND l.doc_id <> r.doc_id GROUP BY ALL) x
+  JOIN sizes p ON p.doc_id = x.a JOIN sizes q ON q.doc_id = x.b
+  WHERE 100 * both_n >= 75 * (p.n + q.n - both_n)
+),
+reach AS (
+  SELECT doc_id, doc_id AS seen FROM documents
+  UNION
+  SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.seen
+),
+firsts AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN firsts f ON f.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
 ORACLE: dict[str, str] = {
+    "op8_superminhash_groups": _NEAR,
     "op2_warc_transactions": _WARC,
     "op7_source_mix": _MIX,
     "op10_interleaved_shards": _SHARDS,

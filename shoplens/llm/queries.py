@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import licenses, mixing, pii, quality, sharding, tokens, warc
+from shoplens.llm import licenses, mixing, neardup, pii, quality, sharding, tokens, warc
 from shoplens.llm.common import n_words, table
 from shoplens.session import shared_dir
 
@@ -101,3 +101,9 @@ def op9_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.licensed(table(spark, sf_dir, "documents").select("doc_id", "text"))
     columns = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     return found.select("row.doc_id", *columns)
+
+
+@query
+def op8_superminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = neardup.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select("doc_id", "n_shingles", "component_id", F.col("first").alias("kept"))
