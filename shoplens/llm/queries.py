@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import licenses, mixing, neardup, pii, quality, sharding, tokens, warc
+from shoplens.llm import decontaminate, licenses, mixing, neardup, pii, quality, sharding, tokens, warc
 from shoplens.llm.common import n_words, table
 from shoplens.session import shared_dir
 
@@ -107,3 +107,11 @@ def op9_license_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_superminhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = neardup.grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return groups.select("doc_id", "n_shingles", "component_id", F.col("first").alias("kept"))
+
+
+@query
+def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents: one row per document and benchmark item that it contains."""
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    coverage = (F.col("covered_words") / F.col("item_words")).alias("coverage")
+    return found.select("doc_id", "item_id", "n_tiles", "covered_words", "item_words", coverage)
