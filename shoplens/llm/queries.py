@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import decontaminate, licenses, mixing, neardup, pii, quality, sharding, tokens, warc
-from shoplens.llm.common import n_words, table
+from shoplens.llm import decontaminate, licenses, linedups, mixing, neardup, pii, quality, sharding, tokens, warc
+from shoplens.llm.common import n_words, table, text_or_empty
 from shoplens.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,14 @@ def op4_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     coverage = (F.col("covered_words") / F.col("item_words")).alias("coverage")
     return found.select("doc_id", "item_id", "n_tiles", "covered_words", "item_words", coverage)
+
+
+@query
+def op5_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines, how many repeat an earlier line up to a few edits, and each line's class."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = linedups.summarized(docs).withColumnRenamed("doc_id", "_doc")
+    rows = docs.select("doc_id", F.xxhash64(text_or_empty("text")).alias("_hash"))
+    out = rows.join(lines, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("row_hash")), "left")
+    count = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
+    return out.select("doc_id", count("n_lines"), count("n_repeated"), "first_docs")
