@@ -59,10 +59,12 @@ def _gamma_lower(a: float, x: float) -> float:
 def _noncentral_upper(x: float, df: int, shift: float) -> float:
     """Upper tail of a noncentral chi-square as a Poisson mixture of central ones."""
     half = shift / 2.0
-    weight, seen, cdf, j = math.exp(-half), 0.0, 0.0, 0
-    while seen < 1.0 - 1e-15 and j < 10000:
+    weight, cdf, j = math.exp(-half), 0.0, 0
+    if not weight:
+        raise ValueError(f"the noncentrality {shift} is too large for a sum from its first term")
+    # Beyond the mean of the mixture the weights fall at least geometrically, so the sum ends.
+    while j <= half or weight > 1e-17:
         cdf += weight * _gamma_lower(df / 2.0 + j, x / 2.0)
-        seen += weight
         j += 1
         weight *= half / j
     return 1.0 - cdf

@@ -10,8 +10,24 @@ from shoplens.functions.timeutil import iso_to_time
 from shoplens.schemas import conform
 
 # Columns that may not be missing in an accepted row.
-ORDER_REQUIRED = ("client_id", "order_id", "product_id", "variant_id", "updated_at")
-PRODUCT_REQUIRED = ("client_id", "product_id", "variant_id", "product_title", "product_handle", "updated_at")
+ORDER_REQUIRED = (
+    "client_id",
+    "order_id",
+    "product_id",
+    "variant_id",
+    "updated_at",
+    "variant_quantity",
+    "variant_price",
+)
+PRODUCT_REQUIRED = (
+    "client_id",
+    "product_id",
+    "variant_id",
+    "product_title",
+    "product_handle",
+    "variant_price",
+    "updated_at",
+)
 
 
 def entries_of(pages: DataFrame, entries: str, name: str) -> DataFrame:
@@ -65,6 +81,17 @@ def order_batch(order_pages: DataFrame, checkout_pages: DataFrame) -> DataFrame:
     return order_rows(order_pages).unionByName(checkout_rows(checkout_pages))
 
 
+def named_documents(order_pages: DataFrame, checkout_pages: DataFrame) -> DataFrame:
+    """Ids (client_id, order_id) of all documents, with or without lines; a null id for an empty page."""
+    ids = [
+        pages.filter(F.col(entries).isNotNull())
+        .select("client_id", F.explode_outer(entries).alias("d"))
+        .select("client_id", F.col("d.id").cast("bigint").alias("order_id"))
+        for pages, entries in ((order_pages, "orders"), (checkout_pages, "checkouts"))
+    ]
+    return ids[0].unionByName(ids[1]).distinct()
+
+
 def product_rows(pages: DataFrame) -> DataFrame:
     """One row per product variant, with the variant's own update time."""
     variants = entries_of(pages, "products", "p").select(

@@ -15,15 +15,27 @@ def delete_keys(target: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return target.join(keys.select(*on).distinct(), on, "left_anti")
 
 
-def upsert_orders(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """Replace open checkouts of the tenants in the batch and the orders the batch names.
+def upsert_orders(
+    target: DataFrame, batch: DataFrame, named: DataFrame | None = None, whole_snapshots: bool = True
+) -> DataFrame:
+    """Replace the orders that the feed names and the open checkouts of the tenants it names.
 
-    Checkouts always arrive as a full snapshot, so every unpaid row of a synced tenant goes.
+    ``named`` (client_id, order_id) lists the feed's documents, also those without any line left;
+    a null id marks a tenant that was synced without documents. Without it the batch's rows count.
+    Checkouts arrive as a full snapshot, so every unpaid row of a synced tenant goes, unless
+    ``whole_snapshots`` is off: then only the named ones do. A stored order that was updated after
+    the feed's version of it stays.
     """
-    synced = batch.select(F.col("client_id").alias("_synced")).distinct()
-    unpaid_of_synced = (F.col("client_id") == F.col("_synced")) & ~F.col("payment_status")
-    kept = target.join(synced, unpaid_of_synced, "left_anti")
-    return delete_keys(kept, batch, ["client_id", "order_id"]).unionByName(batch)
+    key = ["client_id", "order_id"]
+    named = (batch if named is None else named).select(*key).distinct()
+    versions = batch.groupBy(*key).agg(F.max("updated_at").alias("_version"))
+    newer = target.join(versions, key).filter(F.col("updated_at") > F.col("_version")).select(*key).distinct()
+    kept = delete_keys(target, delete_keys(named, newer, key), key)
+    if whole_snapshots:
+        unpaid = kept.filter("not payment_status")
+        others = kept.filter("payment_status or payment_status is null")
+        kept = others.unionByName(unpaid.join(named.select("client_id").distinct(), "client_id", "left_anti"))
+    return kept.unionByName(delete_keys(batch, newer, key))
 
 
 def upsert_products(target: DataFrame, batch: DataFrame) -> DataFrame:

@@ -10,21 +10,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.operators import feeds
 from shoplens.operators.merge import new_cookies, new_events, serve_latest
-from shoplens.sources.tables import append_table, merge_orders, merge_products, read_table
+from shoplens.sources.documents import unreadable_pages
+from shoplens.sources.tables import append_table, keep_load, merge_orders, merge_products, read_table
 
 
-def _keep_rejected(rows: DataFrame, required: tuple[str, ...], path: str) -> None:
-    feeds.rejected(rows, required).write.mode("append").parquet(path)
+def keep_rejected(rows: DataFrame, required: tuple[str, ...], root: str, table: str, load: str | None = None) -> None:
+    """Incomplete feed rows with the names of what they miss, in ``rejected_<table>``."""
+    keep_load(feeds.rejected(rows, required), f"{root}/rejected_{table}", load)
+
+
+def keep_unreadable(pages: DataFrame, root: str, feed: str, load: str | None = None) -> None:
+    """The text of pages that could not be read, in ``rejected_pages_<feed>``."""
+    keep_load(unreadable_pages(pages), f"{root}/rejected_pages_{feed}", load)
 
 
 def sync_orders(spark: SparkSession, root: str, order_pages: DataFrame, checkout_pages: DataFrame) -> None:
     """Upsert orders and checkouts; give orders without a cart a session in the latest experiment.
 
-    Rows that miss a required column go to ``rejected_orders`` and hold up no other row.
+    Rows that miss a required column or have no readable quantity or price go to
+    ``rejected_orders``, unreadable pages to ``rejected_pages_*``; they hold up no other row.
     """
     rows = feeds.order_batch(order_pages, checkout_pages)
-    _keep_rejected(rows, feeds.ORDER_REQUIRED, f"{root}/rejected_orders")
-    merge_orders(spark, root, feeds.complete(rows, feeds.ORDER_REQUIRED))
+    keep_rejected(rows, feeds.ORDER_REQUIRED, root, "orders")
+    keep_unreadable(order_pages, root, "orders")
+    keep_unreadable(checkout_pages, root, "checkouts")
+    named = feeds.named_documents(order_pages, checkout_pages)
+    merge_orders(spark, root, feeds.complete(rows, feeds.ORDER_REQUIRED), named)
 
     carts = feeds.anonymous_carts(order_pages).filter("creation_time is not null")
     append_table(new_cookies(read_table(spark, root, "cookies"), carts), root, "cookies")
@@ -42,5 +53,6 @@ def sync_orders(spark: SparkSession, root: str, order_pages: DataFrame, checkout
 def sync_products(spark: SparkSession, root: str, product_pages: DataFrame) -> None:
     """Upsert product variants; incomplete ones go to ``rejected_products``."""
     rows = feeds.product_rows(product_pages)
-    _keep_rejected(rows, feeds.PRODUCT_REQUIRED, f"{root}/rejected_products")
+    keep_rejected(rows, feeds.PRODUCT_REQUIRED, root, "products")
+    keep_unreadable(product_pages, root, "products")
     merge_products(spark, root, feeds.complete(rows, feeds.PRODUCT_REQUIRED))

@@ -11,7 +11,7 @@ from shoplens.operators.sales import order_totals, session_orders
 
 # Fixed visitor attributes the report breaks sales down by.
 DIMENSIONS = ["device", "browser", "os"]
-MAX_REGIONS = 10_000
+REGION_SLOTS = 32
 MEASURES = ["session_count", "visitor_count", "sales_conversion_count", "order_count"]
 
 
@@ -120,16 +120,16 @@ def sales_by_dimension(joined: DataFrame) -> DataFrame:
 def sales_by_region(joined: DataFrame, regions: DataFrame) -> DataFrame:
     """Measures of every reference region for each tenant with visitors, zero where none.
 
-    The region reference is one small file that reaches each tenant row as an array. Its size
-    is checked: a longer one fails the job rather than losing regions.
+    The regions are dealt into slots that every tenant meets, so the grid is an ordinary join of
+    as many parts as there are slots, whatever the size of either side.
     """
     key = ["client_id", "region"]
     found = _measures(_per_session(joined.filter(F.col("region").isNotNull()), key), key)
-    found_all = F.count(F.lit(1)) <= MAX_REGIONS
-    too_many = F.raise_error(F.lit(f"the region reference has more than {MAX_REGIONS} rows"))
-    listed = F.array_sort(F.collect_list(F.struct("region_name", "id", "type", "geometry")))
-    reference = regions.limit(MAX_REGIONS + 1).agg(F.when(found_all, listed).otherwise(too_many).alias("r")).scalar()
-    grid = joined.select("client_id").distinct().select("client_id", F.inline(reference))
+    slots = F.explode(F.sequence(F.lit(0), F.lit(REGION_SLOTS - 1))).alias("_slot")
+    tenants = joined.select("client_id").distinct().select("client_id", slots)
+    slot = F.pmod(F.xxhash64("region_name", "id"), F.lit(REGION_SLOTS)).cast("int").alias("_slot")
+    reference = regions.select("region_name", "id", "type", "geometry", slot)
+    grid = tenants.join(reference, "_slot").drop("_slot")
     zero = {c: 0 for c in MEASURES}
     filled = (
         grid.join(found.withColumnRenamed("region", "region_name"), ["client_id", "region_name"], "left")

@@ -1,8 +1,9 @@
 """The stored tables: parquet folders laid out for pruning.
 
-Page views and events are laid out by UTC day, so a report window reads only its days. Orders
-are laid out by open/paid and by range of order id: ids grow with time, so a sync touches the
-open part and the newest ranges only, never the history.
+Page views and events are laid out by UTC day, so a report window reads only its days. Paid
+orders are laid out by the UTC month of their last update, for the same reason, and open
+checkouts by a hash of the tenant, so a sync rewrites those of the tenants it names. Products
+are laid out by a hash of the variant, which spreads a large tenant over all folders.
 """
 
 from __future__ import annotations
@@ -14,16 +15,23 @@ from shoplens.operators.merge import upsert_orders, upsert_products
 from shoplens.schemas import EVENT_TIME, TABLES, conform, ddl
 from shoplens.session import shared_dir
 
-ORDERS_PER_RANGE = 10_000_000
-CLIENT_BUCKETS = 64
-MAX_LISTED_FOLDERS = 10_000
+FOLDERS = 64
 
 LAYOUT: dict[str, list[str]] = {
     **{table: ["day", "load"] for table in EVENT_TIME},
-    "orders": ["open", "order_range"],
-    "products": ["client_bucket"],
+    "orders": ["open", "part"],
+    "products": ["bucket"],
 }
-_LAYOUT_TYPES = {"day": "date", "load": "string", "open": "boolean", "order_range": "bigint", "client_bucket": "int"}
+_LAYOUT_TYPES = {"day": "date", "load": "string", "open": "boolean", "part": "string", "bucket": "int"}
+
+
+def _bucket(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(FOLDERS)).cast("int")
+
+
+def _tenant_part() -> Column:
+    """Folder of a tenant's open checkouts."""
+    return F.concat(F.lit("t"), _bucket("client_id").cast("string"))
 
 
 def with_layout(df: DataFrame, table: str, load: str = "batch") -> DataFrame:
@@ -35,11 +43,11 @@ def with_layout(df: DataFrame, table: str, load: str = "batch") -> DataFrame:
     if table in EVENT_TIME:
         return out.withColumn("day", F.to_date(EVENT_TIME[table])).withColumn("load", F.lit(load))
     if table == "orders":
-        return out.withColumn("open", ~F.coalesce("payment_status", F.lit(False))).withColumn(
-            "order_range", F.floor(F.col("order_id") / ORDERS_PER_RANGE).cast("bigint")
-        )
+        open_ = ~F.coalesce("payment_status", F.lit(False))
+        month = F.coalesce(F.date_format("updated_at", "yyyy-MM"), F.lit("none"))
+        return out.withColumn("open", open_).withColumn("part", F.when(open_, _tenant_part()).otherwise(month))
     if table == "products":
-        return out.withColumn("client_bucket", F.pmod(F.xxhash64("client_id"), F.lit(CLIENT_BUCKETS)).cast("int"))
+        return out.withColumn("bucket", _bucket("variant_id"))
     return out
 
 
@@ -65,6 +73,21 @@ def append_load(df: DataFrame, root: str, table: str, load: str) -> None:
     _write(rows, f"{root}/{table}", table, "overwrite", partitionOverwriteMode="dynamic")
 
 
+def keep_load(df: DataFrame, path: str, load: str | None = None) -> None:
+    """Write rows to a folder of their load, which a repeated load replaces; nothing if there are none.
+
+    Without a name the load is named after its rows, so the same rows are kept once.
+    """
+    rows = df.persist()
+    try:
+        mark = rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*[F.col(c).cast("string") for c in rows.columns]))).first()
+        if mark[0]:
+            name = load or f"{mark[0]}-{mark[1] & (1 << 64) - 1:016x}"
+            rows.write.mode("overwrite").parquet(f"{path}/load={name}")
+    finally:
+        rows.unpersist()
+
+
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A stored table with its layout columns; empty when it was never written."""
     path = f"{root}/{table}"
@@ -107,31 +130,59 @@ def replace_folders(df: DataFrame, root: str, table: str, touched: DataFrame) ->
     _drop_folder(spark, staged)
 
 
-def _merge(spark: SparkSession, root: str, table: str, batch: DataFrame, column: str, upsert, always: Column) -> None:
-    """Upsert a batch, rewriting the folders it falls into and those that ``always`` selects.
+def _merge(spark: SparkSession, root: str, table: str, incoming: DataFrame, touched: DataFrame, upsert) -> None:
+    """Upsert ``incoming``, rewriting the ``touched`` folders (and those the incoming rows fall into).
 
-    Folder numbers are few and become literals, so that the scan is pruned. Should a batch
-    ever span too many, the whole table counts as touched.
+    Folders are at most a few per calendar month and ``FOLDERS`` hashed ones; their names become
+    literals, so that the scan is pruned.
+    """
+    cols = LAYOUT[table]
+    folders = touched.select(*cols).unionByName(incoming.select(*cols)).distinct().collect()
+    if not folders:
+        return
+    hit = F.lit(False)
+    for first in sorted({r[0] for r in folders}):
+        mine = F.col(cols[0]) == F.lit(first)
+        for last in cols[1:]:
+            mine = mine & F.col(last).isin(sorted(r[last] for r in folders if r[0] == first))
+        hit = hit | mine
+    target = read_table(spark, root, table).filter(hit)
+    replace_folders(upsert(target, incoming), root, table, target)
+
+
+def merge_orders(
+    spark: SparkSession, root: str, batch: DataFrame, named: DataFrame | None = None, whole_snapshots: bool = True
+) -> None:
+    """Upsert a sync batch into the stored orders (see ``upsert_orders``).
+
+    The months that hold earlier versions are found from the stored keys alone, within the
+    range of the named ids.
     """
-    target = read_table(spark, root, table)
-    # Parsed once: the batch is listed, matched and written below.
-    incoming = with_layout(batch, table).persist()
+    # Parsed once: both are listed, matched and written below.
+    incoming = with_layout(batch, "orders").persist()
+    names = (batch if named is None else named).select("client_id", "order_id").distinct().persist()
     try:
-        found = incoming.select(column).distinct().limit(MAX_LISTED_FOLDERS + 1).collect()
-        if not found:
-            return
-        if len(found) <= MAX_LISTED_FOLDERS:
-            target = target.filter(F.col(column).isin([r[0] for r in found]) | always)
-        replace_folders(upsert(target, incoming), root, table, target)
+        low, high = names.agg(F.min("order_id"), F.max("order_id")).first()
+        stored = read_table(spark, root, "orders").select("client_id", "order_id", "open", "part")
+        near = stored.filter(F.col("order_id").between(F.lit(low), F.lit(high)))
+        touched = near.join(names, ["client_id", "order_id"], "left_semi").select("open", "part")
+        if whole_snapshots:
+            tenants = names.select(F.lit(True).alias("open"), _tenant_part().alias("part"))
+            touched = touched.unionByName(tenants)
+
+        def upsert(target: DataFrame, rows: DataFrame) -> DataFrame:
+            return upsert_orders(target, rows, names, whole_snapshots)
+
+        _merge(spark, root, "orders", incoming, touched, upsert)
     finally:
         incoming.unpersist()
-
-
-def merge_orders(spark: SparkSession, root: str, batch: DataFrame) -> None:
-    """Upsert a sync batch into the stored orders: open ones, and the id ranges it names."""
-    _merge(spark, root, "orders", batch, "order_range", upsert_orders, F.col("open"))
+        names.unpersist()
 
 
 def merge_products(spark: SparkSession, root: str, batch: DataFrame) -> None:
     """Upsert product variants into the stored products."""
-    _merge(spark, root, "products", batch, "client_bucket", upsert_products, F.lit(False))
+    incoming = with_layout(batch, "products").persist()
+    try:
+        _merge(spark, root, "products", incoming, incoming, upsert_products)
+    finally:
+        incoming.unpersist()

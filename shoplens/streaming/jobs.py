@@ -16,8 +16,17 @@ from pyspark.sql.streaming import StreamingQuery
 from shoplens.functions.text import filled
 from shoplens.functions.timeutil import iso_to_time
 from shoplens.operators.experiments import ARM, event_counts
-from shoplens.operators.feeds import ORDER_REQUIRED, PRODUCT_REQUIRED, complete, entries_of, order_batch, product_rows
+from shoplens.operators.feeds import (
+    ORDER_REQUIRED,
+    PRODUCT_REQUIRED,
+    complete,
+    entries_of,
+    named_documents,
+    order_batch,
+    product_rows,
+)
 from shoplens.operators.merge import new_cookies
+from shoplens.plans.sync import keep_rejected, keep_unreadable
 from shoplens.schemas import conform, ddl
 from shoplens.sources.tables import append_load, merge_orders, merge_products
 
@@ -35,10 +44,9 @@ def append_stream(rows: DataFrame, root: str, table: str, checkpoint: str, once:
     Each micro-batch is a load of its own, named after the checkpoint it belongs to, so the
     table can take rows from streams and batch jobs alike.
     """
-    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        append_load(batch, root, table, f"{name}-{batch_id}")
+        append_load(batch, root, table, _load_name(checkpoint, batch_id))
 
     return _start(rows.writeStream.foreachBatch(on_batch), checkpoint, once)
 
@@ -88,33 +96,53 @@ def read_unique_cookies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def latest_documents(pages: DataFrame, entries: str) -> DataFrame:
-    """One page per document: of the versions a micro-batch holds, the one updated last."""
+    """One page per document: of the versions a micro-batch holds, the one updated last.
+
+    A version without a readable time counts as the oldest, and is rejected later on.
+    """
     return (
         entries_of(pages, entries, "d")
         .groupBy("client_id", F.col("d.id").alias("_id"))
-        .agg(F.max_by("d", iso_to_time(F.col("d.updated_at"))).alias("d"))
+        .agg(F.max_by("d", F.coalesce(iso_to_time(F.col("d.updated_at")), F.timestamp_seconds(F.lit(0)))).alias("d"))
         .select("client_id", F.array("d").alias(entries))
     )
 
 
-def order_sync_stream(pages: DataFrame, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def _load_name(checkpoint: str, batch_id: int) -> str:
+    return f"{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}-{batch_id}"
+
+
+def order_sync_stream(
+    pages: DataFrame, root: str, checkpoint: str, once: bool = True, whole_snapshots: bool = False
+) -> StreamingQuery:
     """Upsert landed pages with ``orders`` and ``checkouts`` into the stored orders.
 
-    A micro-batch counts as one sync: its checkouts are the open ones of the tenants it names.
+    How a source splits its files over micro-batches decides nothing: documents replace their own
+    earlier versions, and later stored versions stay. Only where each micro-batch is known to hold
+    all open checkouts of the tenants it names may ``whole_snapshots`` be set, and checkouts that
+    it no longer names go. Incomplete rows and unreadable pages are kept as in ``sync_orders``.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = order_batch(latest_documents(batch, "orders"), latest_documents(batch, "checkouts"))
-        merge_orders(batch.sparkSession, root, complete(rows, ORDER_REQUIRED))
+        orders, checkouts = latest_documents(batch, "orders"), latest_documents(batch, "checkouts")
+        load, rows = _load_name(checkpoint, batch_id), order_batch(orders, checkouts)
+        keep_rejected(rows, ORDER_REQUIRED, root, "orders", load)
+        keep_unreadable(batch, root, "orders", load)
+        named = named_documents(orders, checkouts)
+        if whole_snapshots:
+            named = named.unionByName(named_documents(batch, batch)).distinct()
+        merge_orders(batch.sparkSession, root, complete(rows, ORDER_REQUIRED), named, whole_snapshots)
 
     return _start(pages.writeStream.foreachBatch(on_batch), checkpoint, once)
 
 
 def product_sync_stream(pages: DataFrame, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Upsert landed product pages into the stored products."""
+    """Upsert landed product pages into the stored products; rejects are kept as in ``sync_products``."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        rows = product_rows(latest_documents(batch, "products"))
+        load, rows = _load_name(checkpoint, batch_id), product_rows(latest_documents(batch, "products"))
+        keep_rejected(rows, PRODUCT_REQUIRED, root, "products", load)
+        keep_unreadable(batch, root, "products", load)
         merge_products(batch.sparkSession, root, complete(rows, PRODUCT_REQUIRED))
 
     return _start(pages.writeStream.foreachBatch(on_batch), checkpoint, once)

@@ -440,9 +440,8 @@ def _assigned(requests: str) -> str:
 
 
 _UPSERT = """
-    SELECT * FROM shop_orders WHERE payment_status
-        AND order_id NOT IN (SELECT order_id FROM order_lines WHERE o_orderstatus = 'F')
-        AND order_id NOT IN (SELECT order_id FROM checkout_lines WHERE o_orderstatus = 'P')
+    SELECT * FROM shop_orders s WHERE payment_status AND NOT EXISTS (SELECT 1 FROM orders o
+        WHERE o.o_orderkey = s.order_id AND concat('c', o.o_custkey % 3) = s.client_id AND o_orderstatus IN ('F', 'P'))
     UNION ALL SELECT * EXCLUDE (o_orderstatus) FROM order_lines WHERE o_orderstatus = 'F'
     UNION ALL SELECT * EXCLUDE (o_orderstatus) FROM checkout_lines WHERE o_orderstatus = 'P'"""
 

@@ -1,119 +1,93 @@
-"""Small shop used by the report tests. The expected report numbers follow from them."""
+"""A small shop of our own making for the report tests."""
+
+import datetime as dt
 
 CLIENT = "shop"
+OPENED = dt.datetime(2020, 6, 1, 8, 0, tzinfo=dt.timezone.utc)
+
+# How many sessions enter on a page, and how many of them go on to each later one.
+JOURNEYS = {
+    "home": {"collection": 18, "product": 12, "cart": 9},
+    "collection": {"product": 3},
+    "product": {"cart": 2},
+}
+ENTRIES = {"home": 24, "collection": 6, "product": 4}
+URLS = {"home": "/", "collection": "/collections/new", "cart": "/cart"}
 
 
 def visit_rows():
-    """Five rounds of sixteen page views, ten seconds apart: 30 home, 20 collection, 15 product
-    and 15 cart views. In the first round the product views come from sessions of their own."""
-    at = 1590673060
+    """One session after the other; every third product page is that of the same product."""
     rows = []
-    for r in range(5):
-        product_sessions = {2: "222", 3: "333", 4: "4444"} if r == 0 else {}
-        opening = [(1, "home"), (2, "home"), (1, "collection"), (2, "collection")]
-        if r > 0:
-            opening = [(1, "home"), (1, "collection"), (2, "home"), (2, "collection")]
-        steps = opening + [
-            (2, "product"),
-            (2, "cart"),
-            (3, "collection"),
-            (3, "product"),
-            (3, "cart"),
-            (4, "collection"),
-            (4, "product"),
-            (3, "cart"),
-            (4, "home"),
-            (5, "home"),
-            (6, "home"),
-            (7, "home"),
-        ]
-        for k, page in steps:
-            at += 10
-            name = str(k) if r == 0 else f"{r}{k}"
-            if page == "product":
-                name = product_sessions.get(k, name)
-            url = {"home": "/", "collection": "/collections/all", "cart": "/cart"}.get(
-                page, f"/products/handle_{k - 1}"
-            )
-            rows.append(
-                {
-                    "client_id": CLIENT,
-                    "session_id": f"session_{name}",
-                    "event_name": page,
-                    "creation_time": _iso(at),
-                    "url": url,
-                }
-            )
+    for entry, sessions in ENTRIES.items():
+        for n in range(sessions):
+            path = [entry, *[page for page, reached in JOURNEYS[entry].items() if n < reached]]
+            for page in path:
+                rows.append(
+                    {
+                        "client_id": CLIENT,
+                        "session_id": f"{entry}-{n}",
+                        "event_name": page,
+                        "creation_time": (OPENED + dt.timedelta(minutes=len(rows))).isoformat(),
+                        "url": URLS.get(page, f"/products/handle_{n % 3 + 1}"),
+                    }
+                )
     return rows
 
 
-def _iso(epoch):
-    import datetime as dt
-
-    return dt.datetime.fromtimestamp(epoch, dt.timezone.utc).isoformat()
-
-
-def _item(variant, quantity, product, price):
-    return {"variant_id": variant, "quantity": quantity, "product_id": product, "price": price}
+# variant: (product, price)
+VARIANTS = {11: (1, "12.50"), 12: (1, "11.00"), 21: (2, "6.75"), 22: (2, "7.25"), 31: (3, "80.00"), 41: (4, "33.00")}
+TAGS = {1: "wool, sale", 2: "sale", 3: "wool", 4: ""}
 
 
-def _order(key, email, token, updated, landing, items):
+def _document(key, email, landing, minute, lines):
     return {
         "id": key,
         "email": email,
-        "cart_token": token,
-        "updated_at": updated,
+        "cart_token": f"cart_{key}",
+        "updated_at": (OPENED + dt.timedelta(days=2, minutes=minute)).isoformat(),
         "landing_site": landing,
-        "line_items": items,
+        "line_items": [
+            {"variant_id": v, "quantity": n, "product_id": VARIANTS[v][0], "price": VARIANTS[v][1]} for v, n in lines
+        ],
     }
 
 
 def order_page():
-    """Five paid orders of two lines each."""
-    when = "2020-06-04T14:58:55-04:00"
-
-    def items(variant, product):
-        return [_item(11, 2, 1, "449.00"), _item(variant, 2, product, "449.00")]
-
+    """Five paid orders of two lines each, from three customers."""
     return [
-        _order(1, "email_1", "cart_1", when, "/", items(22, 2)),
-        _order(2, "email_2", "cart_2", when, "/", items(22, 2)),
-        _order(3, "email_1", "cart_3", when, "/", items(22, 2)),
-        _order(4, "email_3", "cart_4", when, "/products/handle_3", items(31, 3)),
-        _order(5, "email_2", "cart_2", when, "/collections/all", items(22, 2)),
+        _document(1, "ann", "/", 0, [(11, 1), (22, 3)]),
+        _document(2, "bob", "/collections/sale", 3, [(12, 2), (31, 1)]),
+        _document(3, "cy", "/", 5, [(21, 1), (41, 2)]),
+        _document(4, "ann", "/products/handle_2", 8, [(22, 1), (31, 2)]),
+        _document(5, "bob", "/", 9, [(11, 4), (41, 1)]),
     ]
 
 
 def checkout_page():
     """Two open checkouts of two lines each."""
-    when = "2020-06-02T07:19:22-04:00"
     return [
-        _order(21, "email_1", "cart_21", when, "/products/handle_3", [_item(21, 1, 2, "10.00"), _item(22, 1, 2, "249.00")]),
-        _order(22, "email_2", "cart_22", when, "/", [_item(31, 1, 3, "10.00"), _item(21, 1, 2, "249.00")]),
+        _document(21, "dee", "/", 11, [(21, 2), (12, 1)]),
+        _document(22, "bob", "/products/handle_3", 14, [(31, 1), (11, 1)]),
     ]
 
 
 def product_page():
-    """Four products with six variants."""
-
-    def product(key, tags, *variants):
-        return {
-            "id": key,
-            "title": f"title_{key}",
-            "handle": f"handle_{key}",
-            "updated_at": "2020-06-04T15:01:25-04:00",
+    """The four products of the variants above."""
+    changed = (OPENED + dt.timedelta(hours=1)).isoformat()
+    return [
+        {
+            "id": product,
+            "title": f"title_{product}",
+            "handle": f"handle_{product}",
+            "updated_at": changed,
             "tags": tags,
             "variants": [
-                {"id": v, "title": f"variant_{v}", "price": p, "updated_at": "2020-06-04T14:59:00-04:00"}
-                for v, p in variants
+                {"id": v, "title": f"variant_{v}", "price": price, "updated_at": changed}
+                for v, (of, price) in VARIANTS.items()
+                if of == product
             ],
         }
-
-    return [
-        product(1, "tag1, tag2", (11, "50.00"), (12, "40.00")),
-        product(2, "tag1", (21, "30.00"), (22, "20.00")),
-        product(3, "tag1", (31, "100.00")),
-        product(4, "", (41, "50.00")),
+        for product, tags in TAGS.items()
     ]
 
 

@@ -43,9 +43,9 @@ def test_funnel(data):
     assert funnel_of(data(1)) == ([0] * 6, [0.0] * 6, none)
     assert funnel_of(data(2)) == ([0, 0, 0, 0, 7, 5], [0, 0, 0, 0, 100.0, 71.43], none)
     assert funnel_of(data(3)) == (
-        [30, 20, 15, 10, 7, 5],
-        [100.0, 66.67, 50.0, 33.33, 23.33, 16.67],
-        ("enough", "Home Page", 33.33),
+        [24, 24, 19, 11, 7, 5],
+        [100.0, 100.0, 79.17, 45.83, 29.17, 20.83],
+        ("enough", "Product Page", 33.34),
     )
 
 
@@ -85,7 +85,7 @@ def landing_of(d):
 def test_landing_pages(data):
     assert landing_of(data(1)) == ([0] * 3, [0] * 3, [0.0] * 3, ("not_enough", None))
     assert landing_of(data(2)) == ([0] * 3, [6, 2, 2], [100.0] * 3, ("enough", "Home Page"))
-    assert landing_of(data(3)) == ([19, 8, 1], [6, 2, 2], [24.0, 20.0, 66.67], ("enough", "Collections Page"))
+    assert landing_of(data(3)) == ([18, 4, 2], [6, 2, 2], [25.0, 33.33, 50.0], ("enough", "Home Page"))
 
 
 def products_of(d):
@@ -104,19 +104,21 @@ def test_products(data):
     assert products_of(data(0)) == ([], {}, {})
 
     tags, by_tag, worst = products_of(data(1))
-    assert tags == ["tag1", "tag2", "no-tag"]
-    assert [r[1:] for r in by_tag["tag1"]] == [(0, 0, 0.0)] * 3
+    assert tags == ["sale", "wool", "no-tag"]
+    assert [r[1:] for r in by_tag["sale"]] == [(0, 0, 0.0)] * 2
     assert set(worst.values()) == {("not_enough", None)}
 
+    # Products 1 and 2 are in three paid orders each, 3 and 4 in two.
     _, by_tag, worst = products_of(data(2))
-    assert [r[1:] for r in by_tag["tag1"]] == [(0, 5, 100.0), (0, 4, 100.0), (0, 1, 100.0)]
-    assert worst["tag1"] == ("enough", "title_1")
+    assert [r[1:] for r in by_tag["sale"]] == [(0, 3, 100.0), (0, 3, 100.0)]
+    assert worst["sale"] == ("enough", "title_1")
 
+    # Seven sessions saw product 1, six each 2 and 3, none 4.
     _, by_tag, worst = products_of(data(3))
-    assert by_tag["tag1"] == [("title_1", 0, 5, 100.0), ("title_2", 1, 4, 80.0), ("title_3", 4, 1, 20.0)]
-    assert by_tag["tag2"] == [("title_1", 0, 5, 100.0)]
-    assert by_tag["no-tag"] == [("title_4", 0, 0, 0.0)]
-    assert worst == {"tag1": ("enough", "title_3"), "tag2": ("enough", "title_1"), "no-tag": ("enough", "title_4")}
+    assert by_tag["sale"] == [("title_1", 4, 3, 42.86), ("title_2", 3, 3, 50.0)]
+    assert by_tag["wool"] == [("title_1", 4, 3, 42.86), ("title_3", 4, 2, 33.33)]
+    assert by_tag["no-tag"] == [("title_4", 0, 2, 100.0)]
+    assert worst == {"sale": ("enough", "title_1"), "wool": ("enough", "title_3"), "no-tag": ("enough", "title_4")}
 
 
 def test_first_touch_keeps_a_sessionless_group_and_breaks_ties(spark, table):

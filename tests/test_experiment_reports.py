@@ -25,26 +25,22 @@ def event(session, arm, name, seconds=0, **kw):
     return {**KEY, "session_id": session, "variation_id": arm, "event_name": name, "creation_time": at(seconds), **kw}
 
 
+# Arm a: three sessions served, one of them twice, two clicked. Arm b: two served, one clicked twice.
 EVENTS = [
-    event("s1", "a", "served"),
-    event("s1", "a", "clicked", 10),
-    event("s2", "b", "served", 20),
-    event("s3", "b", "served", 30),
-    event("s3", "b", "clicked", 40),
-    event("s3", "b", "served", 50),
-    event("s3", "b", "clicked", 60),
-]
-COOKIES = [
-    {"client_id": shop.CLIENT, "session_id": s, "cart_token": c, "creation_time": at()}
-    for s, c in [("s1", "cart_1"), ("s1", "cart_2"), ("s1", "cart_3"), ("s4", "cart_4")]
+    *[event(f"p{i}", "a", "served", 60 * i) for i in (1, 2, 3, 3)],
+    *[event(f"q{i}", "b", "served", 600 + 60 * i) for i in (1, 2)],
+    *[event(s, v, "clicked", 900 + n) for n, (s, v) in enumerate([("p2", "a"), ("q1", "b"), ("q1", "b"), ("p3", "a")])],
 ]
+# p1 bought carts 1 and 2, q2 looked at cart 2 as well; nobody who was served owns cart 22.
+CARTS = [("p1", "cart_1"), ("p1", "cart_2"), ("q2", "cart_2"), ("q1", "cart_21"), ("nobody", "cart_22")]
+COOKIES = [{"client_id": shop.CLIENT, "session_id": s, "cart_token": c, "creation_time": at()} for s, c in CARTS]
 
 
 @pytest.fixture()
 def lab(spark, table):
     """Two variations, two paid orders of two lines and two open checkouts."""
-    paid = [dict(o, updated_at="2020-05-28 19:07:40+05:30") for o in shop.order_page()[:2]]
-    still_open = [dict(o, cart_token=f"cart_{i}") for i, o in zip((3, 4), shop.checkout_page())]
+    paid = [dict(o, updated_at=at(3600)) for o in shop.order_page()[:2]]
+    still_open = shop.checkout_page()
     return {
         "clients": table("clients", [{"client_id": shop.CLIENT, "client_timezone": "UTC"}]),
         "experiments": table("experiments", [{**KEY, "creation_time": "2020-05-27T09:51:00Z", "last_updation_time": "2020-05-27T09:51:00Z"}]),
@@ -55,6 +51,10 @@ def lab(spark, table):
     }
 
 
+def damped(total, count):
+    return round(total / (count + 0.01), 2)
+
+
 def table_of(lab):
     df = variation.conversion_table(lab["variations"], lab["experiments"], lab["events"], lab["orders"], lab["cookies"])
     return {r.variation_id: tuple(r)[4:] for r in df.collect()}
@@ -62,8 +62,9 @@ def table_of(lab):
 
 def test_conversion_table(lab, table):
     assert table_of(lab) == {
-        "a": (1, 1, 1, 1, 2, 3592.0, 99.01, 99.01, 1787.06),
-        "b": (3, 2, 1, 0, 0, 0.0, 49.75, 0.0, 0.0),
+        # Order 1 is worth 34.25, order 2 is 102; rates are over 0.01 more than the count.
+        "a": (4, 3, 2, 1, 2, 136.25, damped(200, 3), damped(100, 3), damped(136.25, 2)),
+        "b": (2, 2, 1, 1, 1, 102.0, damped(100, 2), damped(100, 2), damped(102, 1)),
     }
     lab["events"] = table("events", [])
     assert set(table_of(lab).values()) == {(0, 0, 0, 0, 0, 0.0, 0.0, 0.0, 0.0)}
@@ -71,7 +72,10 @@ def test_conversion_table(lab, table):
 
 def test_unknown_experiment_has_no_sales(lab, table):
     lab["experiments"] = table("experiments", [])
-    assert table_of(lab) == {"a": (1, 1, 1, 0, 0, 0.0, 99.01, 0.0, 0.0), "b": (3, 2, 1, 0, 0, 0.0, 49.75, 0.0, 0.0)}
+    assert table_of(lab) == {
+        "a": (4, 3, 2, 0, 0, 0.0, damped(200, 3), 0.0, 0.0),
+        "b": (2, 2, 1, 0, 0, 0.0, damped(100, 2), 0.0, 0.0),
+    }
 
 
 def test_clicks_of_an_unserved_variation_are_left_out(table):
@@ -90,12 +94,12 @@ def test_conversion_over_time(lab, table):
     fifth = lambda v, zero=0: [zero] * 4 + [v] + [zero] * 2
     a, b = got["a"], got["b"]
     assert a.date == [f"May {d}" for d in range(24, 31)]
-    assert (a.session_count, b.session_count) == (fifth(1), fifth(3))
-    assert (a.visitor_count, b.visitor_count) == (fifth(1), fifth(2))
-    assert (a.goal_conversion_count, b.goal_conversion_count) == (fifth(1), fifth(1))
-    assert (a.goal_conversion_percentage, b.goal_conversion_percentage) == (fifth(100.0), fifth(50.0))
-    assert (a.sales_conversion_count, b.sales_conversion_count) == (fifth(1), fifth(0))
-    assert (a.sales_conversion_percentage, b.sales_conversion_percentage) == (fifth(100.0), fifth(0.0))
+    assert (a.session_count, b.session_count) == (fifth(4), fifth(2))
+    assert (a.visitor_count, b.visitor_count) == (fifth(3), fifth(2))
+    assert (a.goal_conversion_count, b.goal_conversion_count) == (fifth(2), fifth(1))
+    assert (a.goal_conversion_percentage, b.goal_conversion_percentage) == (fifth(66.67, 0.0), fifth(50.0, 0.0))
+    assert (a.sales_conversion_count, b.sales_conversion_count) == (fifth(1), fifth(1))
+    assert (a.sales_conversion_percentage, b.sales_conversion_percentage) == (fifth(33.33, 0.0), fifth(50.0, 0.0))
 
     for r in series(table("events", [])).values():
         assert r.session_count == r.sales_conversion_count == [0] * 7
@@ -108,10 +112,11 @@ def verdict(lab, **kw):
 
 def test_summary_golden(lab, table):
     r = verdict(lab).first()
-    assert (r.status, r.best_variation, r.betterness_percentage) == ("pending", "name_a", 49.75)
-    assert (r.remaining_sessions, r.remaining_days, r.recommendation) == (1565, 457, "continue")
+    # Six served rows of the 1569 that two arms need, in 28 whole hours since the start.
+    assert (r.status, r.best_variation, r.betterness_percentage) == ("pending", "name_a", 25.12)
+    assert (r.remaining_sessions, r.remaining_days, r.recommendation) == (1563, 315, "continue")
     text = summary.summary_text(verdict(lab)).first()
-    assert text.summary == "name_a leads by 49.75%." and "1565" in text.conclusion and "457" in text.conclusion
+    assert text.summary == "name_a leads by 25.12%." and "1563" in text.conclusion and "315" in text.conclusion
 
     for part in ("events", "variations"):
         assert verdict({**lab, part: table(part, [])}).first().status == "insufficient"
@@ -272,7 +277,7 @@ def test_assignment_is_sticky_stable_and_uniform(spark, lab, table):
         again = ops.assign(sessions.repartition(3).unionByName(known), lab["events"], variations)
         assert got.exceptAll(again).isEmpty()
         kept = got.filter(~F.col("session_id").startswith("n"))
-        assert rows_of(kept, "session_id", "variation_id") == [("s1", "a"), ("s2", "b"), ("s3", "b")]
+        assert rows_of(kept, "session_id", "variation_id") == [("p1", "a"), ("p2", "a"), ("p3", "a"), ("q1", "b"), ("q2", "b")]
         counts = [r["count"] for r in got.filter(F.col("session_id").startswith("n")).groupBy("variation_id").count().collect()]
         assert len(counts) == arms and sum(counts) == 6000
         assert all(abs(n - 6000 / arms) < 200 for n in counts)

@@ -1,3 +1,4 @@
+import datetime as dt
 import json
 
 import pytest
@@ -5,6 +6,7 @@ from pyspark.sql import functions as F
 
 import shop_fixture as shop
 from conftest import rows_of
+from shoplens.functions.timeutil import ReportWindow
 from shoplens.operators import dims, feeds, merge
 from shoplens.sources import documents, tables
 
@@ -23,9 +25,9 @@ def test_order_feed(spark):
     rows = batch_of(spark, shop.order_page(), shop.checkout_page())
     assert rows.count() == 14
     first = rows.filter("order_id = 1 and variant_id = 11").first()
-    assert (first.email_id, first.cart_token, first.variant_quantity, str(first.variant_price)) == ("email_1", "cart_1", 2, "449.00")
+    assert (first.email_id, first.cart_token, first.variant_quantity, str(first.variant_price)) == ("ann", "cart_1", 1, "12.50")
     assert first.payment_status and first.landing_page == "/"
-    assert rows.filter("order_id = 1").select(F.unix_timestamp("updated_at")).first()[0] == 1591297135
+    assert rows.filter("order_id = 1").select(F.unix_timestamp("updated_at")).first()[0] == int((shop.OPENED + dt.timedelta(days=2)).timestamp())
     assert rows.filter("not payment_status").count() == 4
 
 
@@ -60,17 +62,68 @@ def test_bad_rows_are_set_aside(spark):
     rows = feeds.order_rows(shop.pages(spark, "orders", page))
     good = feeds.complete(rows, feeds.ORDER_REQUIRED)
     bad = feeds.rejected(rows, feeds.ORDER_REQUIRED)
-    assert good.count() == 7 and good.filter("variant_quantity is null").count() == 1
+    assert good.count() == 5
     assert rows_of(bad.withColumn("missing", F.concat_ws(",", "missing")), "order_id", "missing") == [
-        (1, "product_id"), (2, "updated_at"), (2, "updated_at"),
+        (1, "product_id"), (2, "updated_at"), (2, "updated_at"), (3, "variant_price"), (3, "variant_quantity"),
     ]
-    unreadable = documents.parse_pages(spark.createDataFrame([("a", "{oops")], "client_id string, body string"), "orders")
-    assert feeds.order_rows(unreadable).isEmpty()
+
+
+def test_unreadable_pages_keep_their_text(spark, tmp_path):
+    texts = spark.createDataFrame([("a", "{oops"), ("b", json.dumps({"orders": shop.order_page()}))], "client_id string, body string")
+    pages = documents.parse_pages(texts, "orders")
+    assert feeds.order_rows(pages).select("client_id").distinct().collect() == [("b",)]
+    assert rows_of(documents.unreadable_pages(pages)) == [("a", "{oops")]
+    (tmp_path / "page.json").write_text('{"client_id": "c", "orders": []}\n{oops\n')
+    landed = documents.read_feed(spark, str(tmp_path / "page.json"), "orders")
+    assert [r.unreadable for r in documents.unreadable_pages(landed).collect()] == ["{oops"]
+    none = spark.createDataFrame([("a", None)], "client_id string, orders array<string>")
+    assert documents.unreadable_pages(none).isEmpty()
+
+
+def test_rejects_are_kept_once(spark, tmp_path):
+    root = str(tmp_path)
+    rows = spark.createDataFrame([(1, "x"), (2, None)], "a int, b string")
+    for _ in range(2):
+        tables.keep_load(rows, f"{root}/rejected")
+    tables.keep_load(rows.filter("a = 1"), f"{root}/rejected", "other")
+    tables.keep_load(rows.filter("a = 9"), f"{root}/rejected", "none")
+    assert rows_of(spark.read.parquet(f"{root}/rejected"), "a") == [(1,), (1,), (2,)]
+
+
+def test_an_order_without_lines_goes(spark, tmp_path):
+    root = str(tmp_path)
+    tables.merge_orders(spark, root, batch_of(spark, shop.order_page(), []))
+    emptied, bare = dict(shop.order_page()[0], line_items=[]), shop.pages(spark, "checkouts", [])
+    orders = shop.pages(spark, "orders", [emptied, shop.order_page()[2]])
+    named = feeds.named_documents(orders, bare)
+    assert rows_of(named, "order_id") == [(None,), (1,), (3,)]
+    tables.merge_orders(spark, root, feeds.order_batch(orders, bare), named)
+    stored = tables.read_table(spark, root, "orders")
+    assert rows_of(stored.select("order_id").distinct()) == [(2,), (3,), (4,), (5,)]
+
+
+def test_a_later_stored_version_stays(spark):
+    stored = batch_of(spark, shop.order_page()[:1], [])
+    old = dict(shop.order_page()[0], updated_at="2019-01-01T00:00:00Z", line_items=shop.order_page()[0]["line_items"][:1])
+    assert merge.upsert_orders(stored, batch_of(spark, [old], [])).exceptAll(stored).isEmpty()
+
+
+def test_report_windows_prune_stored_orders(spark, tmp_path, table):
+    root = str(tmp_path)
+    rows = [dict(o, id=10**13 * (i + 1) + i) for i, o in enumerate(shop.order_page())]
+    tables.merge_orders(spark, root, batch_of(spark, rows, shop.checkout_page()))
+    assert len([p for p in (tmp_path / "orders").rglob("part=*")]) == 2, "few folders, however large the ids"
+    stored = tables.read_table(spark, root, "orders")
+    clients = table("clients", [{"client_id": shop.CLIENT, "client_timezone": "UTC"}])
+    near = ReportWindow("2020-06-01T00-00-00", "2020-06-30T00-00-00").restrict(stored, "updated_at", clients)
+    assert near.count() == 14
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "part" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
 def test_products_feed(spark):
     rows = feeds.product_rows(shop.pages(spark, "products", shop.product_page()))
-    assert rows_of(rows, "product_id", "variant_id", "tags")[0] == (1, 11, "tag1, tag2")
+    assert rows_of(rows, "product_id", "variant_id", "tags")[0] == (1, 11, "wool, sale")
     assert rows.count() == 6
 
 
@@ -132,7 +185,7 @@ def test_stored_orders_merge(spark, tmp_path):
         return tables.read_table(spark, root, "orders")
 
     far = shop.order_page()[4:]
-    far[0]["id"] = tables.ORDERS_PER_RANGE * 3
+    far[0]["id"] = 3 * 10**13
     assert sync(shop.order_page(), shop.checkout_page()).count() == 14
     assert sync(shop.order_page(), shop.checkout_page()).count() == 14, "a repeated sync changes nothing"
     assert sync(far, shop.checkout_page()).count() == 16
@@ -145,20 +198,19 @@ def test_stored_orders_merge(spark, tmp_path):
     assert not [p for p in (tmp_path / "orders").rglob("open=true/*/*.parquet")]
 
 
-def test_merge_reads_only_touched_folders(spark, tmp_path, monkeypatch):
+def test_merge_reads_only_touched_folders(spark, tmp_path):
     root = str(tmp_path)
-    old = shop.order_page()
-    for i, o in enumerate(old):
-        o["id"] = tables.ORDERS_PER_RANGE * i
+    old = [dict(o, updated_at=f"2020-0{i + 1}-03T00:00:00Z") for i, o in enumerate(shop.order_page())]
     tables.merge_orders(spark, root, batch_of(spark, old, []))
-    before = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "orders").rglob("*.parquet")}
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "orders").rglob("*.parquet")}
+    before = files()
     assert len(before) == 5
     tables.merge_orders(spark, root, batch_of(spark, old[:1], []))
-    after = {str(p): p.stat().st_mtime_ns for p in (tmp_path / "orders").rglob("*.parquet")}
+    after = files()
     assert len(set(before.items()) & set(after.items())) == 4 and len(after) == 5
-    # Beyond the listing limit the whole table is rewritten, with the same result.
-    monkeypatch.setattr(tables, "MAX_LISTED_FOLDERS", 2)
-    tables.merge_orders(spark, root, batch_of(spark, old[:4], []))
+    # An update moves the order to the month of its new version.
+    tables.merge_orders(spark, root, batch_of(spark, [dict(old[0], updated_at="2020-05-09T00:00:00Z")], []))
+    assert len(set(after.items()) & set(files().items())) == 3 and len(files()) == 4
     assert tables.read_table(spark, root, "orders").count() == 10
 
 

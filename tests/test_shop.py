@@ -36,14 +36,14 @@ def test_sync_and_report(spark, table, tmp_path):
     assert read_table(spark, root, "cookies").first().session_id == served.session_id
 
     reports = Shop.stored(spark, root)
-    assert rows_of(reports.shop_funnel(WINDOW), "step_id", "visitor_count") == list(enumerate([30, 20, 15, 10, 7, 5], 1))
-    assert reports.funnel_churn(WINDOW).first().page == "Home Page"
-    assert rows_of(reports.landing_page_conversion(WINDOW), "page_id", "conversion_count") == [(1, 5), (2, 2), (3, 2)]
+    assert rows_of(reports.shop_funnel(WINDOW), "step_id", "visitor_count") == list(enumerate([24, 24, 19, 11, 7, 5], 1))
+    assert reports.funnel_churn(WINDOW).first().page == "Product Page"
+    assert rows_of(reports.landing_page_conversion(WINDOW), "page_id", "conversion_count") == [(1, 6), (2, 1), (3, 2)]
     assert reports.landing_worst(WINDOW).first().status == "enough"
-    assert reports.product_conversion_by_tag(WINDOW).filter("tag = 'tag1'").count() == 3
+    assert reports.product_conversion_by_tag(WINDOW).filter("tag = 'sale'").count() == 2
     assert reports.product_worst_by_tag(WINDOW).count() == 3
     sold = reports.conversion_table().filter("order_count > 0").collect()
-    assert [(r.variation_id, r.order_count, r.total_order_value) for r in sold] == [(served.variation_id, 1, 1796.0)]
+    assert [(r.variation_id, r.order_count, r.total_order_value) for r in sold] == [(served.variation_id, 1, 34.25)]
     days = RecentDays(dt.datetime(2020, 6, 5, 7, 30))
     assert reports.conversion_over_time(days).filter("sales_conversion_count > 0").count() == 1
     assert reports.conversion_series(days).count() == 2

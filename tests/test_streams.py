@@ -149,7 +149,7 @@ def test_order_and_product_sync(spark, landing, tmp_path):
         (pages / name).write_text("\n".join(json.dumps({"client_id": shop.CLIENT, k: v}) for k, v in feeds_of.items()))
 
     def sync():
-        jobs.order_sync_stream(stream(), landing.root, landing.progress + "-o").awaitTermination()
+        jobs.order_sync_stream(stream(), landing.root, landing.progress + "-o", whole_snapshots=True).awaitTermination()
         jobs.product_sync_stream(stream(), landing.root, landing.progress + "-p").awaitTermination()
         return tables.read_table(spark, landing.root, "orders"), tables.read_table(spark, landing.root, "products")
 
@@ -163,3 +163,20 @@ def test_order_and_product_sync(spark, landing, tmp_path):
     assert orders.filter("not payment_status").count() == 2
     assert orders.count() == 11 and products.count() == 6
     assert feeds.order_watermark(orders).count() == 1
+
+
+def test_split_snapshots_and_bad_rows_are_kept(spark, landing, tmp_path):
+    """One file per micro-batch: neither checkouts nor rejected rows depend on how files are split."""
+    pages = tmp_path / "pages"
+    pages.mkdir()
+    bad = dict(shop.order_page()[0], line_items=[dict(shop.order_page()[0]["line_items"][0], price="free")])
+    for name, feed in [("1", {"checkouts": shop.checkout_page()[:1]}), ("2", {"checkouts": shop.checkout_page()[1:]}), ("3", {"orders": [bad]})]:
+        (pages / f"{name}.json").write_text(json.dumps({"client_id": shop.CLIENT, **feed}) + "\n{oops\n")
+    schema = f"client_id string, {FEED_PAGES['orders']}, {FEED_PAGES['checkouts']}, unreadable string"
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("columnNameOfCorruptRecord", "unreadable")
+    jobs.order_sync_stream(reader.json(str(pages)), landing.root, landing.progress).awaitTermination()
+    stored = tables.read_table(spark, landing.root, "orders")
+    assert rows_of(stored.select("order_id").distinct()) == [(21,), (22,)]
+    rejected = spark.read.parquet(f"{landing.root}/rejected_orders")
+    assert rows_of(rejected.select("order_id", F.concat_ws(",", "missing").alias("missing"))) == [(1, "variant_price")]
+    assert spark.read.parquet(f"{landing.root}/rejected_pages_orders").count() == 3
