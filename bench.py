@@ -32,6 +32,9 @@ HEADLINE = [
     "sticky_assignment",
     "order_feed_flatten",
     "order_upsert",
+    "stream_order_upsert",
+    "stream_product_upsert",
+    "stream_event_ingest",
     "cookie_dedup",
     "shop_funnel_union",
 ]

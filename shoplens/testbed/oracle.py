@@ -445,6 +445,8 @@ _UPSERT = """
     UNION ALL SELECT * EXCLUDE (o_orderstatus) FROM order_lines WHERE o_orderstatus = 'F'
     UNION ALL SELECT * EXCLUDE (o_orderstatus) FROM checkout_lines WHERE o_orderstatus = 'P'"""
 
+_VISIT_INGEST = f"SELECT client_id, session_id, event_name, url, {_text(_SECOND)} AS creation_time FROM visits"
+
 _PRODUCT_UPSERT = """
     SELECT * FROM products p WHERE NOT EXISTS (SELECT 1 FROM product_feed f
         WHERE f.client_id = p.client_id AND f.variant_id = p.variant_id)
@@ -469,12 +471,23 @@ BODIES = {
         ) USING (client_id)
         WHERE o_orderstatus <> 'P' AND (watermark IS NULL OR updated_at >= watermark)""",
     "order_upsert": f"SELECT {_ORDER_COLUMNS} FROM ({_UPSERT})",
+    "rejected_orders": """
+        SELECT client_id, order_id, variant_id, 'variant_quantity' AS missing
+        FROM order_lines WHERE o_orderstatus <> 'P' AND variant_quantity = 2""",
+    "unreadable_pages": """
+        SELECT concat('c', o_custkey % 3) AS client_id, substr(concat('{"orders":[{"id":', o_orderkey, ',"email":"'), 1, 20) AS unreadable
+        FROM orders WHERE o_orderstatus <> 'P' AND o_custkey % 3 = 1""",
+    "stream_order_upsert_split": f"SELECT {_ORDER_COLUMNS} FROM ({_UPSERT.replace('payment_status AND', '')})",
+    "visit_append": f"{_VISIT_INGEST} UNION ALL {_VISIT_INGEST}",
     "product_upsert": f"SELECT {_PRODUCT_COLUMNS} FROM ({_PRODUCT_UPSERT})",
     "event_ingest": f"SELECT {_EVENT_KEY}, {_text(_SECOND)} AS creation_time FROM exp_events",
-    "visit_ingest": f"SELECT client_id, session_id, event_name, url, {_text(_SECOND)} AS creation_time FROM visits",
+    "visit_ingest": _VISIT_INGEST,
     "visitor_ingest": f"""
         SELECT client_id, session_id, region, device, browser, os, {_text(_SECOND)} AS creation_time
         FROM (SELECT * FROM visitors UNION ALL SELECT * FROM visitors)""",
+    "visitor_append": f"""
+        SELECT client_id, session_id, region, device, browser, os, {_text(_SECOND)} AS creation_time
+        FROM (SELECT * FROM visitors UNION ALL SELECT * FROM visitors)""",
     "cookie_dedup": f"SELECT client_id, session_id, cart_token, {_text('creation_time')} AS creation_time FROM new_cookies",
     "event_insert_if_absent": f"""
         SELECT 'v0' AS variation_id, client_id, 'e1' AS experiment_id, session_id, 'served' AS event_name,

@@ -110,6 +110,22 @@ def order_upsert(t: Testbed) -> DataFrame:
     return shown(merge.upsert_orders(t.orders, feeds.order_batch(pages, pages), named))
 
 
+@query
+def rejected_orders(t: Testbed) -> DataFrame:
+    """Order lines set aside, from pages in which some quantities are no numbers."""
+    spoilt = F.replace("body", F.lit('"quantity":"2"'), F.lit('"quantity":"some"'))
+    pages = documents.parse_pages(t.order_pages().withColumn("body", spoilt), "orders")
+    rows = feeds.rejected(feeds.order_rows(pages), feeds.ORDER_REQUIRED)
+    return rows.select("client_id", "order_id", "variant_id", F.concat_ws(",", "missing").alias("missing"))
+
+
+@query
+def unreadable_pages(t: Testbed) -> DataFrame:
+    """The text of order pages that break off in the middle."""
+    pages = t.order_pages().withColumn("body", F.expr("CASE WHEN client_id = 'c1' THEN left(body, 20) ELSE body END"))
+    return documents.unreadable_pages(documents.parse_pages(pages, "orders"))
+
+
 @query
 def product_upsert(t: Testbed) -> DataFrame:
     batch = feeds.product_rows(documents.parse_pages(t.product_pages(), "products"))
@@ -139,6 +155,27 @@ def visitor_ingest(t: Testbed) -> DataFrame:
     return shown(dims.append_rows(raw.unionByName(raw), "visitors").select(*kept))
 
 
+def _appended(t: Testbed, rows: DataFrame, table: str) -> DataFrame:
+    """Rows appended twice to a stored table and read back."""
+    root = shared_dir(t.spark, f"appended-{table}")
+    for _ in range(2):
+        tables.append_table(rows, root, table)
+    return shown(tables.read_table(t.spark, root, table).drop("day", "load"))
+
+
+@query
+def visit_append(t: Testbed) -> DataFrame:
+    raw = t.visits.withColumn("creation_time", F.unix_seconds("creation_time"))
+    return _appended(t, dims.append_rows(raw, "visits"), "visits")
+
+
+@query
+def visitor_append(t: Testbed) -> DataFrame:
+    raw = t.visitors.withColumn("creation_time", F.unix_seconds("creation_time"))
+    kept = ["client_id", "session_id", "region", "device", "browser", "os", "creation_time"]
+    return _appended(t, dims.append_rows(raw, "visitors"), "visitors").select(*kept)
+
+
 @query
 def cookie_dedup(t: Testbed) -> DataFrame:
     return shown(merge.new_cookies(t.cookies, dims.append_rows(t.cookie_registrations(), "cookies")))
@@ -498,6 +535,17 @@ def stream_order_upsert(t: Testbed) -> DataFrame:
     return shown(tables.read_table(t.spark, root, "orders").drop("open", "part"))
 
 
+@query
+def stream_order_upsert_split(t: Testbed) -> DataFrame:
+    """Orders and checkouts of one sync in different micro-batches: neither drops what the other brought."""
+    live, root, progress = _stream(t)
+    tables.append_table(t.orders, root, "orders")
+    pages = _sync_pages(live.order_documents)
+    for entries in ("orders", "checkouts"):
+        jobs.order_sync_stream(pages.filter(F.col(entries).isNotNull()), root, f"{progress}-{entries}").awaitTermination()
+    return shown(tables.read_table(t.spark, root, "orders").drop("open", "part"))
+
+
 @query
 def stream_product_upsert(t: Testbed) -> DataFrame:
     live, root, progress = _stream(t)
