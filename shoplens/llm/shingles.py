@@ -12,7 +12,7 @@ BANDS, BAND_ROWS = 36, 4
 COMPONENTS = BANDS * BAND_ROWS
 #: Shingles whose permutations are built at the same time: bounds the memory of a worker.
 BLOCK = 16_384
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
