@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import landed, numbered, packed, text_or_empty
@@ -16,14 +16,22 @@ from shoplens.llm.shingles import band_keys, shingle_set, signatures
 
 #: Linked at 100 * shared >= PERCENT * united shingles.
 PERCENT = 75
+SLICE_ROWS = 256
 
 
 def _set_id(elements: np.ndarray) -> bytes | None:
     return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
 
 
-def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A few hundred rows at a time, so that a worker holds few shingle sets."""
     for batch in batches:
+        for at in range(0, len(batch), SLICE_ROWS):
+            yield batch.iloc[at : at + SLICE_ROWS]
+
+
+def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in _slices(batches):
         sets = [shingle_set(text) for text in batch["text"]]
         keys = band_keys(signatures(sets)).tolist()
         yield pd.DataFrame(
@@ -38,7 +46,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
+    for batch in _slices(batches):
         sets = [shingle_set(text) for text in batch["text"]]
         same = [_set_id(s) == bytes(known) for s, known in zip(sets, batch["set_id"], strict=True)]
         rows = [(i, s.view(np.int64).tolist()) for i, s, ok in zip(batch["id"], sets, same, strict=True) if ok]
@@ -77,8 +85,8 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
 
     A candidate with too many shingles of its own is similar to nothing and leaves. In each bucket
     the most typical candidate (fewest shingles of its own) is compared with all others; after
-    grouping, members outside a bucket's largest group are compared with those of other groups,
-    except where the sizes rule the pair out. So a bucket of one group of copies costs one
+    grouping, members outside a bucket's largest group are compared with those of other groups
+    that share one of their rarest shingles. So a bucket of one group of copies costs one
     comparison per member, never one per pair, and no link between different groups is lost.
     """
     each = sets.select("id", F.explode("shingles").alias("h"))
@@ -103,13 +111,39 @@ def _links(members: DataFrame, sets: DataFrame) -> DataFrame:
     main = sizes.groupBy("key").agg(F.max(F.struct("_n", "root")).alias("_main"), F.count(F.lit(1)).alias("_groups"))
     main = main.filter("_groups > 1").select("key", F.col("_main.root").alias("main"))
     split = landed(grouped.join(main, "key"), "dup-split")
-    apart = (F.col("u.root") != F.col("v.root")) & _may_link("u", "v")
-    rest = split.filter("root <> main").alias("u").join(split.alias("v"), (F.col("u.key") == F.col("v.key")) & apart)
-    rest = rest.select(F.least("u.id", "v.id").alias("a"), F.greatest("u.id", "v.id").alias("b")).distinct()
+    rest = _across(split, sets)
     rest = landed(rest.join(pairs, ["a", "b"], "left_anti"), "dup-rest")
     return links.unionByName(_confirmed(rest, sets))
 
 
+def _least_shared(n: Column, m: Column) -> Column:
+    """The fewest shingles that sets of these sizes must share to be linked."""
+    return F.ceil(((n + m) * PERCENT) / (100 + PERCENT))
+
+
+def _across(split: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of different groups of a bucket that may be linked.
+
+    A member outside the bucket's main group can miss only so many of its shingles in a linked
+    set, so of one more than that, the rarest ones, the other set has at least one. What a family
+    of copies has in common is frequent and comes last, so the members of a family that are too
+    far from it for a link meet few others.
+    """
+    least = split.groupBy("key").agg(F.min("n").alias("_least"))
+    strays = split.filter("root <> main").join(least, "key").groupBy("id").agg(F.min("_least").alias("_least"))
+    nodes = split.select("id", "n", "own", "root").distinct()
+    each = landed(sets.join(nodes, "id").select("id", "n", "own", "root", F.explode("shingles").alias("h")), "dup-each")
+    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = Window.partitionBy("id").orderBy("_df", "h")
+    ranked = each.join(strays, "id").join(counts, "h").withColumn("_place", F.row_number().over(rarest))
+    smallest = F.greatest("_least", F.ceil(F.col("n") * PERCENT / 100))
+    u, v = ranked.filter(F.col("_place") <= F.col("n") - _least_shared(F.col("n"), smallest) + 1), each
+    near = F.col("u._place") <= F.col("u.n") - _least_shared(F.col("u.n"), F.col("v.n")) + 1
+    apart = (F.col("u.h") == F.col("v.h")) & (F.col("u.root") != F.col("v.root")) & near & _may_link("u", "v")
+    rows = u.alias("u").join(v.alias("v"), apart)
+    return rows.select(F.least("u.id", "v.id").alias("a"), F.greatest("u.id", "v.id").alias("b")).distinct()
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, ``text_hash``, ``n_shingles``, ``component_id`` and ``first`` (of its component).
 
@@ -136,7 +170,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     members = found.join(candidates.select("set_id", "id"), "set_id").select("key", "id")
 
     wanted = candidates.select("id", "set_id", F.col("first.doc_id").alias("_doc"), F.col("first.text_hash").alias("_hash"))
-    rows = _texts(docs).join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
+    # By sort and merge at any size: what few candidates let broadcast must not be the only plan tried.
+    rows = _texts(docs).join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")))
     sets = rows.select("id", "set_id", "text").mapInPandas(_sets, "id long, shingles array<long>")
     sets = landed(sets.dropDuplicates(["id"]), "dup-shingles")
 
