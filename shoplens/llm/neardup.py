@@ -124,23 +124,28 @@ def _least_shared(n: Column, m: Column) -> Column:
 def _across(split: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs of different groups of a bucket that may be linked.
 
-    A member outside the bucket's main group can miss only so many of its shingles in a linked
-    set, so of one more than that, the rarest ones, the other set has at least one. What a family
+    Linked sets miss only so many of each other's shingles, so they meet in the rarest ones, one
+    more than either may miss (by how many sets of these buckets have a shingle). What a family
     of copies has in common is frequent and comes last, so the members of a family that are too
-    far from it for a link meet few others.
+    far from it for a link meet few others. A pair has a member outside a bucket's main group,
+    and is looked for from one side only.
     """
     least = split.groupBy("key").agg(F.min("n").alias("_least"))
-    strays = split.filter("root <> main").join(least, "key").groupBy("id").agg(F.min("_least").alias("_least"))
-    nodes = split.select("id", "n", "own", "root").distinct()
-    each = landed(sets.join(nodes, "id").select("id", "n", "own", "root", F.explode("shingles").alias("h")), "dup-each")
+    nodes = split.join(least, "key").groupBy("id", "n", "own", "root").agg(
+        F.min("_least").alias("_least"), F.bool_or(F.col("root") != F.col("main")).alias("stray")
+    )
+    each = landed(sets.join(nodes, "id").select(*nodes.columns, F.explode("shingles").alias("h")), "dup-each")
     counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("_df"))
     rarest = Window.partitionBy("id").orderBy("_df", "h")
-    ranked = each.join(strays, "id").join(counts, "h").withColumn("_place", F.row_number().over(rarest))
     smallest = F.greatest("_least", F.ceil(F.col("n") * PERCENT / 100))
-    u, v = ranked.filter(F.col("_place") <= F.col("n") - _least_shared(F.col("n"), smallest) + 1), each
-    near = F.col("u._place") <= F.col("u.n") - _least_shared(F.col("u.n"), F.col("v.n")) + 1
-    apart = (F.col("u.h") == F.col("v.h")) & (F.col("u.root") != F.col("v.root")) & near & _may_link("u", "v")
-    rows = u.alias("u").join(v.alias("v"), apart)
+    ranked = each.join(counts, "h").withColumn("_place", F.row_number().over(rarest))
+    ranked = ranked.filter(F.col("_place") <= F.col("n") - _least_shared(F.col("n"), smallest) + 1)
+    ranked = landed(ranked.select("h", "id", "n", "own", "root", "stray", "_place"), "dup-rarest")
+    enough = _least_shared(F.col("u.n"), F.col("v.n"))
+    near = (F.col("u._place") <= F.col("u.n") - enough + 1) & (F.col("v._place") <= F.col("v.n") - enough + 1)
+    once = ~F.col("v.stray") | (F.col("u.id") < F.col("v.id"))
+    apart = (F.col("u.h") == F.col("v.h")) & (F.col("u.root") != F.col("v.root")) & once & near & _may_link("u", "v")
+    rows = ranked.filter("stray").alias("u").join(ranked.alias("v"), apart)
     return rows.select(F.least("u.id", "v.id").alias("a"), F.greatest("u.id", "v.id").alias("b")).distinct()
 
 
