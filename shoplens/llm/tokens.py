@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,20 +22,41 @@ MAX_BITS = 20
 BLOCK_IDS = 1 << 18
 CHECKPOINT_IDS = 256
 #: Remembered chunks of text per worker and generation; two generations are kept.
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 750_000
+
+
+def _byte_signs() -> list[str]:
+    """The printable sign by which byte-level vocabularies spell each byte: itself, or one past Latin-1."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    moved = {byte: 0x100 + place for place, byte in enumerate(b for b in range(256) if b not in printable)}
+    return [chr(moved.get(byte, byte)) for byte in range(256)]
+
+
+_BYTE_SIGNS = _byte_signs()
+_SPACE, _BREAK = _BYTE_SIGNS[0x20], _BYTE_SIGNS[0x0A]
+
+
+def _spelled(piece: str) -> str:
+    if piece.isascii():
+        return piece.replace(" ", _SPACE).replace("\n", _BREAK)
+    return "".join(map(_BYTE_SIGNS.__getitem__, piece.encode()))
+
+
+_LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
+#: Pieces that the library's splitting rule makes of words, punctuation and a line break before a
+#: word, without digits, apostrophes and other scripts. Only a chunk that consists of them counts.
+_PLAIN = re.compile(rf' ?{_LETTER}+| ?[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]+|\n(?={_LETTER})').findall
 
 
 class _Recent(dict):
     """A cache of bounded size: what is found in the older generation moves to the newer one."""
 
-    def __init__(self, make: Callable[[str], bytes], limit: int):
+    def __init__(self, make: Callable[[str], bytes | None], limit: int):
         super().__init__()
         self.make, self.limit, self.older = make, limit, {}
 
-    def __missing__(self, key: str) -> bytes:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
+    def __missing__(self, key: str) -> bytes | None:
+        value = self.older.get(key) or self.make(key)
         if len(self) >= self.limit:
             self.older = dict(self)
             self.clear()
@@ -47,7 +69,7 @@ class Encoder:
 
     For byte-level BPE vocabularies the text is cut at single spaces before a word, where the
     library's own splitting rule always cuts as well, and the ids of a chunk are remembered.
-    Texts in which that is not certain go through the library as a whole.
+    Texts with other spaces or with special tokens go through the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -64,31 +86,39 @@ class Encoder:
             and split.get("use_regex")
             and not split.get("add_prefix_space")
         )
-        added = "".join(f"|{re.escape(token['content'])}" for token in spec["added_tokens"])
-        self.uncertain = re.compile(rf"[ ]\s|[ ]\Z{added}").search
+        self.added = [token["content"] for token in spec["added_tokens"]]
         self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.typecode = "H" if self.width.itemsize == 2 else "I"
         self.pieces = _Recent(self._piece, CACHE_CHUNKS // 2)
-        self.chunks = _Recent(self._chunk, CACHE_CHUNKS)
+        self.chunks = _Recent(self._after_space, CACHE_CHUNKS)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.typecode, ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return np.array([token.id for token in self.tokenizer.model.tokenize(piece)], self.width).tobytes()
+        return self._bytes([token.id for token in self.tokenizer.model.tokenize(piece)])
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.pieces[piece] for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)])
+        plain = _PLAIN(chunk)
+        if sum(map(len, plain)) == len(chunk):
+            spelled = [_spelled(piece) for piece in plain]
+        else:
+            spelled = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
+        return b"".join(map(self.pieces.__getitem__, spelled))
+
+    def _after_space(self, chunk: str) -> bytes | None:
+        """The ids of the chunk with its space; none if more space follows, as the cut is then elsewhere."""
+        return self._chunk(f" {chunk}") if chunk and not chunk[0].isspace() else None
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned integers of the vocabulary's width."""
-        if not self.cut or self.uncertain(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
-        if not text:
-            return b""
-        chunks = text.replace(" ", "\x00 ").split("\x00") if "\x00" not in text else _spaced(text)
-        return b"".join(map(self.chunks.__getitem__, chunks))
-
-
-def _spaced(text: str) -> list[str]:
-    first, *rest = text.split(" ")
-    return [first, *[f" {part}" for part in rest]]
+        if self.cut and not any(token in text for token in self.added):
+            first, *rest = text.split(" ")
+            try:
+                return self._chunk(first) + b"".join(map(self.chunks.__getitem__, rest))
+            except TypeError:  # a chunk without ids of its own
+                pass
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
 
 _encoders: dict[str, Encoder] = {}
