@@ -323,6 +323,51 @@ def test_lines_within_two_edits_are_one_class(spark, docs):
     assert linedups.summarized(none_of(docs)).count() == 0
 
 
+def close_pairs(rng):
+    """Lines of 1 to 24 code points and edited ones."""
+    for _ in range(1500):
+        a = "".join(rng.choice("abcdefghijklmnopé漢") for _ in range(rng.randint(1, 24)))
+        yield a, changed(rng, a, rng.randint(1, 2)) or "z"
+
+
+def test_close_lines_of_any_length_share_a_key():
+    rng = random.Random(17)
+    pairs = [(a, b) for a, b in close_pairs(rng) if a != b and edits(a, b) <= 2]
+    lines = [x for pair in pairs for x in pair]
+    held = []
+    for indexed in (True, False):
+        owner, key = linedups._keys(lines, indexed)
+        keys = collections.defaultdict(set)
+        for i, k in zip(owner.tolist(), key.tolist(), strict=True):
+            keys[i].add(k)
+        held.append(keys)
+    for i in range(0, len(lines), 2):
+        long, short = (i, i + 1) if len(lines[i]) >= len(lines[i + 1]) else (i + 1, i)
+        assert held[0][short] & held[1][long], (lines[short], lines[long])
+
+
+def test_short_lines_within_two_edits_are_one_class(spark):
+    rng = random.Random(18)
+    pairs = [*close_pairs(rng)][:250]
+    pairs += [("Are is anwh reenen.", "Are, is anwh reenen."), ("Heti eror anesti.", "Heti, eror anesti.")]
+    texts = [x for pair in pairs for x in pair]
+    distinct = sorted(set(texts))
+    parent = {x: x for x in distinct}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in itertools.combinations(distinct, 2):
+        if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
+            parent[root(a)] = root(b)
+    first = {}
+    for i, x in enumerate(texts):
+        first.setdefault(root(x), i)
+    found = {r.doc_id: r for r in linedups.summarized(documents(spark, texts)).collect()}
+    assert [found[i].first_docs for i in range(len(texts))] == [[first[root(x)]] for x in texts]
+    assert 100 < len(first) < len(distinct) - 100
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
