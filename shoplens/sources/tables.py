@@ -76,13 +76,16 @@ def append_load(df: DataFrame, root: str, table: str, load: str) -> None:
 def keep_load(df: DataFrame, path: str, load: str | None = None) -> None:
     """Write rows to a folder of their load, which a repeated load replaces; nothing if there are none.
 
-    Without a name the load is named after its rows, so the same rows are kept once.
+    Without a name the load is named after its rows, so the same rows are kept once. Equal rows
+    add up in the name, and a hash skips nulls, so it takes their places as well.
     """
     rows = df.persist()
     try:
-        mark = rows.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*[F.col(c).cast("string") for c in rows.columns]))).first()
+        cells = [cell for c in rows.columns for cell in (F.col(c).cast("string"), F.col(c).isNull())]
+        sums = [F.sum(F.xxhash64(F.lit(seed), *cells).cast("decimal(38,0)")) for seed in (1, 2)]
+        mark = rows.agg(F.count(F.lit(1)), *sums).first()
         if mark[0]:
-            name = load or f"{mark[0]}-{mark[1] & (1 << 64) - 1:016x}"
+            name = load or "-".join([str(mark[0]), *[f"{int(x) & (1 << 96) - 1:024x}" for x in mark[1:]]])
             rows.write.mode("overwrite").parquet(f"{path}/load={name}")
     finally:
         rows.unpersist()

@@ -90,6 +90,15 @@ def test_rejects_are_kept_once(spark, tmp_path):
     assert rows_of(spark.read.parquet(f"{root}/rejected"), "a") == [(1,), (1,), (2,)]
 
 
+def test_other_loads_of_equal_rows_are_kept_too(spark, tmp_path):
+    path, schema = f"{tmp_path}/rejected", "a int, b string, c string"
+    loads = [[(1, "x", "y")] * 2, [(2, "x", "y")] * 2, [(1, "x", "y")] * 2, [(3, None, "z")], [(3, "z", None)]]
+    for load in loads:
+        tables.keep_load(spark.createDataFrame(load, schema), path)
+    kept = rows_of(spark.read.parquet(path), "a", "b", "c")
+    assert kept == [(1, "x", "y")] * 2 + [(2, "x", "y")] * 2 + [(3, None, "z"), (3, "z", None)]
+
+
 def test_an_order_without_lines_goes(spark, tmp_path):
     root = str(tmp_path)
     tables.merge_orders(spark, root, batch_of(spark, shop.order_page(), []))
