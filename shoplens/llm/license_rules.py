@@ -129,7 +129,7 @@ RULES_TEXT = r"""
 80 | mpl-2.0 | mozilla public licen | mozilla public license(?: mpl)? (?:version |v)?2(?: 0)?
 80 | ms-pl | microsoft public licen | microsoft public license(?: ms pl)?
 80 | ms-rl | microsoft reciprocal licen | microsoft reciprocal license(?: ms rl)?
-80 | odbl-1.0 | open database licen | open (?:data commons )?(?:open )?database license(?: odbl)?(?: (?:version |v)?1 0)?
+80 | odbl-1.0 | database licen | open (?:data commons )?(?:open )?database license(?: odbl)?(?: (?:version |v)?1 0)?
 80 | odc-by-1.0 | open data commons | open data commons attribution license(?: (?:version |v)?1 0)?
 80 | pddl-1.0 | open data commons | open data commons public domain dedication and licen[cs]e
 80 | ofl-1.0 | sil open font licen | sil open font license (?:version |v)?1 0
@@ -148,7 +148,8 @@ RULES_TEXT = r"""
 80 | commons-clause | commons clause | commons clause license condition(?: (?:version |v)?1 0)?
 80 | llama-2 | llama 2 community licen | llama 2 community license(?: agreement)?
 80 | llama-3 | llama 3 community licen | llama 3 community license(?: agreement)?
-80 | openrail-m | openrail | (?:creativeml |bigscience )?open ?rail(?: m)?(?: license)?
+80 | openrail-m | openrail | (?:creativeml |bigscience )?openrail(?: m)?(?: license)?
+80 | openrail-m | open rail | (?:creativeml |bigscience )?open rail(?: m)?(?: license)?
 70 | cc-by-4.0 | cc by | cc by 4 0
 70 | cc-by-3.0 | cc by | cc by 3 0
 70 | cc-by-2.0 | cc by | cc by 2 0
@@ -257,7 +258,7 @@ RULES_TEXT = r"""
 50 | dual | licen | dual licen[cs]ed under
 """
 
-#: Words of which one is in each keyword; a text with none of them, nor "cc by", skips the rules.
+#: Words of which one is in each match; a text with none of them, nor with ``SPLIT_GATES``, skips the rules.
 GATES = (
     "licen",
     "spdx",
@@ -278,7 +279,8 @@ GATES = (
     "redistribution",
     "w3c",
 )
-CC_BY = "cc by"
+#: The same in two words.
+SPLIT_GATES = ("cc by", "open rail")
 
 
 def rules() -> list[tuple[int, str, str, str]]:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import landed, let, lower_ascii, text_or_empty
-from shoplens.llm.license_rules import CC_BY, GATES, rules
+from shoplens.llm.license_rules import GATES, SPLIT_GATES, rules
 from shoplens.llm.spans import hits, located, overruled
 
 _SEPARATOR = r"\x00-\x2F\x3A-\x60\x7B-\x7F"
@@ -43,7 +43,7 @@ LEVELS = sorted({priority for priority, *_ in RULES})
 def _gate(text: Column) -> Column:
     low = F.lower(text)
     return reduce(lambda a, b: a | b, [low.contains(word) for word in GATES]) | low.rlike(
-        CC_BY.replace(" ", _GAP)
+        "|".join(SPLIT_GATES).replace(" ", _GAP)
     )
 
 

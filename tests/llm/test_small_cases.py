@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from shoplens.llm import (
     decontaminate,
+    license_rules,
     licenses,
     linedups,
     mixing,
@@ -555,6 +556,42 @@ def test_every_rule_has_its_keyword():
         assert label and re.split("[^a-z0-9]", keyword)[0][:3] in plain, (label, keyword)
 
 
+def variants(parsed):
+    """The texts of a parsed pattern with every choice and optional part taken; ``~`` for what is not literal."""
+    out = [""]
+    for kind, value in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            more = [chr(value)]
+        elif name == "SUBPATTERN":
+            more = variants(value[-1])
+        elif name == "BRANCH":
+            more = [x for choice in value[1] for x in variants(choice)]
+        elif name == "IN" and all(str(k) == "LITERAL" for k, _ in value):
+            more = [chr(x) for _, x in value]
+        elif name in ("MAX_REPEAT", "MIN_REPEAT") and value[:2] == (0, 1):
+            more = ["", *variants(value[2])]
+        else:
+            more = [""] if name.startswith("ASSERT") else ["~"]
+        out = [a + b for a in out for b in more]
+    return out
+
+
+def test_every_variant_of_a_rule_has_its_keyword_and_a_gate():
+    for _, _, keyword, pattern in rules():
+        for text in variants(re._parser.parse(pattern)):
+            plain = re.sub("[^a-z0-9~]+", " ", text)
+            assert re.sub("[^a-z0-9]", " ", keyword) in plain, (keyword, text)
+            gates = [*license_rules.GATES, *license_rules.SPLIT_GATES]
+            assert any(gate in plain for gate in gates), (keyword, text)
+
+
+def test_open_rail_in_two_words(spark):
+    texts = ["CreativeML Open RAIL-M License", "under Open\nRAIL, as is", "OpenRAIL-M", "open trail", "Open RAIL++"]
+    out = {r.doc_id: r for r in licenses.licensed(documents(spark, texts)).select("row.doc_id", "labels").collect()}
+    assert [out[i].labels for i in range(5)] == ["openrail-m", "openrail-m", "openrail-m", "", "openrail-m"]
+
+
 # --- shards ----------------------------------------------------------------------------------
 
 
