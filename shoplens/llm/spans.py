@@ -49,10 +49,11 @@ def located(rows: DataFrame, keys: Sequence[str], found: str) -> DataFrame:
 
 
 def overruled(rows: DataFrame, key: str, levels: Sequence[int], tie: str) -> DataFrame:
-    """Adds ``overruled``: the span overlaps one of higher ``level``, or lies inside an earlier one of its own.
+    """Adds ``overruled``: the span overlaps a kept one of higher ``level``, or lies inside an earlier one of its own.
 
-    Earlier means smaller start, then larger end, then smaller ``tie``. All spans count, overruled
-    or not. Two running extremes per level find this in sorted order, without pairs of spans.
+    Earlier means smaller start, then larger end, then smaller ``tie``. Levels are settled from the
+    highest down, and only spans that are not overruled themselves count. Running extremes per
+    level find this in sorted order, without pairs of spans and with one shuffle.
     """
     ahead = Window.partitionBy(key).orderBy("start", F.desc("end"), tie).rowsBetween(Window.unboundedPreceding, -1)
     behind = (
@@ -60,15 +61,14 @@ def overruled(rows: DataFrame, key: str, levels: Sequence[int], tie: str) -> Dat
         .orderBy(F.desc("start"), "end", F.desc(tie))
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    level, start, end = F.col("level"), F.col("start"), F.col("end")
-    hit = F.lit(False)
-    reach = {n: F.max(F.when(level == n, end)).over(ahead) for n in levels}
-    next_start = {n: F.min(F.when(level == n, start)).over(behind) for n in levels}
-    for own in levels:
-        higher = [n for n in levels if n > own]
-        clash = reach[own] >= end
-        for n in higher:
-            clash = F.coalesce(clash, F.lit(False)) | F.coalesce(reach[n] > start, F.lit(False))
-            clash = clash | F.coalesce(next_start[n] < end, F.lit(False))
-        hit = F.when(level == own, F.coalesce(clash, F.lit(False))).otherwise(hit)
-    return rows.withColumn("overruled", hit)
+    no = F.lit(False)
+    out = rows.withColumn("_kept", no)
+    for own in sorted(levels, reverse=True):
+        out = out.withColumn("_next", F.min(F.when(F.col("_kept"), F.col("start"))).over(behind))
+        out = out.withColumn("_reach", F.max(F.when(F.col("_kept"), F.col("end"))).over(ahead))
+        clash = F.coalesce(F.col("_reach") > F.col("start"), no) | F.coalesce(F.col("_next") < F.col("end"), no)
+        out = out.withColumn("_free", (F.col("level") == own) & ~clash)
+        out = out.withColumn("_around", F.max(F.when(F.col("_free"), F.col("end"))).over(ahead))
+        inside = F.coalesce(F.col("_around") >= F.col("end"), no)
+        out = out.withColumn("_kept", F.col("_kept") | (F.col("_free") & ~inside))
+    return out.withColumn("overruled", ~F.col("_kept")).drop("_kept", "_next", "_reach", "_free", "_around")

@@ -27,6 +27,7 @@ from shoplens.llm import (
     quality,
     sharding,
     shingles,
+    spans,
     tokens,
     warc,
 )
@@ -510,6 +511,24 @@ def test_signatures_estimate_similarity():
     assert (whole == shingles.signatures([pool], 144)).all()
 
 
+def test_only_kept_spans_overrule(spark):
+    rng = random.Random(19)
+    rows = [(0, 2, 13, 23, "a"), (0, 1, 0, 14, "b"), (0, 0, 6, 12, "c"), (0, 1, 2, 9, "d")]
+    for n in range(1, 80):
+        for _ in range(rng.randint(1, 12)):
+            start = rng.randint(0, 30)
+            rows.append((n, rng.randint(0, 3), start, start + rng.randint(1, 9), f"k{len(rows):04}"))
+    kept = collections.defaultdict(list)
+    for row in sorted(rows, key=lambda r: (-r[1], r[2], -r[3], r[4])):
+        n, level, start, end, _ = row
+        if not any(s < end and start < e if l > level else s <= start and end <= e for _, l, s, e, _ in kept[n]):
+            kept[n].append(row)
+    made = spark.createDataFrame(rows, "n int, level int, start long, end long, tie string")
+    out = spans.overruled(made, "n", range(4), "tie").filter("not overruled").drop("overruled").collect()
+    assert sorted(tuple(r) for r in out) == sorted(row for some in kept.values() for row in some)
+    assert [r[4] for r in kept[0]] == ["a", "d"]
+
+
 # --- licenses --------------------------------------------------------------------------------
 
 LICENSED = [
