@@ -163,14 +163,11 @@ RULES_TEXT = r"""
 70 | cc-by-nc-sa-3.0 | cc by | cc by nc sa 3 0
 70 | cc-by-nc-nd-4.0 | cc by | cc by nc nd 4 0
 70 | cc-by-nc-nd-3.0 | cc by | cc by nc nd 3 0
-70 | cc-by-sa-4.0 | cc-by | cc by sa 4 0
-70 | cc-by-nc-4.0 | cc-by | cc by nc 4 0
-70 | cc-by-4.0 | cc-by | cc by 4 0
 70 | mit | permission is hereby granted | permission is hereby granted free of charge to any person obtaining a copy of this software
 70 | isc | permission to use | permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted
 70 | bsd-family | redistribution and use | redistribution and use in source and binary forms with or without modification are permitted
-70 | bsd-3-clause | licen | neither the name of [^.]{1,120} nor the names of its contributors may be used [^.]{0,80}license
-70 | zlib | licen | this software is provided as is without any express or implied warranty[^.]{0,200}zlib license
+70 | bsd-3-clause | names of its contributors | neither the names? of (?:(?!neither the name|nor the names of)[\s\S])++nor the names of its contributors may be used to endorse or promote products
+70 | zlib | express or implied warranty | this software is provided as is without any express or implied warranty in no event will the authors be held liable
 70 | unlicense | released into the public domain | this is free and unencumbered software released into the public domain
 70 | boost-1.0 | permission is hereby granted | permission is hereby granted free of charge to any person or organization obtaining a copy of the software
 70 | gpl-notice | terms of the gnu | (?:redistribute it and or modify it )?under the terms of the gnu general public licen[cs]e
@@ -215,9 +212,6 @@ RULES_TEXT = r"""
 60 | cc-by-nd | cc by | cc by nd
 60 | cc-by-nc-sa | cc by | cc by nc sa
 60 | cc-by-nc-nd | cc by | cc by nc nd
-60 | cc-by-sa | cc-by | cc by sa
-60 | cc-by-nc | cc-by | cc by nc
-60 | cc-by-nd | cc-by | cc by nd
 60 | cecill | cecill | cecill(?: [abc])?(?: free software)? licen[cs]e(?: agreement)?
 60 | cddl | common development and distribution licen | common development and distribution license
 60 | epl | eclipse public licen | eclipse public license
@@ -250,7 +244,7 @@ RULES_TEXT = r"""
 60 | curl | curl licen | curl license
 50 | public-domain | public domain | (?:dedicated to|released into|placed in|in) the public domain
 50 | cc | creative commons | creative commons(?: public)? licen[cs]e
-50 | proprietary | all rights reserved | copyright [^\n]{1,80}all rights reserved
+50 | proprietary | all rights reserved | copyright (?:(?!copyright |all rights reserved|\n\s*\n)[\s\S])++all rights reserved
 50 | proprietary | licen | proprietary (?:software )?licen[cs]e
 50 | commercial | licen | commercial licen[cs]e
 50 | non-commercial | licen | non ?commercial (?:use )?licen[cs]e
@@ -274,6 +268,8 @@ GATES = (
     "opensource",
     "domain",
     "reserved",
+    "contributors",
+    "warranty",
     "attribution",
     "permission",
     "redistribution",

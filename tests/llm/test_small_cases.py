@@ -611,6 +611,22 @@ def test_open_rail_in_two_words(spark):
     assert [out[i].labels for i in range(5)] == ["openrail-m", "openrail-m", "openrail-m", "", "openrail-m"]
 
 
+def test_clauses_and_notices_as_they_are_written(spark):
+    assert len(set(licenses.RULES)) == len(licenses.RULES)
+    texts = [
+        " * Neither the name of Example Inc. nor the names of its\n * contributors may be used to endorse or promote products",
+        "This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable",
+        "Copyright (c) 2020 Example\nAll rights reserved.",
+        f"Copyright 2020 {'Example and ' * 20}Sons. All rights reserved.",
+        "Copyright 2020 Example, all rights reserved",
+        "Copyright law\n\nis long. All rights reserved",
+        f"{'copyright ' * 20_000}\n\nCopyright {'line x\n' * 20_000}all rights reserved",
+    ]
+    out = {r.doc_id: r for r in licenses.licensed(documents(spark, texts)).select("row.doc_id", "labels").collect()}
+    notice = ["proprietary"] * 3
+    assert [out[i].labels for i in range(7)] == ["bsd-3-clause", "zlib", *notice, "", "proprietary"]
+
+
 # --- shards ----------------------------------------------------------------------------------
 
 
