@@ -114,7 +114,174 @@ SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, d.doc_id =
 FROM documents d JOIN firsts f ON f.doc_id = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 
+_LOWER = r"translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERMS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+_RANKED = rf"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+sizes AS MATERIALIZED (SELECT r, doc_id, len(w)::BIGINT AS n FROM docs WHERE len(w) > 0),
+totals AS MATERIALIZED (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM sizes),
+items AS MATERIALIZED (
+  SELECT DISTINCT i, item_id, unnest(w) AS t FROM (SELECT row_number() OVER () AS i, item_id, {_TERMS} AS w FROM benchmark)
+),
+held AS MATERIALIZED (
+  SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM docs)
+  WHERE t IN (SELECT t FROM items) GROUP BY ALL
+),
+weights AS MATERIALIZED (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS weight
+  FROM held, totals GROUP BY t, n_docs
+),
+scores AS (
+  SELECT i, item_id, doc_id,
+    sum(weight * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM items JOIN held USING (t) JOIN weights USING (t) JOIN sizes USING (r), totals GROUP BY i, item_id, r, doc_id
+)
+SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS FIRST)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+_TRIE = """
+WITH crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda n: list_reduce(
+    list_prepend(n::UBIGINT, list_transform(range(8), lambda k: 0::UBIGINT)),
+    lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END)) AS t
+),
+said AS MATERIALIZED (
+  SELECT conv_id, hex(encode(conv_id::VARCHAR)) AS hx, list({'r': coalesce(role, ''), 't': coalesce(text, '')}
+    ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS s
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+),
+wanted AS (
+  SELECT conv_id, s, (xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(strlen(hx) // 2),
+      lambda i: (('0x' || substr(hx, (2 * i + 1)::INT, 2))::INT)::UBIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT) % 6)::INT AS h
+  FROM said, crc_table
+),
+whole AS MATERIALIZED (
+  SELECT w.conv_id, list_concat(CASE WHEN b.conv_id IS NULL THEN [] ELSE b.s[1:w.h] END, w.s[w.h + 1:]) AS s
+  FROM wanted w LEFT JOIN said b ON b.conv_id = w.conv_id - w.conv_id % 100
+),
+places AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM whole),
+members AS MATERIALIZED (
+  SELECT conv_id, depth, len(s) = depth AS last, coalesce(length(s[depth].t), 0) AS chars,
+    array_to_string(list_transform(s[1:depth], lambda x: length(x.r) || ':' || length(x.t) || ':' || x.r || x.t), '') AS path,
+    array_to_string(list_transform(s[1:depth - 1], lambda x: length(x.r) || ':' || length(x.t) || ':' || x.r || x.t), '') AS above
+  FROM places
+),
+nodes AS MATERIALIZED (
+  SELECT depth, path, min(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE last), '')) AS ends_sha256
+  FROM members GROUP BY depth, path
+),
+children AS MATERIALIZED (SELECT depth - 1 AS depth, above AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+sums AS (
+  SELECT m.depth, m.path, count(*) FILTER (WHERE c.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved
+  FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.path = n.path
+  JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY ALL
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs::BIGINT AS n_convs,
+  coalesce(c.n, 0)::BIGINT AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN sums s ON s.depth = n.depth AND s.path = n.path
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.above
+LEFT JOIN children c ON c.depth = n.depth AND c.path = n.path
+"""
+
+_KEYWORDS = "|".join(
+    "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key")
+)
+_SECRET_PATTERNS = {
+    "assign": rf"""({_KEYWORDS})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+    "random": "[A-Za-z0-9+/_-]{16,}={0,2}",
+}
+_SECRET_MATCHES = " UNION ALL ".join(
+    f"SELECT rid, '{kind}' AS kind, {place} AS place, regexp_extract_all(text, '{pattern}') AS h, "
+    f"string_split_regex(text, '{pattern}') AS g FROM docs"
+    for place, (kind, pattern) in enumerate(_SECRET_PATTERNS.items())
+)
+_IDENTIFIER = "^[+/_=-]*(?:(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*|[A-Z]{2,}|[0-9]+)(?:[+/_=-]+|$))+$"
+_STATES = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+
+_SECRETS = rf"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+matches AS ({_SECRET_MATCHES}),
+places AS (SELECT rid, kind, place, h, g, unnest(range(1, len(h) + 1)) AS i FROM matches),
+located AS (
+  SELECT rid, kind, place, h[i] AS hit, (list_sum(list_transform(g[1:i], lambda x: length(x)))
+    + coalesce(list_sum(list_transform(h[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s
+  FROM places
+),
+spans AS MATERIALIZED (
+  SELECT *, s + length(hit) AS e FROM located WHERE CASE kind
+    WHEN 'assign' THEN length(regexp_extract(hit, '{_SECRET_PATTERNS["assign"]}', 2)) >= 8
+    WHEN 'access' THEN length(hit) >= 16 WHEN 'hex' THEN length(hit) >= 32 ELSE true END
+),
+touched AS MATERIALIZED (
+  SELECT *, EXISTS (SELECT 1 FROM spans b WHERE b.rid = r.rid AND b.kind <> 'random' AND b.s < r.e AND r.s < b.e) AS inside
+  FROM spans r WHERE kind = 'random'
+),
+made AS (
+  SELECT unnest([left(sha256('hex:' || i), 40), left(upper(sha256('upper:' || i)), 40),
+    left(base64(unhex(sha256('base64:' || i))), 40), left(translate(base64(unhex(sha256('address:' || i))), '+/', '-_'), 40)]) AS hit
+  FROM range(4000) t(i)
+),
+samples AS MATERIALIZED (
+  SELECT *, ('0x' || substr(md5(hit), 1, 8))::BIGINT % 5 = 0 AS held FROM (
+    SELECT DISTINCT hit, inside AS random FROM touched
+    WHERE length(hit) <= 128 AND inside <> regexp_matches(hit, '{_IDENTIFIER}')
+    UNION ALL SELECT hit, true FROM made)
+),
+coded AS MATERIALIZED (
+  SELECT hit, list_transform(string_split(hit, ''), lambda c: instr('{_STATES}', c)) AS c
+  FROM (SELECT hit FROM samples UNION SELECT hit FROM touched)
+),
+pairs AS MATERIALIZED (
+  SELECT hit, unnest(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN i = 1 THEN 0 ELSE c[i - 1] END * 68 + c[i])) AS pair
+  FROM coded
+),
+counts AS MATERIALIZED (
+  SELECT random, pair, count(*) AS n FROM samples JOIN pairs USING (hit) WHERE NOT held GROUP BY ALL
+),
+grid AS (
+  SELECT p.pair, coalesce(a.n, 0) AS a, coalesce(b.n, 0) AS b FROM range(68 * 68) p(pair)
+  LEFT JOIN counts a ON a.random AND a.pair = p.pair LEFT JOIN counts b ON NOT b.random AND b.pair = p.pair
+),
+weights AS MATERIALIZED (
+  SELECT pair, round(1000 * ln(((a + 0.5::DOUBLE) / (sum(a) OVER own + 34.0::DOUBLE))
+    / ((b + 0.5::DOUBLE) / (sum(b) OVER own + 34.0::DOUBLE))))::BIGINT AS weight
+  FROM grid WINDOW own AS (PARTITION BY pair // 68)
+),
+scores AS MATERIALIZED (SELECT hit, sum(weight)::BIGINT AS score FROM pairs JOIN weights USING (pair) GROUP BY hit),
+steps AS (
+  SELECT floor(score / 1000)::BIGINT AS step, count(*) AS n FROM samples JOIN scores USING (hit)
+  WHERE held AND NOT random GROUP BY ALL
+),
+passing AS (SELECT step, sum(n) OVER (ORDER BY step DESC) AS n, sum(n) OVER () AS total FROM steps),
+least AS (SELECT greatest(6908, coalesce((max(step) FILTER (WHERE n > 0.001::DOUBLE * total) + 1) * 1000, 0)) AS score FROM passing),
+kept AS (
+  SELECT rid, kind, place, s, e FROM spans WHERE kind <> 'random'
+  UNION ALL
+  SELECT rid, kind, place, s, e FROM touched JOIN scores USING (hit) JOIN least ON scores.score >= least.score WHERE NOT inside
+),
+lists AS (
+  SELECT rid, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+    count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE kind = 'random') AS n_random,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place, e) FILTER (WHERE kind <> 'random') AS base,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, place, e) AS spans
+  FROM kept GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access,
+  coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_random, 0)::BIGINT AS n_random
+FROM docs LEFT JOIN lists USING (rid)
+"""
+
 ORACLE: dict[str, str] = {
+    "op11_markov_secrets": _SECRETS,
+    "op12_prefix_trie": _TRIE,
+    "op13_pair_bound_search": _RANKED,
     "op8_superminhash_groups": _NEAR,
     "op2_warc_transactions": _WARC,
     "op7_source_mix": _MIX,

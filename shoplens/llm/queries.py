@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm import decontaminate, licenses, linedups, mixing, neardup, pii, quality, sharding, tokens, warc
+from shoplens.llm import (
+    decontaminate,
+    licenses,
+    linedups,
+    mixing,
+    neardup,
+    pii,
+    quality,
+    ranked,
+    secret_scan,
+    sharding,
+    tokens,
+    trie,
+    warc,
+)
 from shoplens.llm.common import n_words, table, text_or_empty
 from shoplens.session import shared_dir
 
@@ -126,3 +140,27 @@ def op5_line_edit_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = rows.join(lines, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("row_hash")), "left")
     count = lambda name: F.coalesce(name, F.lit(0)).cast("long").alias(name)
     return out.select("doc_id", count("n_lines"), count("n_repeated"), "first_docs")
+
+
+@query
+def op11_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secrets_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "row.doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(F.col("base_spans").cast("binary"), 256).alias("base_sha256"),
+        "spans",
+        "n_random",
+    )
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_pair_bound_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
