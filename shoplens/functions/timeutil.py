@@ -91,12 +91,28 @@ def _between_literals(df: DataFrame, column: str, lo: dt.datetime, hi: dt.dateti
     kept = df.filter((F.col(column) > utc_literal(lo)) & (F.col(column) < utc_literal(hi)))
     if "day" in df.columns:
         kept = kept.filter(F.col("day").between(F.lit(lo.date()), F.lit(hi.date())))
-    if column == "updated_at" and {"open", "part"} <= set(df.columns):
-        # Stored orders: paid ones lie in folders of months.
+    if has_months(df, column):
         kept = kept.filter(F.col("open") | F.col("part").between(F.lit(f"{lo:%Y-%m}"), F.lit(f"{hi:%Y-%m}")))
     return kept
 
 
+def has_months(df: DataFrame, column: str) -> bool:
+    """Whether rows that are not ``open`` lie in folders ``part`` of the column's month, as the store says of its tables."""
+    return "part" in df.columns and df.schema["part"].metadata.get("layout") == f"month of {column}"
+
+
+def after(df: DataFrame, column: str, earliest: DataFrame) -> DataFrame:
+    """Rows later than the one value of ``earliest``, which prunes the folders of stored tables at run time.
+
+    Without a value there are no rows.
+    """
+    kept = df.filter(F.col(column) > earliest.scalar())
+    if has_months(df, column):
+        month = earliest.select(F.date_format(earliest.columns[0], "yyyy-MM"))
+        kept = kept.filter(F.col("open") | (F.col("part") >= month.scalar()))
+    return kept
+
+
 @dataclass(frozen=True)
 class ReportWindow:
     """An open time range in local time: ``start < t < end``.

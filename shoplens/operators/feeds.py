@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.text import filled
 from shoplens.functions.timeutil import iso_to_time
-from shoplens.schemas import conform
+from shoplens.schemas import TABLES, conform
 
 # Columns that may not be missing in an accepted row.
 ORDER_REQUIRED = (
@@ -39,24 +39,27 @@ def entries_of(pages: DataFrame, entries: str, name: str) -> DataFrame:
     return pages.select("client_id", F.explode_outer(entries).alias(name)).filter(F.col(name).isNotNull())
 
 
+def _line(order: Column, item: Column) -> dict[str, Column]:
+    """The columns that an order line takes from its document and its item."""
+    return {
+        "order_id": order["id"],
+        "email_id": order["email"],
+        "cart_token": order["cart_token"],
+        "updated_at": iso_to_time(order["updated_at"]),
+        "landing_page": order["landing_site"],
+        "product_id": item["product_id"],
+        "variant_id": item["variant_id"],
+        "variant_quantity": item["quantity"].try_cast("int"),
+        "variant_price": item["price"].try_cast("decimal(8,2)"),
+    }
+
+
 def _order_lines(pages: DataFrame, entries: str, is_paid: bool) -> DataFrame:
-    lines = entries_of(pages, entries, "o").select(
-        "client_id",
-        F.col("o.id").alias("order_id"),
-        F.col("o.email").alias("email_id"),
-        F.col("o.cart_token").alias("cart_token"),
-        iso_to_time(F.col("o.updated_at")).alias("updated_at"),
-        F.col("o.landing_site").alias("landing_page"),
-        F.explode("o.line_items").alias("i"),
-    )
+    lines = entries_of(pages, entries, "o").select("client_id", "o", F.explode("o.line_items").alias("i"))
+    columns = _line(F.col("o"), F.col("i"))
     return lines.select(
-        "*",
-        F.col("i.product_id").alias("product_id"),
-        F.col("i.variant_id").alias("variant_id"),
-        F.col("i.quantity").try_cast("int").alias("variant_quantity"),
-        F.col("i.price").try_cast("decimal(8,2)").alias("variant_price"),
-        F.lit(is_paid).alias("payment_status"),
-    ).drop("i")
+        "client_id", *[c.alias(name) for name, c in columns.items()], F.lit(is_paid).alias("payment_status")
+    )
 
 
 def anonymous_token(kind: str) -> Column:
@@ -64,11 +67,14 @@ def anonymous_token(kind: str) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", F.lit(kind), "client_id", F.col("order_id").cast("string")), 256), 1, 32)
 
 
+def _own_cart(given: Column) -> Column:
+    return F.when(filled(given), given).otherwise(anonymous_token("cart"))
+
+
 def order_rows(pages: DataFrame) -> DataFrame:
     """Paid order lines; an order without a cart gets a cart of its own."""
     lines = _order_lines(pages, "orders", True)
-    token = F.when(filled(F.col("cart_token")), F.col("cart_token")).otherwise(anonymous_token("cart"))
-    return conform(lines.withColumn("cart_token", token), "orders")
+    return conform(lines.withColumn("cart_token", _own_cart(F.col("cart_token"))), "orders")
 
 
 def checkout_rows(pages: DataFrame) -> DataFrame:
@@ -81,6 +87,33 @@ def order_batch(order_pages: DataFrame, checkout_pages: DataFrame) -> DataFrame:
     return order_rows(order_pages).unionByName(checkout_rows(checkout_pages))
 
 
+def order_documents(order_pages: DataFrame, checkout_pages: DataFrame) -> DataFrame:
+    """One row per order or checkout: client_id, order_id, ``version`` and its complete lines as ``rows``.
+
+    Of several versions of one document the one updated last counts, and of these a paid one. Documents
+    without an id or a readable time are left out: they change nothing, and their lines are rejected.
+    """
+    entries = [
+        entries_of(pages, name, "o").select(
+            "client_id", "o", F.lit(is_paid).alias("paid"), iso_to_time(F.col("o.updated_at")).alias("version")
+        )
+        for pages, name, is_paid in ((order_pages, "orders", True), (checkout_pages, "checkouts", False))
+    ]
+    known = entries[0].unionByName(entries[1]).filter(F.col("o.id").isNotNull() & F.col("version").isNotNull())
+    last = known.groupBy("client_id", F.col("o.id").alias("order_id")).agg(
+        F.max_by(F.struct("o", "paid"), F.struct("version", "paid")).alias("d"), F.max("version").alias("version")
+    )
+
+    def line(item: Column) -> Column:
+        columns = {"client_id": F.col("client_id"), **_line(F.col("d.o"), item), "payment_status": F.col("d.paid")}
+        columns["cart_token"] = F.when(F.col("d.paid"), _own_cart(columns["cart_token"])).otherwise(columns["cart_token"])
+        return F.struct(*[columns[name].cast(kind).alias(name) for name, kind in TABLES["orders"].items()])
+
+    lines = F.transform(F.coalesce("d.o.line_items", F.array()), line)
+    whole = F.filter(lines, lambda r: F.forall(F.array(*[r[c].isNotNull() for c in ORDER_REQUIRED]), lambda there: there))
+    return last.select("client_id", "order_id", "version", whole.alias("rows"))
+
+
 def named_documents(order_pages: DataFrame, checkout_pages: DataFrame) -> DataFrame:
     """Ids (client_id, order_id) of all documents, with or without lines; a null id for an empty page."""
     ids = [

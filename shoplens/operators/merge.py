@@ -34,7 +34,8 @@ def upsert_orders(
     if whole_snapshots:
         unpaid = kept.filter("not payment_status")
         others = kept.filter("payment_status or payment_status is null")
-        kept = others.unionByName(unpaid.join(named.select("client_id").distinct(), "client_id", "left_anti"))
+        unnamed = unpaid.join(newer, key, "left_anti").join(named.select("client_id").distinct(), "client_id", "left_anti")
+        kept = others.unionByName(unpaid.join(newer, key, "left_semi")).unionByName(unnamed)
     return kept.unionByName(delete_keys(batch, newer, key))
 
 

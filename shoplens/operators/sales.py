@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.text import page_type
+from shoplens.functions.timeutil import after
 
 
 def paid(orders: DataFrame) -> DataFrame:
@@ -77,10 +78,11 @@ def attributed_sales(
 
     Revenue adds distinct (session, order, cart, variant, quantity, price) rows: repeated
     events or cookies do not count twice, and equal lines of one order merge. It is built as
-    sessions of the cart times the value of the cart's distinct lines.
+    sessions of the cart times the value of the cart's distinct lines. Orders before the first
+    experiment began count for none and are not read.
     """
     lines = (
-        paid(orders)
+        paid(after(orders, "updated_at", starts.agg(F.min("start_time").alias("first"))))
         .filter(F.col("cart_token").isNotNull())
         .groupBy("client_id", "cart_token", "order_id", "variant_id", "variant_quantity", "variant_price")
         .agg(F.max("updated_at").alias("last_update"))

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from shoplens.operators import feeds
 from shoplens.operators.merge import new_cookies, new_events, serve_latest
+from shoplens.sources import versions
 from shoplens.sources.documents import unreadable_pages
-from shoplens.sources.tables import append_table, keep_load, merge_orders, merge_products, read_table
+from shoplens.sources.tables import append_table, keep_load, read_table
 
 
 def keep_rejected(rows: DataFrame, required: tuple[str, ...], root: str, table: str, load: str | None = None) -> None:
@@ -34,8 +35,9 @@ def sync_orders(spark: SparkSession, root: str, order_pages: DataFrame, checkout
     keep_rejected(rows, feeds.ORDER_REQUIRED, root, "orders")
     keep_unreadable(order_pages, root, "orders")
     keep_unreadable(checkout_pages, root, "checkouts")
-    named = feeds.named_documents(order_pages, checkout_pages)
-    merge_orders(spark, root, feeds.complete(rows, feeds.ORDER_REQUIRED), named)
+    synced = feeds.named_documents(order_pages, checkout_pages).select("client_id")
+    versions.sync_orders(spark, root, feeds.order_documents(order_pages, checkout_pages), synced)
+    versions.maintain(spark, root, "orders")
 
     carts = feeds.anonymous_carts(order_pages).filter("creation_time is not null")
     append_table(new_cookies(read_table(spark, root, "cookies"), carts), root, "cookies")
@@ -55,4 +57,5 @@ def sync_products(spark: SparkSession, root: str, product_pages: DataFrame) -> N
     rows = feeds.product_rows(product_pages)
     keep_rejected(rows, feeds.PRODUCT_REQUIRED, root, "products")
     keep_unreadable(product_pages, root, "products")
-    merge_products(spark, root, feeds.complete(rows, feeds.PRODUCT_REQUIRED))
+    versions.sync_products(spark, root, feeds.complete(rows, feeds.PRODUCT_REQUIRED))
+    versions.maintain(spark, root, "products")

@@ -1,37 +1,19 @@
 """The stored tables: parquet folders laid out for pruning.
 
-Page views and events are laid out by UTC day, so a report window reads only its days. Paid
-orders are laid out by the UTC month of their last update, for the same reason, and open
-checkouts by a hash of the tenant, so a sync rewrites those of the tenants it names. Products
-are laid out by a hash of the variant, which spreads a large tenant over all folders.
+Page views and events are laid out by UTC day, so a report window reads only its days. Orders
+and products are versions of documents, see ``versions``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.operators.merge import upsert_orders, upsert_products
 from shoplens.schemas import EVENT_TIME, TABLES, conform, ddl
-from shoplens.session import shared_dir
+from shoplens.sources import folders, versions
 
-FOLDERS = 64
-
-LAYOUT: dict[str, list[str]] = {
-    **{table: ["day", "load"] for table in EVENT_TIME},
-    "orders": ["open", "part"],
-    "products": ["bucket"],
-}
-_LAYOUT_TYPES = {"day": "date", "load": "string", "open": "boolean", "part": "string", "bucket": "int"}
-
-
-def _bucket(column: str) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(FOLDERS)).cast("int")
-
-
-def _tenant_part() -> Column:
-    """Folder of a tenant's open checkouts."""
-    return F.concat(F.lit("t"), _bucket("client_id").cast("string"))
+LAYOUT: dict[str, list[str]] = {table: ["day", "load"] for table in EVENT_TIME}
+_LAYOUT_TYPES = {"day": "date", "load": "string"}
 
 
 def with_layout(df: DataFrame, table: str, load: str = "batch") -> DataFrame:
@@ -42,12 +24,6 @@ def with_layout(df: DataFrame, table: str, load: str = "batch") -> DataFrame:
     out = conform(df, table)
     if table in EVENT_TIME:
         return out.withColumn("day", F.to_date(EVENT_TIME[table])).withColumn("load", F.lit(load))
-    if table == "orders":
-        open_ = ~F.coalesce("payment_status", F.lit(False))
-        month = F.coalesce(F.date_format("updated_at", "yyyy-MM"), F.lit("none"))
-        return out.withColumn("open", open_).withColumn("part", F.when(open_, _tenant_part()).otherwise(month))
-    if table == "products":
-        return out.withColumn("bucket", _bucket("variant_id"))
     return out
 
 
@@ -64,6 +40,9 @@ def _write(df: DataFrame, path: str, table: str, mode: str, **options: str) -> N
 
 def append_table(df: DataFrame, root: str, table: str) -> None:
     """Append rows to a stored table."""
+    if table in versions.KEYS:
+        versions.append(df, root, table)
+        return
     _write(with_layout(df, table), f"{root}/{table}", table, "append")
 
 
@@ -93,9 +72,11 @@ def keep_load(df: DataFrame, path: str, load: str | None = None) -> None:
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     """A stored table with its layout columns; empty when it was never written."""
+    if table in versions.KEYS:
+        return versions.view(spark, root, table).drop(*versions.DIGESTS[table])
     path = f"{root}/{table}"
     extra = "".join(f", {c} {_LAYOUT_TYPES[c]}" for c in LAYOUT.get(table, []))
-    if not _exists(spark, path):
+    if not folders.exists(spark, path):
         return spark.createDataFrame([], ddl(table) + extra)
     return spark.read.schema(ddl(table) + extra).parquet(path)
 
@@ -104,88 +85,26 @@ def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return {table: read_table(spark, root, table) for table in TABLES}
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-
-
-def _drop_folder(spark: SparkSession, path: str) -> None:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
-def replace_folders(df: DataFrame, root: str, table: str, touched: DataFrame) -> None:
-    """Replace the ``touched`` folders of a table by ``df``, which may read the same table.
-
-    The result is complete in a staging folder before any live folder changes, so a lost
-    executor or a failed job leaves the table as it was, and a repeated run ends the same.
-    """
-    spark = df.sparkSession
-    cols = LAYOUT[table]
-    live, staged = f"{root}/{table}", shared_dir(spark, f"staging-{table}")
-    _write(df, staged, table, "overwrite")
-    # Folder names only: as many rows as the sync touches folders.
-    fresh = spark.read.schema(df.schema).parquet(staged)
-    emptied = [r.asDict() for r in touched.select(*cols).distinct().exceptAll(fresh.select(*cols).distinct()).toLocalIterator()]
-    _write(fresh, live, table, "overwrite", partitionOverwriteMode="dynamic")
-    for folder in emptied:
-        _drop_folder(spark, "/".join([live, *[f"{c}={str(folder[c]).lower()}" for c in cols]]))
-    _drop_folder(spark, staged)
-
-
-def _merge(spark: SparkSession, root: str, table: str, incoming: DataFrame, touched: DataFrame, upsert) -> None:
-    """Upsert ``incoming``, rewriting the ``touched`` folders (and those the incoming rows fall into).
-
-    Folders are at most a few per calendar month and ``FOLDERS`` hashed ones; their names become
-    literals, so that the scan is pruned.
-    """
-    cols = LAYOUT[table]
-    folders = touched.select(*cols).unionByName(incoming.select(*cols)).distinct().collect()
-    if not folders:
-        return
-    hit = F.lit(False)
-    for first in sorted({r[0] for r in folders}):
-        mine = F.col(cols[0]) == F.lit(first)
-        for last in cols[1:]:
-            mine = mine & F.col(last).isin(sorted(r[last] for r in folders if r[0] == first))
-        hit = hit | mine
-    target = read_table(spark, root, table).filter(hit)
-    replace_folders(upsert(target, incoming), root, table, target)
-
-
 def merge_orders(
     spark: SparkSession, root: str, batch: DataFrame, named: DataFrame | None = None, whole_snapshots: bool = True
 ) -> None:
-    """Upsert a sync batch into the stored orders (see ``upsert_orders``).
+    """Upsert order lines into the stored orders by the rules of ``upsert_orders``, and compact them.
 
-    The months that hold earlier versions are found from the stored keys alone, within the
-    range of the named ids.
+    For bulk corrections; a sync of feed documents only appends (``versions.sync_orders``).
     """
-    # Parsed once: both are listed, matched and written below.
-    incoming = with_layout(batch, "orders").persist()
-    names = (batch if named is None else named).select("client_id", "order_id").distinct().persist()
-    try:
-        low, high = names.agg(F.min("order_id"), F.max("order_id")).first()
-        stored = read_table(spark, root, "orders").select("client_id", "order_id", "open", "part")
-        near = stored.filter(F.col("order_id").between(F.lit(low), F.lit(high)))
-        touched = near.join(names, ["client_id", "order_id"], "left_semi").select("open", "part")
-        if whole_snapshots:
-            tenants = names.select(F.lit(True).alias("open"), _tenant_part().alias("part"))
-            touched = touched.unionByName(tenants)
-
-        def upsert(target: DataFrame, rows: DataFrame) -> DataFrame:
-            return upsert_orders(target, rows, names, whole_snapshots)
-
-        _merge(spark, root, "orders", incoming, touched, upsert)
-    finally:
-        incoming.unpersist()
-        names.unpersist()
+    key = versions.KEYS["orders"]
+    one = F.struct(*[F.col(name) for name in TABLES["orders"]])
+    lines = conform(batch, "orders").groupBy(*key).agg(F.max("updated_at").alias("version"), F.collect_list(one).alias("rows"))
+    names = (batch if named is None else named).select(*key).distinct()
+    documents = names.filter("order_id is not null").join(lines, key, "left")
+    documents = documents.withColumn("rows", F.coalesce("rows", F.array().cast(dict(lines.dtypes)["rows"])))
+    versions.sync_orders(spark, root, documents, names.select("client_id") if whole_snapshots else None)
+    versions.compact(spark, root, "orders")
+    versions.vacuum(spark, root, "orders", keep=0)
 
 
 def merge_products(spark: SparkSession, root: str, batch: DataFrame) -> None:
-    """Upsert product variants into the stored products."""
-    incoming = with_layout(batch, "products").persist()
-    try:
-        _merge(spark, root, "products", incoming, incoming, upsert_products)
-    finally:
-        incoming.unpersist()
+    """Upsert product variants into the stored products, and compact them."""
+    versions.sync_products(spark, root, batch)
+    versions.compact(spark, root, "products")
+    versions.vacuum(spark, root, "products", keep=0)

@@ -14,21 +14,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shoplens.functions.text import filled
-from shoplens.functions.timeutil import iso_to_time
 from shoplens.operators.experiments import ARM, event_counts
 from shoplens.operators.feeds import (
     ORDER_REQUIRED,
     PRODUCT_REQUIRED,
     complete,
-    entries_of,
     named_documents,
     order_batch,
+    order_documents,
     product_rows,
 )
 from shoplens.operators.merge import new_cookies
 from shoplens.plans.sync import keep_rejected, keep_unreadable
 from shoplens.schemas import conform, ddl
-from shoplens.sources.tables import append_load, merge_orders, merge_products
+from shoplens.sources import versions
+from shoplens.sources.tables import append_load
 
 COOKIE_KEY = ["client_id", "session_id", "cart_token"]
 
@@ -95,19 +95,6 @@ def read_unique_cookies(spark: SparkSession, path: str) -> DataFrame:
     return _batches(spark, path, ddl("cookies")).drop("batch_id")
 
 
-def latest_documents(pages: DataFrame, entries: str) -> DataFrame:
-    """One page per document: of the versions a micro-batch holds, the one updated last.
-
-    A version without a readable time counts as the oldest, and is rejected later on.
-    """
-    return (
-        entries_of(pages, entries, "d")
-        .groupBy("client_id", F.col("d.id").alias("_id"))
-        .agg(F.max_by("d", F.coalesce(iso_to_time(F.col("d.updated_at")), F.timestamp_seconds(F.lit(0)))).alias("d"))
-        .select("client_id", F.array("d").alias(entries))
-    )
-
-
 def _load_name(checkpoint: str, batch_id: int) -> str:
     return f"{hashlib.md5(checkpoint.encode()).hexdigest()[:12]}-{batch_id}"
 
@@ -124,14 +111,12 @@ def order_sync_stream(
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        orders, checkouts = latest_documents(batch, "orders"), latest_documents(batch, "checkouts")
-        load, rows = _load_name(checkpoint, batch_id), order_batch(orders, checkouts)
-        keep_rejected(rows, ORDER_REQUIRED, root, "orders", load)
+        spark, load = batch.sparkSession, _load_name(checkpoint, batch_id)
+        keep_rejected(order_batch(batch, batch), ORDER_REQUIRED, root, "orders", load)
         keep_unreadable(batch, root, "orders", load)
-        named = named_documents(orders, checkouts)
-        if whole_snapshots:
-            named = named.unionByName(named_documents(batch, batch)).distinct()
-        merge_orders(batch.sparkSession, root, complete(rows, ORDER_REQUIRED), named, whole_snapshots)
+        synced = named_documents(batch, batch).select("client_id") if whole_snapshots else None
+        versions.sync_orders(spark, root, order_documents(batch, batch), synced, load)
+        versions.maintain(spark, root, "orders")
 
     return _start(pages.writeStream.foreachBatch(on_batch), checkpoint, once)
 
@@ -140,10 +125,11 @@ def product_sync_stream(pages: DataFrame, root: str, checkpoint: str, once: bool
     """Upsert landed product pages into the stored products; rejects are kept as in ``sync_products``."""
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        load, rows = _load_name(checkpoint, batch_id), product_rows(latest_documents(batch, "products"))
+        load, rows = _load_name(checkpoint, batch_id), product_rows(batch)
         keep_rejected(rows, PRODUCT_REQUIRED, root, "products", load)
         keep_unreadable(batch, root, "products", load)
-        merge_products(batch.sparkSession, root, complete(rows, PRODUCT_REQUIRED))
+        versions.sync_products(batch.sparkSession, root, complete(rows, PRODUCT_REQUIRED), load)
+        versions.maintain(batch.sparkSession, root, "products")
 
     return _start(pages.writeStream.foreachBatch(on_batch), checkpoint, once)
 
