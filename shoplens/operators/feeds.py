@@ -115,14 +115,14 @@ def order_documents(order_pages: DataFrame, checkout_pages: DataFrame) -> DataFr
 
 
 def named_documents(order_pages: DataFrame, checkout_pages: DataFrame) -> DataFrame:
-    """Ids (client_id, order_id) of all documents, with or without lines; a null id for an empty page."""
+    """Ids (client_id, order_id) and last ``version`` of all documents, with or without lines; a null id for an empty page."""
     ids = [
         pages.filter(F.col(entries).isNotNull())
         .select("client_id", F.explode_outer(entries).alias("d"))
-        .select("client_id", F.col("d.id").cast("bigint").alias("order_id"))
+        .select("client_id", F.col("d.id").cast("bigint").alias("order_id"), iso_to_time(F.col("d.updated_at")).alias("version"))
         for pages, entries in ((order_pages, "orders"), (checkout_pages, "checkouts"))
     ]
-    return ids[0].unionByName(ids[1]).distinct()
+    return ids[0].unionByName(ids[1]).groupBy("client_id", "order_id").agg(F.max("version").alias("version"))
 
 
 def product_rows(pages: DataFrame) -> DataFrame:

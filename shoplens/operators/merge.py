@@ -20,15 +20,16 @@ def upsert_orders(
 ) -> DataFrame:
     """Replace the orders that the feed names and the open checkouts of the tenants it names.
 
-    ``named`` (client_id, order_id) lists the feed's documents, also those without any line left;
-    a null id marks a tenant that was synced without documents. Without it the batch's rows count.
-    Checkouts arrive as a full snapshot, so every unpaid row of a synced tenant goes, unless
+    ``named`` (client_id, order_id, version) lists the feed's documents, also those without any line
+    left; a null id marks a tenant that was synced without documents. Without it the batch's rows
+    count. Checkouts arrive as a full snapshot, so every unpaid row of a synced tenant goes, unless
     ``whole_snapshots`` is off: then only the named ones do. A stored order that was updated after
-    the feed's version of it stays.
+    the feed's version of it stays, open or paid.
     """
     key = ["client_id", "order_id"]
-    named = (batch if named is None else named).select(*key).distinct()
-    versions = batch.groupBy(*key).agg(F.max("updated_at").alias("_version"))
+    named = batch.withColumn("version", F.col("updated_at")) if named is None else named
+    versions = named.groupBy(*key).agg(F.max("version").alias("_version"))
+    named = versions.select(*key)
     newer = target.join(versions, key).filter(F.col("updated_at") > F.col("_version")).select(*key).distinct()
     kept = delete_keys(target, delete_keys(named, newer, key), key)
     if whole_snapshots:

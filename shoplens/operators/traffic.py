@@ -51,12 +51,17 @@ def landing_sessions(visits: DataFrame) -> DataFrame:
     return first_touch(visits).groupBy("client_id", "event_name").agg(F.count(F.lit(1)).alias("visitor_count"))
 
 
-def product_visits(visits: DataFrame) -> DataFrame:
-    """Visitors per product handle: distinct sessions of each url, summed over its urls."""
+def product_views(visits: DataFrame) -> DataFrame:
+    """Visitors per product handle: distinct sessions of each url, summed over its urls; a null handle for none."""
     return (
-        visits.filter((F.col("event_name") == "product") & F.col("url").isNotNull())
+        visits.filter(F.col("event_name") == "product")
         .groupBy("client_id", "url")
         .agg(F.count_distinct("session_id").alias("sessions"))
         .groupBy("client_id", last_path_segment(F.col("url")).alias("product_handle"))
         .agg(F.sum("sessions").alias("visitor_count"))
     )
+
+
+def product_visits(visits: DataFrame) -> DataFrame:
+    """The counts of ``product_views`` for views with a url."""
+    return product_views(visits.filter(F.col("url").isNotNull()))

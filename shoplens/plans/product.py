@@ -9,7 +9,7 @@ from shoplens.functions.ratio import percent
 from shoplens.functions.text import NO_TAG, tag_list
 from shoplens.functions.timeutil import ReportWindow
 from shoplens.operators.sales import product_orders
-from shoplens.operators.traffic import product_visits, visits_in
+from shoplens.operators.traffic import product_views, visits_in
 
 
 def product_dim(products: DataFrame) -> DataFrame:
@@ -17,12 +17,12 @@ def product_dim(products: DataFrame) -> DataFrame:
     return products.select("client_id", "product_title", "product_handle", "product_id", "tags").distinct()
 
 
-def product_conversion(
-    products: DataFrame, visits: DataFrame, orders: DataFrame, clients: DataFrame, window: ReportWindow
-) -> DataFrame:
-    """Visitors and distinct paid orders of every product, zero where it has none."""
-    seen = product_visits(visits_in(visits, clients, window))
-    bought = product_orders(window.restrict(orders, "updated_at", clients))
+def _measured(visits: DataFrame, orders: DataFrame, clients: DataFrame, window: ReportWindow) -> tuple[DataFrame, DataFrame]:
+    """Visitors per product page and paid orders per product in the window."""
+    return product_views(visits_in(visits, clients, window)), product_orders(window.restrict(orders, "updated_at", clients))
+
+
+def _conversion(products: DataFrame, seen: DataFrame, bought: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     visitors = F.coalesce("visitor_count", zero)
     conversions = F.coalesce("conversion_count", zero)
@@ -43,15 +43,22 @@ def product_conversion(
     )
 
 
+def _by_tag(conversion: DataFrame) -> DataFrame:
+    return conversion.withColumn("tag", F.explode(tag_list(F.col("tags")))).drop("tags")
+
+
+def product_conversion(
+    products: DataFrame, visits: DataFrame, orders: DataFrame, clients: DataFrame, window: ReportWindow
+) -> DataFrame:
+    """Visitors and distinct paid orders of every product, zero where it has none."""
+    return _conversion(products, *_measured(visits, orders, clients, window))
+
+
 def product_conversion_by_tag(
     products: DataFrame, visits: DataFrame, orders: DataFrame, clients: DataFrame, window: ReportWindow
 ) -> DataFrame:
     """Product conversion repeated under each of the product's tags."""
-    return (
-        product_conversion(products, visits, orders, clients, window)
-        .withColumn("tag", F.explode(tag_list(F.col("tags"))))
-        .drop("tags")
-    )
+    return _by_tag(product_conversion(products, visits, orders, clients, window))
 
 
 def product_worst_by_tag(
@@ -59,22 +66,17 @@ def product_worst_by_tag(
 ) -> DataFrame:
     """Per tag the product that converts least; the first handle wins a tie.
 
-    A tenant without any page view or order in the window has not enough data.
+    A tenant without any product view or paid order in the window has not enough data; that is
+    read off the same counts, so each fact table is scanned once.
     """
-    rows = product_conversion_by_tag(products, visits, orders, clients, window)
+    seen, bought = _measured(visits, orders, clients, window)
     worst = F.min(
         F.struct("conversion_percentage", "product_handle", "product_id", "product_title")
     ).alias("w")
-    viewed = visits.filter(F.col("event_name") == "product")
-    active = (
-        visits_in(viewed, clients, window)
-        .select("client_id")
-        .union(window.restrict(orders.filter("payment_status"), "updated_at", clients).select("client_id"))
-        .distinct()
-        .withColumn("_active", F.lit(True))
-    )
+    active = seen.select("client_id").union(bought.select("client_id")).distinct().withColumn("_active", F.lit(True))
     return (
-        rows.groupBy("client_id", "tag")
+        _by_tag(_conversion(products, seen, bought))
+        .groupBy("client_id", "tag")
         .agg(worst)
         .join(active, "client_id", "left")
         .select(

@@ -7,12 +7,13 @@ rows added for anonymous orders are inserted only where absent.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from shoplens.operators import feeds
 from shoplens.operators.merge import new_cookies, new_events, serve_latest
 from shoplens.sources import versions
 from shoplens.sources.documents import unreadable_pages
-from shoplens.sources.tables import append_table, keep_load, read_table
+from shoplens.sources.tables import append_load, append_table, keep_load, read_table
 
 
 def keep_rejected(rows: DataFrame, required: tuple[str, ...], root: str, table: str, load: str | None = None) -> None:
@@ -38,18 +39,33 @@ def sync_orders(spark: SparkSession, root: str, order_pages: DataFrame, checkout
     synced = feeds.named_documents(order_pages, checkout_pages).select("client_id")
     versions.sync_orders(spark, root, feeds.order_documents(order_pages, checkout_pages), synced)
     versions.maintain(spark, root, "orders")
+    keep_anonymous(spark, root, order_pages)
 
-    carts = feeds.anonymous_carts(order_pages).filter("creation_time is not null")
-    append_table(new_cookies(read_table(spark, root, "cookies"), carts), root, "cookies")
 
-    events = read_table(spark, root, "events")
+def keep_anonymous(spark: SparkSession, root: str, order_pages: DataFrame, load: str | None = None) -> None:
+    """Cookies for orders without a cart, and a served event of the latest experiment for their sessions.
+
+    Both are added only where absent. With a load name the rows of that load do not count as stored and are
+    replaced, so a micro-batch that runs again writes the same.
+    """
+
+    def stored(table: str) -> DataFrame:
+        rows = read_table(spark, root, table)
+        return rows if load is None else rows.filter(F.col("load") != load)
+
+    def keep(rows: DataFrame, table: str) -> None:
+        append_table(rows, root, table) if load is None else append_load(rows, root, table, load)
+
+    carts = feeds.anonymous_carts(order_pages).filter("creation_time is not null")
+    keep(new_cookies(stored("cookies"), carts), "cookies")
+    events = stored("events")
     served = serve_latest(
         carts.select("client_id", "session_id", "creation_time"),
         read_table(spark, root, "experiments"),
         events,
         read_table(spark, root, "variations"),
     )
-    append_table(new_events(events, served), root, "events")
+    keep(new_events(events, served), "events")
 
 
 def sync_products(spark: SparkSession, root: str, product_pages: DataFrame) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shoplens.functions.ratio import mean_damped, percent_damped
@@ -159,3 +159,43 @@ def region_features(by_region: DataFrame) -> DataFrame:
         F.lit("}"),
     )
     return by_region.withColumn("_head", head).select("client_id", "region_name", body.alias("feature"))
+
+
+def write_feature_collections(features: DataFrame, path: str) -> None:
+    """One GeoJSON document per tenant, a feature collection, in folders of the tenants.
+
+    A tenant's features follow each other in sorted order in one task, which writes them as they
+    come; nothing gathers them. They go by region name, equal ones side by side.
+    """
+    key = F.coalesce("region_name", F.lit("")).alias("key")
+    unique = features.groupBy("client_id", key, "feature").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    first = unique.groupBy("client_id").agg(F.min(F.struct("key", "feature")).alias("first"))
+    text = F.array_join(F.array_repeat("feature", F.col("n")), ",")
+    is_first = F.struct("key", "feature") == F.col("first")
+    lines = unique.join(first, "client_id").select(
+        "client_id", F.lit(1).alias("part"), "key", F.when(is_first, text).otherwise(F.concat(F.lit(","), text)).alias("value")
+    )
+
+    def edge(part: int, value: str) -> DataFrame:
+        return first.select("client_id", F.lit(part).alias("part"), F.lit("").alias("key"), F.lit(value).alias("value"))
+
+    lines = lines.unionByName(edge(0, '{"type":"FeatureCollection","features":[')).unionByName(edge(2, "]}"))
+    # The first feature has no comma and has to come first among its equals in name.
+    order = ["client_id", "part", "key", F.col("value").startswith(","), "value"]
+    lines = lines.repartitionByRange("client_id").sortWithinPartitions(*order)
+    lines.select("client_id", "value").write.partitionBy("client_id").text(path)
+
+
+# A stored collection; each geometry stays the JSON text it came as.
+COLLECTION = (
+    "client_id string, type string, features array<struct<type: string, id: string, geometry: string,"
+    " properties: struct<name: string, session_count: bigint, visitor_count: bigint, total_sales: double,"
+    " sales_conversion_count: bigint, order_count: bigint, sales_conversion: double, avg_order_value: double>>>"
+)
+
+
+def read_feature_collections(spark: SparkSession, path: str) -> DataFrame:
+    """The features of stored collections (client_id, document, type, id, geometry, properties)."""
+    documents = spark.read.schema(COLLECTION).option("multiLine", True).json(path)
+    each = documents.select("client_id", F.col("type").alias("document"), F.explode("features").alias("f"))
+    return each.select("client_id", "document", "f.*")

@@ -6,6 +6,8 @@ and products are versions of documents, see ``versions``.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,11 @@ LAYOUT: dict[str, list[str]] = {table: ["day", "load"] for table in EVENT_TIME}
 _LAYOUT_TYPES = {"day": "date", "load": "string"}
 
 
-def with_layout(df: DataFrame, table: str, load: str = "batch") -> DataFrame:
+#: The load of rows that batch jobs append.
+BATCH = "batch"
+
+
+def with_layout(df: DataFrame, table: str, load: str = BATCH) -> DataFrame:
     """The table's columns plus the ones its folders are named after.
 
     ``load`` names what appended the rows, so that a repeated stream batch finds its own.
@@ -78,7 +84,64 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     extra = "".join(f", {c} {_LAYOUT_TYPES[c]}" for c in LAYOUT.get(table, []))
     if not folders.exists(spark, path):
         return spark.createDataFrame([], ddl(table) + extra)
-    return spark.read.schema(ddl(table) + extra).parquet(path)
+    rows = spark.read.schema(ddl(table) + extra).parquet(path)
+    hidden, runs = _packed(spark, root, table) if table in EVENT_TIME else ([], [])
+    if hidden:
+        rows = rows.filter(~F.concat_ws("/", F.col("day").cast("string"), "load").isin(hidden))
+    if table in EVENT_TIME:
+        rows = rows.filter(~F.col("load").startswith(PACKED) | F.col("load").isin(runs))
+    return rows
+
+
+#: Loads that ``pack_days`` writes are called so and numbered.
+PACKED = "packed-"
+
+
+def _packed(spark: SparkSession, root: str, table: str) -> tuple[list[str], list[str]]:
+    """What committed packings replace, as day/load, and the loads they wrote instead."""
+    done = folders.matching(spark, f"{root}/{table}_packed/run=*/_SUCCESS")
+    runs = [path.rsplit("/", 2)[-2].removeprefix("run=") for path in done]
+    if not runs:
+        return [], []
+    listed = spark.read.schema("day date, load string").parquet(*[path.rsplit("/", 1)[0] for path in done])
+    # One name per load and day that was packed.
+    return sorted(f"{r.day}/{r.load}" for r in listed.collect()), runs
+
+
+def pack_days(spark: SparkSession, root: str, table: str, before: dt.date) -> int:
+    """Rewrites the loads of streams on closed days (before a date) into sized files; how many folders it replaced.
+
+    The new folders count once the list of what they replace is complete, so readers see each row once at
+    any moment, and a failed run leaves nothing that is read. A load that a stream writes again afterwards
+    stays hidden. Late loads of a packed day are packed with it the next time. Rows appended by
+    batch jobs lie in sized files already and stay. ``drop_packed`` deletes what was replaced.
+    """
+    names = folders.matching(spark, f"{root}/{table}/day=*/load=*")
+    hidden, runs = _packed(spark, root, table)
+    loads: dict[str, list[str]] = {}
+    for day, load in (path.split("/day=")[1].split("/load=") for path in names):
+        live = load in runs if load.startswith(PACKED) else load != BATCH
+        if day < str(before) and live and f"{day}/{load}" not in hidden:
+            loads.setdefault(day, []).append(load)
+    many = {day: own for day, own in loads.items() if len(own) > 1}
+    if not many:
+        return 0
+    every = [path.split(PACKED)[1] for path in names if f"/load={PACKED}" in path]
+    run = f"{PACKED}{max(map(int, every), default=0) + 1:06d}"
+    old = [f"{day}/{load}" for day, own in many.items() for load in own]
+    rows = spark.read.schema(ddl(table) + ", day date, load string").parquet(f"{root}/{table}")
+    rows = rows.filter(F.concat_ws("/", F.col("day").cast("string"), "load").isin(old))
+    _write(rows.withColumn("load", F.lit(run)), f"{root}/{table}", table, "append")
+    replaced = spark.createDataFrame([tuple(name.split("/", 1)) for name in old], "day string, load string")
+    replaced.withColumn("day", F.to_date("day")).coalesce(1).write.parquet(f"{root}/{table}_packed/run={run}")
+    return len(old)
+
+
+def drop_packed(spark: SparkSession, root: str, table: str) -> None:
+    """Deletes the folders that packings replaced, once no reader still uses them."""
+    for name in _packed(spark, root, table)[0]:
+        day, load = name.split("/", 1)
+        folders.drop(spark, f"{root}/{table}/day={day}/load={load}")
 
 
 def read_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
@@ -94,8 +157,9 @@ def merge_orders(
     """
     key = versions.KEYS["orders"]
     one = F.struct(*[F.col(name) for name in TABLES["orders"]])
-    lines = conform(batch, "orders").groupBy(*key).agg(F.max("updated_at").alias("version"), F.collect_list(one).alias("rows"))
-    names = (batch if named is None else named).select(*key).distinct()
+    lines = conform(batch, "orders").groupBy(*key).agg(F.collect_list(one).alias("rows"))
+    names = batch.withColumn("version", F.col("updated_at")) if named is None else named
+    names = names.groupBy(*key).agg(F.max("version").alias("version"))
     documents = names.filter("order_id is not null").join(lines, key, "left")
     documents = documents.withColumn("rows", F.coalesce("rows", F.array().cast(dict(lines.dtypes)["rows"])))
     versions.sync_orders(spark, root, documents, names.select("client_id") if whole_snapshots else None)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shoplens.functions.text import filled
-from shoplens.operators.experiments import ARM, event_counts
+from shoplens.operators.experiments import ARM
 from shoplens.operators.feeds import (
     ORDER_REQUIRED,
     PRODUCT_REQUIRED,
@@ -25,7 +25,7 @@ from shoplens.operators.feeds import (
     product_rows,
 )
 from shoplens.operators.merge import new_cookies
-from shoplens.plans.sync import keep_rejected, keep_unreadable
+from shoplens.plans.sync import keep_anonymous, keep_rejected, keep_unreadable
 from shoplens.schemas import conform, ddl
 from shoplens.sources import versions
 from shoplens.sources.tables import append_load
@@ -107,7 +107,9 @@ def order_sync_stream(
     How a source splits its files over micro-batches decides nothing: documents replace their own
     earlier versions, and later stored versions stay. Only where each micro-batch is known to hold
     all open checkouts of the tenants it names may ``whole_snapshots`` be set, and checkouts that
-    it no longer names go. Incomplete rows and unreadable pages are kept as in ``sync_orders``.
+    it no longer names go. Incomplete rows and unreadable pages are kept as in ``sync_orders``, and
+    orders without a cart get their cookies and served events. Everything a micro-batch writes bears its
+    name, so one that runs again ends the same.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
@@ -116,6 +118,7 @@ def order_sync_stream(
         keep_unreadable(batch, root, "orders", load)
         synced = named_documents(batch, batch).select("client_id") if whole_snapshots else None
         versions.sync_orders(spark, root, order_documents(batch, batch), synced, load)
+        keep_anonymous(spark, root, batch, load)
         versions.maintain(spark, root, "orders")
 
     return _start(pages.writeStream.foreachBatch(on_batch), checkpoint, once)
@@ -160,34 +163,102 @@ def read_daily_counts(spark: SparkSession, path: str) -> DataFrame:
     return _batches(spark, path, schema).groupBy(*key).agg(F.max_by("events", "batch_id").alias("events"))
 
 
+COUNTS = ("num_session", "num_visitor", "goal_conversion_count")
+_COUNT_DDL = f"day date, client_id string, experiment_id string, variation_id string, {', '.join(f'{c} bigint' for c in COUNTS)}"
+_SEEN_DDL = "client_id string, experiment_id string, variation_id string, session_id string, served boolean, clicked boolean, day date"
+
+
 def daily_visitor_stream(events: DataFrame, root: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Running distinct visitors per variation and UTC day, exact for late rows too.
 
-    Every micro-batch stores its events and recounts only the days it touched.
+    A micro-batch is reduced to one row per session and day, meets the sessions seen before on its
+    days, and writes what it adds: the counts' increments and the sessions that are new, or newly
+    served or clicked. Neither events nor counts are read again; of the seen sessions only those days are.
     """
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        store = f"{root}/events_by_batch"
-        rows = conform(batch, "events").withColumn("day", F.to_date("creation_time"))
-        rows.write.mode("overwrite").partitionBy("day").parquet(f"{store}/batch_id={batch_id}")
-        stored = spark.read.schema(f"{ddl('events')}, batch_id bigint, day date").parquet(store)
+        spark, key = batch.sparkSession, ["day", *ARM, "session_id"]
+        named = F.col("event_name")
+        now = (
+            conform(batch, "events")
+            .filter(named.isin("served", "clicked"))
+            .groupBy(F.to_date("creation_time").alias("day"), *ARM, "session_id")
+            .agg(F.count_if(named == "served").alias("n_served"), F.count_if(named == "clicked").alias("n_clicked"))
+            .persist()
+        )
         # Calendar days of one micro-batch, as literals so that only their folders are read.
-        days = [r.day for r in stored.filter(F.col("batch_id") == batch_id).select("day").distinct().toLocalIterator()]
-        counts = event_counts(stored.filter(F.col("day").isin(days)), "day").drop("served_rows")
-        counts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(
-            f"{root}/visitors_by_day"
+        days = [r.day for r in now.select("day").distinct().toLocalIterator()]
+        seen = _batches(spark, f"{root}/seen_sessions", _SEEN_DDL).filter(F.col("batch_id") != batch_id)
+        seen = seen.filter(F.col("day").isin(days)).groupBy(*key)
+        seen = seen.agg(F.bool_or("served").alias("was_served"), F.bool_or("clicked").alias("was_clicked"))
+        both = now.join(seen, key, "left")
+        fresh = {
+            name: F.col("session_id").isNotNull() & (F.col(f"n_{name}") > 0) & ~F.coalesce(f"was_{name}", F.lit(False))
+            for name in ("served", "clicked")
+        }
+        known = both.select(*key, *[mark.alias(name) for name, mark in fresh.items()], "n_served").persist()
+        added = known.groupBy("day", *ARM).agg(
+            F.sum(F.when(F.col("session_id").isNotNull(), F.col("n_served")).otherwise(0)).alias("num_session"),
+            F.count_if("served").alias("num_visitor"),
+            F.count_if("clicked").alias("goal_conversion_count"),
         )
+        added.write.mode("overwrite").parquet(f"{root}/visitor_counts/batch_id={batch_id}")
+        new = known.filter("served or clicked").drop("n_served").hint("rebalance", "day")
+        new.write.mode("overwrite").partitionBy("day").parquet(f"{root}/seen_sessions/batch_id={batch_id}")
+        known.unpersist()
+        now.unpersist()
 
     return _start(events.writeStream.foreachBatch(on_batch), checkpoint, once)
 
 
 def read_daily_visitors(spark: SparkSession, root: str) -> DataFrame:
-    schema = (
-        "client_id string, experiment_id string, variation_id string, num_session bigint,"
-        "num_visitor bigint, goal_conversion_count bigint, day date"
-    )
-    return spark.read.schema(schema).parquet(f"{root}/visitors_by_day")
+    """The sums of all increments."""
+    rows = _batches(spark, f"{root}/visitor_counts", _COUNT_DDL)
+    return rows.groupBy("day", *ARM).agg(*[F.sum(c).alias(c) for c in COUNTS])
+
+
+def late_row_stream(
+    events: DataFrame, root: str, checkpoint: str, delay: str = "1 day", once: bool = True
+) -> StreamingQuery:
+    """Event counts per variation and UTC day, with rows behind the watermark in a table of their own.
+
+    The watermark of a micro-batch is the last event time of all earlier ones less the delay, and a
+    row is late if its day had ended by then. Late rows go to ``late_events``; the counts of both
+    sorts are written as increments, so that a late row restates its day without reading it again.
+    """
+
+    def on_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = conform(batch, "events").withColumn("day", F.to_date("creation_time")).persist()
+        times = _batches(spark, f"{root}/last_times", "last timestamp").filter(F.col("batch_id") < batch_id)
+        mark = times.agg((F.max("last") - F.expr(f"interval {delay}")).alias("mark"))
+        # One value; null before the second micro-batch, when nothing is late.
+        late = F.coalesce(F.col("day").cast("timestamp") + F.expr("interval 1 day") <= mark.scalar(), F.lit(False))
+        marked = rows.withColumn("late", late).persist()
+        marked.filter("late").drop("late", "day").write.mode("overwrite").parquet(f"{root}/late_events/batch_id={batch_id}")
+        counts = marked.groupBy("day", *ARM, "event_name").agg(
+            F.count_if(~F.col("late")).alias("events"), F.count_if("late").alias("late_events")
+        )
+        counts.write.mode("overwrite").parquet(f"{root}/daily_counts/batch_id={batch_id}")
+        last = rows.agg(F.max("creation_time").alias("last"))
+        last.write.mode("overwrite").parquet(f"{root}/last_times/batch_id={batch_id}")
+        marked.unpersist()
+        rows.unpersist()
+
+    return _start(events.writeStream.foreachBatch(on_batch), checkpoint, once)
+
+
+def read_late_rows(spark: SparkSession, root: str) -> DataFrame:
+    """The rows that came too late, with the micro-batch that brought them."""
+    return _batches(spark, f"{root}/late_events", ddl("events"))
+
+
+def read_restated_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Per day what was counted in time, what came late and the restated count."""
+    schema = "day date, client_id string, experiment_id string, variation_id string, event_name string, events bigint, late_events bigint"
+    sums = _batches(spark, f"{root}/daily_counts", schema).groupBy("day", *ARM, "event_name")
+    sums = sums.agg(F.sum("events").alias("events"), F.sum("late_events").alias("late_events"))
+    return sums.withColumn("restated", F.col("events") + F.col("late_events"))
 
 
 def new_visitor_stream(

@@ -445,6 +445,24 @@ _UPSERT = """
     UNION ALL SELECT * EXCLUDE (o_orderstatus) FROM order_lines WHERE o_orderstatus = 'F'
     UNION ALL SELECT * EXCLUDE (o_orderstatus) FROM checkout_lines WHERE o_orderstatus = 'P'"""
 
+_STALE = """
+    SELECT * FROM shop_orders s WHERE EXISTS (SELECT 1 FROM orders o
+        WHERE o.o_orderkey = s.order_id AND concat('c', o.o_custkey % 3) = s.client_id AND (
+            o_orderstatus NOT IN ('F', 'P') OR (o_orderkey % 3 = 0 AND (o_orderstatus = 'F' OR o_orderkey % 7 <> 1))))
+    UNION ALL SELECT * EXCLUDE (o_orderstatus) REPLACE (CASE WHEN order_id % 3 = 0 THEN updated_at - INTERVAL 1 DAY
+            ELSE updated_at END AS updated_at)
+        FROM (SELECT * FROM order_lines WHERE o_orderstatus = 'F'
+            UNION ALL SELECT * FROM checkout_lines WHERE o_orderstatus = 'P' AND order_id % 7 <> 1)
+        WHERE order_id % 3 <> 0 OR order_id NOT IN (SELECT l_orderkey FROM lineitem)"""
+
+# Deliveries of the late stream: thirds of the minutes, each with rows of all days.
+_DELIVERED = """
+    SELECT e.*, minute(creation_time) % 3 AS k, (SELECT max(f.creation_time) - INTERVAL 1 DAY FROM exp_events f
+        WHERE minute(f.creation_time) % 3 < minute(e.creation_time) % 3) AS mark
+    FROM exp_events e"""
+_MARKED = f"""
+    SELECT *, coalesce(CAST(CAST(creation_time AS DATE) + 1 AS TIMESTAMP) <= mark, FALSE) AS late FROM ({_DELIVERED})"""
+
 _VISIT_INGEST = f"SELECT client_id, session_id, event_name, url, {_text(_SECOND)} AS creation_time FROM visits"
 
 _PRODUCT_UPSERT = """
@@ -454,6 +472,24 @@ _PRODUCT_UPSERT = """
 
 _DAY_COLUMNS = "client_id, experiment_id, variation_id, CAST(day AS VARCHAR) AS day"
 
+_BY_REGION = _with_rates(
+    f"""
+    SELECT g.client_id, g.region_name, g.id, 'Feature' AS type, coalesce(session_count, 0) AS session_count,
+        coalesce(visitor_count, 0) AS visitor_count, coalesce(sales_conversion_count, 0) AS sales_conversion_count,
+        coalesce(order_count, 0) AS order_count, coalesce(total_sales, 0) AS total_sales
+    FROM (SELECT client_id, r_name AS region_name, CAST(r_regionkey AS VARCHAR) AS id
+        FROM (SELECT DISTINCT client_id FROM visitors_w), region) g
+    LEFT JOIN ({_measures("region")}) m ON m.client_id = g.client_id AND m.value = g.region_name""",
+    "client_id, region_name, id, type",
+)
+
+_DAILY_VISITORS = """
+        SELECT CAST(CAST(creation_time AS DATE) AS VARCHAR) AS day, client_id, experiment_id, variation_id,
+            count(session_id) FILTER (event_name = 'served') AS num_session,
+            count(DISTINCT session_id) FILTER (event_name = 'served') AS num_visitor,
+            count(DISTINCT session_id) FILTER (event_name = 'clicked') AS goal_conversion_count
+        FROM exp_events GROUP BY ALL"""
+
 BODIES = {
     "order_feed_flatten": f"""
         SELECT {_ORDER_COLUMNS} FROM (SELECT * FROM order_lines WHERE o_orderstatus <> 'P'
@@ -471,6 +507,19 @@ BODIES = {
         ) USING (client_id)
         WHERE o_orderstatus <> 'P' AND (watermark IS NULL OR updated_at >= watermark)""",
     "order_upsert": f"SELECT {_ORDER_COLUMNS} FROM ({_UPSERT})",
+    "order_upsert_stale": f"SELECT {_ORDER_COLUMNS} FROM ({_STALE})",
+    "stream_order_upsert_stale": f"SELECT {_ORDER_COLUMNS} FROM ({_STALE})",
+    "order_upsert_stored": f"SELECT {_ORDER_COLUMNS} FROM ({_UPSERT})",
+    "product_upsert_stored": f"SELECT {_PRODUCT_COLUMNS} FROM ({_PRODUCT_UPSERT})",
+    "client_create": f"""
+        SELECT concat('c', c_custkey) AS client_id, c_name AS full_name, c_mktsegment AS company_name,
+            c_acctbal < 0 AS disabled, concat('https://shop-', c_custkey, '.example') AS shopify_app_eg_url,
+            'UTC' AS client_timezone, {_text(_time("c_custkey"))} AS creation_time
+        FROM customer""",
+    "variation_create": """
+        SELECT md5(concat('c', c_custkey, '|e1|', variation_name)) AS variation_id, variation_name,
+            concat('c', c_custkey) AS client_id, 'e1' AS experiment_id, CAST(share AS INTEGER) AS traffic_percentage
+        FROM customer, (VALUES ('Red', 60), ('Blue', 40)) v(variation_name, share)""",
     "rejected_orders": """
         SELECT client_id, order_id, variant_id, 'variant_quantity' AS missing
         FROM order_lines WHERE o_orderstatus <> 'P' AND variant_quantity = 2""",
@@ -608,6 +657,19 @@ BODIES = {
                 / (CAST(sessions AS DOUBLE) / (num_hour + 1) * 24)) + 1 END AS BIGINT) AS remaining_days,
             CASE WHEN status IN ('insufficient', 'pending') THEN 'continue' ELSE 'stop' END AS recommendation
         FROM verdict""",
+    "summary_text": """
+        SELECT client_id, experiment_id,
+            CASE WHEN status = 'insufficient' THEN 'Too few visitors so far.'
+                ELSE concat(coalesce(best_variation, 'null'), ' leads by ',
+                    coalesce(printf('%.2f', round(betterness * 100, 2)), 'null'), '%.') END AS summary,
+            CASE status WHEN 'insufficient' THEN 'Too few visitors so far.'
+                WHEN 'pending' THEN concat('About ', CAST(remaining AS BIGINT), ' more sessions are needed, some ',
+                    CAST(floor(remaining / (CAST(sessions AS DOUBLE) / (num_hour + 1) * 24)) + 1 AS BIGINT), ' days.')
+                WHEN 'winner' THEN concat(best_variation, ' wins with ', printf('%.2f', confidence_percentage),
+                    '% confidence.')
+                ELSE 'The sample is complete and no variation stands out.' END AS conclusion,
+            CASE WHEN status IN ('insufficient', 'pending') THEN 'continue' ELSE 'stop' END AS recommendation
+        FROM verdict""",
     "sticky_assignment": f"""
         SELECT client_id, experiment_id, session_id, variation_id, {_text("creation_time")} AS creation_time
         FROM ({_assigned("requests")}) WHERE variation_id IS NOT NULL""",
@@ -635,20 +697,39 @@ BODIES = {
             CAST(count(*) // greatest(count(DISTINCT order_id), 1) AS BIGINT) AS rows,
             round(CAST(sum(total) / (count(*) // greatest(count(DISTINCT order_id), 1)) AS DOUBLE), 2) AS revenue
         FROM visit_orders GROUP BY client_id, session_id, device, browser, os, region""",
+    "visitor_orders_null_sessions": """
+        SELECT v.client_id, v.session_id, device, browser, os, region, count(DISTINCT order_id) AS orders,
+            CAST(count(*) // greatest(count(DISTINCT order_id), 1) AS BIGINT) AS rows,
+            round(CAST(sum(coalesce(total_order_value, 0)) / (count(*) // greatest(count(DISTINCT order_id), 1)) AS DOUBLE), 2)
+                AS revenue
+        FROM (SELECT * REPLACE (CASE WHEN device <> 'd0' THEN session_id END AS session_id) FROM visitors_w) v
+        LEFT JOIN order_total_w t ON t.client_id = v.client_id AND t.session_id IS NOT DISTINCT FROM v.session_id
+        GROUP BY v.client_id, v.session_id, device, browser, os, region""",
     "sales_by_dimension": _with_rates(
         " UNION ALL ".join(f"SELECT '{d}' AS dimension, * FROM ({_measures(d)})" for d in ("device", "browser", "os")),
         "client_id, dimension, value",
     ),
-    "sales_by_region": _with_rates(
-        f"""
-        SELECT g.client_id, g.region_name, g.id, 'Feature' AS type, coalesce(session_count, 0) AS session_count,
-            coalesce(visitor_count, 0) AS visitor_count, coalesce(sales_conversion_count, 0) AS sales_conversion_count,
-            coalesce(order_count, 0) AS order_count, coalesce(total_sales, 0) AS total_sales
-        FROM (SELECT client_id, r_name AS region_name, CAST(r_regionkey AS VARCHAR) AS id
-            FROM (SELECT DISTINCT client_id FROM visitors_w), region) g
-        LEFT JOIN ({_measures("region")}) m ON m.client_id = g.client_id AND m.value = g.region_name""",
-        "client_id, region_name, id, type",
-    ),
+    "sales_by_region": _BY_REGION,
+    "region_feature_collection": f"""
+        SELECT client_id, 'FeatureCollection' AS document, type, id, region_name AS name,
+            concat('{{"type":"Polygon","coordinates":[[[', id, ',0],[', CAST(id AS INTEGER) + 1, ',0],[', id, ',1],[', id, ',0]]]}}') AS geometry,
+            session_count, visitor_count, sales_conversion_count, order_count, total_sales, sales_conversion, avg_order_value
+        FROM ({_BY_REGION})""",
+    "stream_visit_ingest": f"SELECT client_id, session_id, event_name, url, {_text('creation_time')} AS creation_time FROM visits",
+    "stream_visitor_ingest": f"""
+        SELECT client_id, session_id, device, browser, os, {_text("creation_time")} AS creation_time FROM visitors""",
+    "stream_cookie_watermark": "SELECT client_id, session_id, cart_token FROM unique_cookies",
+    "stream_anonymous_carts": f"""
+        SELECT client_id, session_id, cart_token, {_text("creation_time")} AS creation_time, experiment_id, variation_id,
+            'served' AS event_name, {_text("creation_time")} AS served_at
+        FROM ({_assigned("(SELECT *, 'e1' AS experiment_id FROM anonymous)")}) JOIN
+            (SELECT client_id, session_id, cart_token FROM anonymous) USING (client_id, session_id)""",
+    "late_rows": f"""
+        SELECT {_EVENT_KEY}, {_text("creation_time")} AS creation_time, k AS batch_id FROM ({_MARKED}) WHERE late""",
+    "restated_days": f"""
+        SELECT CAST(CAST(creation_time AS DATE) AS VARCHAR) AS day, client_id, experiment_id, variation_id, event_name,
+            count(*) FILTER (NOT late) AS events, count(*) FILTER (late) AS late_events, count(*) AS restated
+        FROM ({_MARKED}) GROUP BY ALL""",
     "stream_event_ingest": f"SELECT {_EVENT_KEY}, {_text('creation_time')} AS creation_time FROM exp_events",
     "stream_cookie_dedup": f"""
         SELECT client_id, session_id, cart_token, {_text("creation_time")} AS creation_time FROM unique_cookies""",
@@ -662,12 +743,8 @@ BODIES = {
         SELECT CAST(CAST(creation_time AS DATE) AS VARCHAR) AS day, client_id, experiment_id, variation_id, event_name,
             count(DISTINCT session_id) AS visitors
         FROM exp_events GROUP BY ALL""",
-    "stream_daily_visitors": """
-        SELECT CAST(CAST(creation_time AS DATE) AS VARCHAR) AS day, client_id, experiment_id, variation_id,
-            count(session_id) FILTER (event_name = 'served') AS num_session,
-            count(DISTINCT session_id) FILTER (event_name = 'served') AS num_visitor,
-            count(DISTINCT session_id) FILTER (event_name = 'clicked') AS goal_conversion_count
-        FROM exp_events GROUP BY ALL""",
+    "stream_daily_visitors": _DAILY_VISITORS,
+    "stream_daily_visitors_late": _DAILY_VISITORS,
 }
 
 

@@ -12,10 +12,11 @@ from shoplens.functions import timeutil as tu
 from shoplens.functions.timeutil import RecentDays, ReportWindow
 from shoplens.operators import dims, experiments, feeds, lookups, merge, sales, traffic
 from shoplens.plans import funnel, landing, product, summary, variation, visitor
+from shoplens.schemas import ddl
 from shoplens.session import shared_dir
-from shoplens.sources import documents, tables
+from shoplens.sources import documents, tables, versions
 from shoplens.streaming import jobs
-from shoplens.testbed.views import DRIVER_TABLES, Testbed, order_seconds
+from shoplens.testbed.views import DRIVER_TABLES, Testbed, order_seconds, order_time
 
 WINDOW = ReportWindow("2024-01-03T00-00-00", "2024-01-28T23-59-59")
 DAYS = RecentDays(dt.datetime(2024, 1, 15, 7, 30))
@@ -110,6 +111,64 @@ def order_upsert(t: Testbed) -> DataFrame:
     return shown(merge.upsert_orders(t.orders, feeds.order_batch(pages, pages), named))
 
 
+def _late(docs: Callable[[str], DataFrame], entries: str, days: int, share: int) -> DataFrame:
+    """Documents of which every ``share``-th order comes in a version that is some days older."""
+    key = F.col("o_orderkey")
+    older = F.date_format(order_time("o_orderkey") - F.expr(f"interval {days} days"), "yyyy-MM-dd'T'HH:mm:ssxxx")
+    aged = lambda d: F.when(key % share == 0, d.withField("updated_at", older)).otherwise(d)
+    return docs(entries).withColumn(entries, F.transform(entries, aged))
+
+
+def _stale_pages(docs: Callable[[str], DataFrame]) -> DataFrame:
+    """Pages of a sync that names some orders in older versions and leaves out some open ones."""
+    key = F.col("o_orderkey")
+    paid = _late(docs, "orders", 1, 3).filter("o_orderstatus = 'F'").select("client_id", "orders")
+    still_open = _late(docs, "checkouts", 1, 3).filter((F.col("o_orderstatus") == "P") & (key % 7 != 1))
+    return paid.unionByName(still_open.select("client_id", "checkouts"), allowMissingColumns=True)
+
+
+@query
+def order_upsert_stale(t: Testbed) -> DataFrame:
+    """Stored orders that are newer than the feed's versions stay, open and paid ones."""
+    pages = _stale_pages(t.order_documents)
+    named = feeds.named_documents(pages, pages)
+    return shown(merge.upsert_orders(t.orders, feeds.order_batch(pages, pages), named))
+
+
+@query
+def order_upsert_stored(t: Testbed) -> DataFrame:
+    """Several syncs into the stored orders, compacted in between: some paid orders, then the others with all
+    open ones, then old versions without lines, then the second sync once more."""
+    root = shared_dir(t.spark, "stored-orders")
+    tables.append_table(t.orders, root, "orders")
+    pages = _sync_pages(t.order_documents)
+    number = F.coalesce(F.col("orders")[0]["id"], F.lit(1))
+    emptied = _late(t.order_documents, "orders", 40, 1).filter("o_orderstatus = 'F'")
+    emptied = emptied.withColumn("orders", F.transform("orders", lambda d: d.withField("line_items", F.slice(d["line_items"], 1, 0))))
+    none = pages.limit(0)
+    second = pages.filter(number % 2 == 1)
+    for number_of_sync, (batch, whole) in enumerate([(pages.filter(number % 2 == 0), False), (second, True), (emptied, False), (second, True)]):
+        documents_ = feeds.order_documents(batch, batch if whole else none)
+        snapshots = feeds.named_documents(batch, batch).select("client_id") if whole else None
+        versions.sync_orders(t.spark, root, documents_, snapshots)
+        if number_of_sync == 1:
+            versions.compact(t.spark, root, "orders")
+            versions.vacuum(t.spark, root, "orders")
+    return shown(tables.read_table(t.spark, root, "orders").drop("open", "part"))
+
+
+@query
+def product_upsert_stored(t: Testbed) -> DataFrame:
+    """The product feed synced three times into the stored products, compacted after the first."""
+    root = shared_dir(t.spark, "stored-products")
+    tables.append_table(t.products, root, "products")
+    batch = feeds.product_rows(documents.parse_pages(t.product_pages(), "products"))
+    for _ in range(3):
+        versions.sync_products(t.spark, root, batch)
+        versions.compact(t.spark, root, "products")
+    return shown(tables.read_table(t.spark, root, "products").drop("bucket"))
+
+
 @query
 def rejected_orders(t: Testbed) -> DataFrame:
     """Order lines set aside, from pages in which some quantities are no numbers."""
@@ -224,6 +283,32 @@ def dim_load(t: Testbed) -> DataFrame:
     return shown(dims.new_experiments(raw))
 
 
+@query
+def client_create(t: Testbed) -> DataFrame:
+    """Tenants from sign-ups, whose other columns (a password among them) are left out."""
+    raw = t.raw("customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("client_id"),
+        F.col("c_name").alias("full_name"),
+        F.col("c_mktsegment").alias("company_name"),
+        (F.col("c_acctbal") < 0).alias("disabled"),
+        F.concat(F.lit("https://shop-"), F.col("c_custkey").cast("string"), F.lit(".example")).alias("shopify_app_eg_url"),
+        F.lit("UTC").alias("client_timezone"),
+        F.lit("secret").alias("hashed_password"),
+        order_seconds("c_custkey").alias("creation_timestamp"),
+    )
+    return shown(dims.new_clients(raw))
+
+
+@query
+def variation_create(t: Testbed) -> DataFrame:
+    """Two new arms for each tenant's experiment, with keys from their natural columns."""
+    arms = F.inline(F.array(*[F.struct(F.lit(n).alias("variation_name"), F.lit(s).alias("traffic_percentage")) for n, s in (("Red", 60), ("Blue", 40))]))
+    raw = t.raw("customer").select(
+        F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("client_id"), F.lit("e1").alias("experiment_id"), arms
+    )
+    return dims.new_variations(raw)
+
+
 @query
 def json_roundtrip(t: Testbed) -> DataFrame:
     """Order pages written as JSON documents, read back and flattened."""
@@ -435,6 +520,11 @@ def experiment_summary(t: Testbed) -> DataFrame:
     return summary.experiment_summary(t.experiments, t.events, variation.goal_table(t.variations, t.events))
 
 
+@query
+def summary_text(t: Testbed) -> DataFrame:
+    return summary.summary_text(experiment_summary(t))
+
+
 def _requests(t: Testbed) -> DataFrame:
     """One request of the latest experiment per session seen in the clicks or carts."""
     sessions = t.visits.select("client_id", "session_id", "creation_time").unionByName(
@@ -495,6 +585,31 @@ def sales_by_region(t: Testbed) -> DataFrame:
     return visitor.sales_by_region(_joined(t), t.regions).drop("geometry")
 
 
+@query
+def visitor_orders_null_sessions(t: Testbed) -> DataFrame:
+    """Visitors of one device class have no session, as have orders without a known cart; they meet."""
+    visitors = t.visitors.withColumn("session_id", F.when(F.col("device") != "d0", F.col("session_id")))
+    return shown(visitor.visitor_orders(visitors, t.orders, t.cookies, t.clients, WINDOW, match_null_sessions=True))
+
+
+@query
+def region_feature_collection(t: Testbed) -> DataFrame:
+    """Sales by region with geometry from a stored document, written as one collection per tenant and read back."""
+    reference, path = shared_dir(t.spark, "regions"), shared_dir(t.spark, "collections")
+    key = F.col("id").cast("int")
+    corners = [F.array(key + x, key * 0 + y) for x, y in ((0, 0), (1, 0), (0, 1), (0, 0))]
+    shape = F.struct(F.lit("Polygon").alias("type"), F.array(F.array(*corners)).alias("coordinates"))
+    region = F.struct("type", "id", "region_name", shape.alias("geometry"))
+    line = F.concat(F.when(key == 0, "[\n").otherwise(",\n"), F.replace(F.to_json(region), F.lit(','), F.lit(',\n')))
+    document = t.regions.select(key.alias("n"), line.alias("value")).unionByName(t.regions.filter("id = '0'").select(F.lit(10**6).alias("n"), F.lit("]").alias("value")))
+    document.repartition(1).sortWithinPartitions("n").select("value").write.text(reference)
+    by_region = visitor.sales_by_region(_joined(t), documents.read_regions(t.spark, reference))
+    visitor.write_feature_collections(visitor.region_features(by_region), path)
+    found = visitor.read_feature_collections(t.spark, path)
+    geometry = F.replace("geometry", F.lit("\n"), F.lit("")).alias("geometry")
+    return found.select("client_id", "document", "type", "id", geometry, "properties.*")
+
+
 # --- streams ---------------------------------------------------------------------------------
 
 
@@ -517,6 +632,64 @@ def stream_event_ingest(t: Testbed) -> DataFrame:
     return shown(tables.read_table(t.spark, root, "events").drop("day", "load"))
 
 
+@query
+def stream_visit_ingest(t: Testbed) -> DataFrame:
+    """Page views of a stream in several micro-batches; the closed days are packed into one folder each."""
+    live, root, progress = _stream(t)
+    for k in range(3):
+        part = live.visits.filter(F.minute("creation_time") % 3 == k)
+        jobs.append_stream(part, root, "visits", f"{progress}-{k}").awaitTermination()
+    tables.pack_days(t.spark, root, "visits", dt.date(2024, 1, 16))
+    tables.drop_packed(t.spark, root, "visits")
+    return shown(tables.read_table(t.spark, root, "visits").drop("day", "load"))
+
+
+@query
+def stream_visitor_ingest(t: Testbed) -> DataFrame:
+    live, root, progress = _stream(t)
+    kept = ["client_id", "session_id", "device", "browser", "os", "creation_time"]
+    clicks = live.clicks.filter(F.col("event_type").isin("view", "signup"))
+    rows = clicks.select(
+        "client_id",
+        "session_id",
+        *[F.concat(F.lit(name[0]), (F.col("user_id") % n).cast("string")).alias(name) for name, n in (("device", 3), ("browser", 4), ("os", 5))],
+        F.col("ts").alias("creation_time"),
+    )
+    jobs.append_stream(rows, root, "visitors", progress).awaitTermination()
+    return shown(tables.read_table(t.spark, root, "visitors").select(*kept))
+
+
+@query
+def stream_cookie_watermark(t: Testbed) -> DataFrame:
+    """Cookies deduplicated within a delay that spans the whole stream; which of equal keys comes first is open."""
+    live, root, progress = _stream(t)
+    rows = dims.append_rows(live.cookie_registrations(), "cookies")
+    jobs.dedup_cookie_stream(rows, root, progress, "90 days").awaitTermination()
+    return t.spark.read.parquet(root).select("client_id", "session_id", "cart_token")
+
+
+@query
+def stream_anonymous_carts(t: Testbed) -> DataFrame:
+    """Orders without a cart in a stream: their cookies, joined with the events served to their sessions."""
+    live, root, progress = _stream(t)
+    for name in ("experiments", "variations", "events", "cookies"):
+        tables.append_table(getattr(t, name), root, name)
+    pages = documents.parse_pages(live.order_pages(), "orders")
+    pages = pages.withColumn("checkouts", F.lit(None).cast(dict(pages.dtypes)["orders"]))
+    jobs.order_sync_stream(pages, root, progress).awaitTermination()
+    added = lambda name: tables.read_table(t.spark, root, name).filter(F.col("load") != tables.BATCH)
+    served = added("events").select("client_id", "session_id", "experiment_id", "variation_id", "event_name", F.col("creation_time").alias("served_at"))
+    return shown(added("cookies").drop("day", "load").join(served, ["client_id", "session_id"], "full"))
+
+
+@query
+def stream_order_upsert_stale(t: Testbed) -> DataFrame:
+    live, root, progress = _stream(t)
+    tables.append_table(t.orders, root, "orders")
+    jobs.order_sync_stream(_stale_pages(live.order_documents), root, progress, whole_snapshots=True).awaitTermination()
+    return shown(tables.read_table(t.spark, root, "orders").drop("open", "part"))
+
+
 @query
 def stream_cookie_dedup(t: Testbed) -> DataFrame:
     live, root, progress = _stream(t)
@@ -574,3 +747,36 @@ def stream_new_visitors(t: Testbed) -> DataFrame:
     live, root, progress = _stream(t)
     jobs.new_visitor_stream(live.events, root, progress).awaitTermination()
     return shown(jobs.read_new_visitors(t.spark, root))
+
+
+def _late_stream(t: Testbed) -> str:
+    """Events in three deliveries, each with rows of all days: most of the second and third come late."""
+    live, root, progress = _stream(t)
+    landing = shared_dir(t.spark, "landing-events")
+    for k in range(3):
+        t.events.filter(F.minute("creation_time") % 3 == k).coalesce(1).write.mode("append").parquet(landing)
+        stream = t.spark.readStream.schema(ddl("events")).parquet(landing)
+        jobs.late_row_stream(stream, root, progress).awaitTermination()
+    return root
+
+
+@query
+def late_rows(t: Testbed) -> DataFrame:
+    return shown(jobs.read_late_rows(t.spark, _late_stream(t)))
+
+
+@query
+def restated_days(t: Testbed) -> DataFrame:
+    return shown(jobs.read_restated_counts(t.spark, _late_stream(t)))
+
+
+@query
+def stream_daily_visitors_late(t: Testbed) -> DataFrame:
+    """Distinct visitors per day when every day's rows come in three deliveries."""
+    live, root, progress = _stream(t)
+    landing = shared_dir(t.spark, "landing-events")
+    for k in range(3):
+        t.events.filter(F.minute("creation_time") % 3 == k).coalesce(1).write.mode("append").parquet(landing)
+        stream = t.spark.readStream.schema(ddl("events")).parquet(landing)
+        jobs.daily_visitor_stream(stream, root, progress).awaitTermination()
+    return shown(jobs.read_daily_visitors(t.spark, root))
