@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shoplens.functions.ratio import percent
@@ -22,14 +22,16 @@ def _measured(visits: DataFrame, orders: DataFrame, clients: DataFrame, window:
     return product_views(visits_in(visits, clients, window)), product_orders(window.restrict(orders, "updated_at", clients))
 
 
-def _conversion(products: DataFrame, seen: DataFrame, bought: DataFrame) -> DataFrame:
+def _conversion(products: DataFrame, seen: DataFrame, bought: DataFrame, how: str = "left") -> DataFrame:
+    """Counts of every product; joined in full, also those of pages and orders without a product (``listed`` is null)."""
     zero = F.lit(0).cast("bigint")
     visitors = F.coalesce("visitor_count", zero)
     conversions = F.coalesce("conversion_count", zero)
     return (
         product_dim(products)
-        .join(seen, ["client_id", "product_handle"], "left")
-        .join(bought, ["client_id", "product_id"], "left")
+        .withColumn("listed", F.lit(True))
+        .join(seen, ["client_id", "product_handle"], how)
+        .join(bought, ["client_id", "product_id"], how)
         .select(
             "client_id",
             "product_id",
@@ -39,26 +41,28 @@ def _conversion(products: DataFrame, seen: DataFrame, bought: DataFrame) -> Data
             F.greatest(visitors - conversions, zero).alias("non_conversion_count"),
             conversions.alias("conversion_count"),
             percent(conversions, F.greatest(visitors, conversions)).alias("conversion_percentage"),
+            "listed",
+            (F.col("visitor_count").isNotNull() | F.col("conversion_count").isNotNull()).alias("active"),
         )
     )
 
 
-def _by_tag(conversion: DataFrame) -> DataFrame:
-    return conversion.withColumn("tag", F.explode(tag_list(F.col("tags")))).drop("tags")
-
-
 def product_conversion(
     products: DataFrame, visits: DataFrame, orders: DataFrame, clients: DataFrame, window: ReportWindow
 ) -> DataFrame:
     """Visitors and distinct paid orders of every product, zero where it has none."""
-    return _conversion(products, *_measured(visits, orders, clients, window))
+    return _conversion(products, *_measured(visits, orders, clients, window)).drop("listed", "active")
 
 
 def product_conversion_by_tag(
     products: DataFrame, visits: DataFrame, orders: DataFrame, clients: DataFrame, window: ReportWindow
 ) -> DataFrame:
     """Product conversion repeated under each of the product's tags."""
-    return _by_tag(product_conversion(products, visits, orders, clients, window))
+    return (
+        product_conversion(products, visits, orders, clients, window)
+        .withColumn("tag", F.explode(tag_list(F.col("tags"))))
+        .drop("tags")
+    )
 
 
 def product_worst_by_tag(
@@ -69,16 +73,22 @@ def product_worst_by_tag(
     A tenant without any product view or paid order in the window has not enough data; that is
     read off the same counts, so each fact table is scanned once.
     """
-    seen, bought = _measured(visits, orders, clients, window)
     worst = F.min(
         F.struct("conversion_percentage", "product_handle", "product_id", "product_title")
     ).alias("w")
-    active = seen.select("client_id").union(bought.select("client_id")).distinct().withColumn("_active", F.lit(True))
+    none = F.array(F.lit(None).cast("string"))
+    tags = F.when(F.col("listed"), tag_list(F.col("tags"))).otherwise(none)
+    per_tag = (
+        _conversion(products, *_measured(visits, orders, clients, window), "full")
+        .withColumn("tag", F.explode(tags))
+        .groupBy("client_id", "listed", "tag")
+        .agg(worst, F.bool_or("active").alias("_active"))
+    )
+    # One row per tag is left of each tenant.
+    active = F.bool_or("_active").over(Window.partitionBy("client_id"))
     return (
-        _by_tag(_conversion(products, seen, bought))
-        .groupBy("client_id", "tag")
-        .agg(worst)
-        .join(active, "client_id", "left")
+        per_tag.withColumn("_active", active)
+        .filter("listed")
         .select(
             "client_id",
             "tag",
