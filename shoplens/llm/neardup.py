@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from shoplens.llm.common import landed, numbered, packed, text_or_empty
 from shoplens.llm.components import connected
-from shoplens.llm.shingles import band_keys, shingle_set, signatures
+from shoplens.llm.shingles import band_keys, forget, shingle_set, signatures
 
 #: Linked at 100 * shared >= PERCENT * united shingles.
 PERCENT = 75
@@ -43,6 +43,7 @@ def _signed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "keys": [key if len(s) else [] for key, s in zip(keys, sets, strict=True)],
             }
         )
+    forget()
 
 
 def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -51,6 +52,7 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         same = [_set_id(s) == bytes(known) for s, known in zip(sets, batch["set_id"], strict=True)]
         rows = [(i, s.view(np.int64).tolist()) for i, s, ok in zip(batch["id"], sets, same, strict=True) if ok]
         yield pd.DataFrame(rows, columns=["id", "shingles"])
+    forget()
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -37,6 +37,12 @@ class Recent(dict):
 _word_hash = Recent(xxhash.xxh3_64_intdigest, CACHE_WORDS)
 
 
+def forget() -> None:
+    """Empties the cache: a worker process outlives its task and serves other operators."""
+    _word_hash.clear()
+    _word_hash.older = {}
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers in which every bit depends on every bit."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

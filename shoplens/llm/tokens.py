@@ -21,8 +21,10 @@ END_ID = 2
 MAX_BITS = 20
 BLOCK_IDS = 1 << 18
 CHECKPOINT_IDS = 256
-#: Remembered chunks of text per worker and generation; two generations are kept.
-CACHE_CHUNKS = 750_000
+#: Memory of a worker's remembered chunks of text, in each of two generations.
+CACHE_BYTES = 96 << 20
+#: What an entry takes besides its characters and ids.
+_ENTRY_BYTES = 200
 
 
 def _byte_signs() -> list[str]:
@@ -49,16 +51,19 @@ _PLAIN = re.compile(rf' ?{_LETTER}+| ?[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]+|\
 
 
 class _Recent(dict):
-    """A cache of bounded size: what is found in the older generation moves to the newer one."""
+    """A cache within a bound of memory: what is found in the older generation moves to the newer one."""
 
     def __init__(self, make: Callable[[str], bytes | None], limit: int):
         super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
+        self.make, self.limit, self.held, self.older = make, limit, 0, {}
 
     def __missing__(self, key: str) -> bytes | None:
-        value = self.older.get(key) or self.make(key)
-        if len(self) >= self.limit:
-            self.older = dict(self)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self.held += _ENTRY_BYTES + len(key)
+        if self.held > self.limit:
+            self.older, self.held = dict(self), 0
             self.clear()
         self[key] = value
         return value
@@ -87,27 +92,33 @@ class Encoder:
             and not split.get("add_prefix_space")
         )
         self.added = [token["content"] for token in spec["added_tokens"]]
-        self.width = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.size = self.tokenizer.get_vocab_size()
+        self.width = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.typecode = "H" if self.width.itemsize == 2 else "I"
-        self.pieces = _Recent(self._piece, CACHE_CHUNKS // 2)
-        self.chunks = _Recent(self._after_space, CACHE_CHUNKS)
+        self.chunks = _Recent(self._after_space, CACHE_BYTES)
+        self.bare = _Recent(self._piece, CACHE_BYTES // 8)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.typecode, ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return self._bytes([token.id for token in self.tokenizer.model.tokenize(piece)])
+        return self._bytes([token.id for token in self.tokenizer.model.tokenize(_spelled(piece))])
 
-    def _chunk(self, chunk: str) -> bytes:
-        plain = _PLAIN(chunk)
-        if sum(map(len, plain)) == len(chunk):
-            spelled = [_spelled(piece) for piece in plain]
-        else:
-            spelled = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(chunk)]
-        return b"".join(map(self.pieces.__getitem__, spelled))
+    def _known(self, piece: str) -> bytes:
+        """A word after a space is remembered as the chunk it is, anything else as it stands."""
+        return self.chunks[piece[1:]] if piece[0] == " " and piece[1].isalpha() else self.bare[piece]
+
+    def _chunk(self, text: str) -> bytes:
+        plain = _PLAIN(text)
+        if sum(map(len, plain)) != len(text):
+            spelled = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+            return b"".join(self._bytes([token.id for token in self.tokenizer.model.tokenize(piece)]) for piece in spelled)
+        return self._piece(plain[0]) if len(plain) == 1 else b"".join(map(self._known, plain))
 
     def _after_space(self, chunk: str) -> bytes | None:
         """The ids of the chunk with its space; none if more space follows, as the cut is then elsewhere."""
+        if chunk.isascii() and chunk.isalpha():
+            return self._bytes([token.id for token in self.tokenizer.model.tokenize(_SPACE + chunk)])
         return self._chunk(f" {chunk}") if chunk and not chunk[0].isspace() else None
 
     def encode(self, text: str) -> bytes:
@@ -216,7 +227,8 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame
     """``doc_id``, ``range``, ``before``, ``n`` and ``ids`` in ascending order of doc_id, landed.
 
     The order is by doc_id (null first), then text; ``range`` numbers the sorted pieces of the
-    table and ``before`` counts the ids of earlier documents of the same piece.
+    table and ``before`` counts the ids of earlier documents of the same piece. Each piece ends with a
+    row without ids: ``counts`` of each id in it.
     """
     text = text_or_empty("text")
     order = ["doc_id", "_hash", "text"]
@@ -228,16 +240,23 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame
         own, before = encoder(vocabulary), 0
         end = np.array([end_id], own.width).tobytes()
         here = TaskContext.get().partitionId()
+        counts = np.zeros(max(own.size, end_id + 1), np.int64)
         for batch in batches:
             ids = [own.encode(text) + end for text in batch["text"]]
             sizes = np.array([len(x) // own.width.itemsize for x in ids], np.int64)
             ends = before + np.cumsum(sizes)
+            counts += np.bincount(np.frombuffer(b"".join(ids), own.width), minlength=len(counts))
             yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "range": here, "before": ends - sizes, "n": sizes, "ids": ids}
+                {"doc_id": batch["doc_id"], "range": here, "before": ends - sizes, "n": sizes, "ids": ids, "counts": None}
             )
             before = int(ends[-1]) if len(ends) else before
+        if before:
+            yield pd.DataFrame(
+                {"doc_id": [None], "range": here, "before": before, "n": 0, "ids": None, "counts": [counts.tobytes()]}
+            )
 
-    return landed(rows.mapInPandas(tokenized, "doc_id string, range int, before long, n long, ids binary"), "token-ids")
+    schema = "doc_id string, range int, before long, n long, ids binary, counts binary"
+    return landed(rows.mapInPandas(tokenized, schema), "token-ids")
 
 
 def _width(vocabulary: str) -> np.dtype:
@@ -255,19 +274,21 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str, max_bits: int = MA
     one total per range.
     """
     spark = docs.sparkSession
-    rows = encoded(docs, vocabulary)
+    every = encoded(docs, vocabulary)
+    rows = every.filter("ids is not null").drop("counts")
     width = _width(vocabulary)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            part = np.bincount(np.frombuffer(b"".join(batch["ids"]), width), minlength=len(total))
-            part[: len(total)] += total
-            total = part
+            for own in batch["counts"]:
+                part = np.frombuffer(own, np.int64)
+                total = total + part if len(total) else part
         used = np.flatnonzero(total)
         yield pd.DataFrame({"id": used, "n": total[used]})
 
-    counts = rows.select("ids").mapInPandas(counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    parts = every.select("counts").filter("counts is not null").mapInPandas(counted, "id long, n long")
+    counts = parts.groupBy("id").agg(F.sum("n").alias("n")).collect()
     frequency = np.zeros(1 + max((row.id for row in counts), default=0), np.int64)
     for row in counts:
         frequency[row.id] = row.n
