@@ -77,10 +77,13 @@ _WARC = """
 WITH captured AS (
   SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
 ),
-firsts AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM captured)
+firsts AS (
+  SELECT *, first_value(page_id) OVER own AS first_id, row_number() OVER own > 1 AS again FROM captured
+  WINDOW own AS (PARTITION BY payload_digest ORDER BY page_id NULLS LAST)
+)
 SELECT page_id, payload_bytes, payload_digest,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+  CASE WHEN payload_bytes >= 100 AND again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND again THEN first_id END AS refers_to
 FROM firsts
 """
 

@@ -22,7 +22,7 @@ from shoplens.llm import (
     trie,
     warc,
 )
-from shoplens.llm.common import n_words, table, text_or_empty
+from shoplens.llm.common import landed, n_words, table, text_or_empty
 from shoplens.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,7 +69,8 @@ def op10_interleaved_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), path)
-    captures = warc.assemble(warc.read_archives(spark, path, payloads=False))
+    records = landed(warc.read_archives(spark, path, payloads=False), "warc-records")
+    captures = warc.assemble(records).filter("response is not null")
     full = F.coalesce(F.col("original.response"), F.col("response"))
     return captures.select(
         "page_id",

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shoplens.llm.common import landed, packed
+from shoplens.llm.common import landed, numbered, packed
+from shoplens.llm.components import connected
 
 VERSION = "WARC/1.1"
 END = "\r\n\r\n"
@@ -37,16 +38,22 @@ def _urn(kind: str, *parts: Column) -> Column:
 
 
 def with_roles(pages: DataFrame) -> DataFrame:
-    """``record_id``, ``type`` and ``refers_to_id`` of each capture, one narrow row each.
+    """One narrow row per capture: ``key`` (of equal rows), ``copies`` of them, ``record_id``, ``type`` and ``refers_to_id``.
 
-    Of captures with equal payloads of at least ``MIN_REVISIT_BYTES`` the one with the smallest
-    page id (null last, then smallest record id) is the response and the others revisit it.
+    Equal rows are numbered, so that each is a capture with a record id of its own. Of captures with
+    equal payloads of at least ``MIN_REVISIT_BYTES`` the one with the smallest page id (null last, then
+    smallest record id) is the response and the others revisit it.
     """
-    slim = landed(_captured(pages).select("page_id", "record_id", "digest", "payload_bytes"), "warc-slim")
-    first = slim.groupBy("digest").agg(F.min(F.struct(F.isnull("page_id"), "page_id", "record_id")).alias("first"))
+    slim = _captured(pages).groupBy("key", "page_id", "digest", "payload_bytes")
+    slim = landed(slim.agg(F.count(F.lit(1)).alias("copies")), "warc-slim")
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))
+    each = slim.select("*", copy.alias("copy")).withColumn("record_id", _urn("response", F.col("key"), F.col("copy")))
+    first = each.groupBy("digest").agg(F.min(F.struct(F.isnull("page_id"), "page_id", "record_id")).alias("first"))
     first = first.select("digest", F.col("first.record_id").alias("first_id"))
     again = (F.col("payload_bytes") >= MIN_REVISIT_BYTES) & (F.col("first_id") != F.col("record_id"))
-    return slim.join(first, "digest").select(
+    return each.join(first, "digest").select(
+        "key",
+        "copies",
         "record_id",
         "payload_bytes",
         F.when(again, "revisit").otherwise("response").alias("type"),
@@ -56,12 +63,12 @@ def with_roles(pages: DataFrame) -> DataFrame:
 
 def _captured(pages: DataFrame) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
-    digest = F.sha2(html.cast("binary"), 256)
-    return pages.select("page_id", "url", html.alias("html")).select(
-        "*",
-        F.octet_length("html").cast("long").alias("payload_bytes"),
-        digest.alias("digest"),
-        _urn("response", F.col("page_id"), F.col("url"), digest).alias("record_id"),
+    known = [F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in ("page_id", "url")]
+    return (
+        pages.select("page_id", "url", html.alias("html"))
+        .withColumn("payload_bytes", F.octet_length("html").cast("long"))
+        .withColumn("digest", F.sha2(F.col("html").cast("binary"), 256))
+        .withColumn("key", F.md5(F.concat_ws("\x1f", *known, "digest").cast("binary")))
     )
 
 
@@ -85,14 +92,19 @@ def write_archives(pages: DataFrame, path: str) -> None:
     ``pages`` has page_id, url and html (null: empty payload, no target header; other columns are
     ignored). Line breaks in a url are percent-encoded. Spark's own text sink writes the records,
     closed by the two line breaks that the format asks for, so any file system and any retry is
-    safe. Files hold about ``FILE_BYTES``, whatever the input's size; the html moves once, by
-    record id. Fully repeated rows write the same record ids and are read back as one capture.
+    safe. Files hold about ``FILE_BYTES``, whatever the input's size; the html moves once. Every row
+    is a capture: the html of fully repeated rows moves as one row and is multiplied where it is written.
     """
     roles = landed(with_roles(pages), "warc-roles")
-    volume = roles.agg(F.sum("payload_bytes"), F.count(F.lit(1))).first()
+    volume = roles.agg(F.sum("payload_bytes"), F.count(F.lit(1)), F.max("copies")).first()
     files = max(1, -(-((volume[0] or 0) + RECORD_OVERHEAD * volume[1]) // FILE_BYTES))
-    roles = roles.dropDuplicates(["record_id"]).drop("payload_bytes").repartition(files, "record_id")
-    rows = _captured(pages).repartition(files, "record_id").join(roles, "record_id")
+    captured, roles = _captured(pages), roles.drop("payload_bytes")
+    single = roles.filter("copies = 1").repartition(files, "key")
+    rows = captured.repartition(files, "key").join(single, "key")
+    if (volume[2] or 0) > 1:
+        many = roles.filter("copies > 1")
+        once = captured.join(many.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+        rows = rows.unionByName(once.join(many, "key"))
 
     uri = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     digest = F.concat(F.lit("sha256:"), F.col("digest"))
@@ -110,10 +122,9 @@ def write_archives(pages: DataFrame, path: str) -> None:
         F.lit(END),
     )
     same = F.col("record_id")
-    parts = (F.col("page_id"), F.col("url"), F.col("digest"))
     request = _record(
         "request",
-        _urn("request", *parts),
+        _urn("request", same),
         "application/http;msgtype=request",
         F.coalesce(ask, F.lit(f"GET / HTTP/1.1{END}")),
         Target_URI=uri,
@@ -132,7 +143,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     )
     about = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n"))
     metadata = _record(
-        "metadata", _urn("metadata", *parts), "application/warc-fields", about, Target_URI=uri, Concurrent_To=same
+        "metadata", _urn("metadata", same), "application/warc-fields", about, Target_URI=uri, Concurrent_To=same
     )
     lines = rows.select(F.concat(request, F.lit(END), head, F.lit(END), metadata).alias("value"))
     lines.write.option("lineSep", END).option("compression", "gzip").text(path)
@@ -209,37 +220,60 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return files.mapInPandas(parsed, RECORD_SCHEMA)
 
 
+def _captures_of(others: DataFrame, known: DataFrame) -> DataFrame:
+    """(``other_id``, ``capture``) of records that lead to captures through concurrent-to ids, over any number of steps.
+
+    Records that name a capture belong to it. Records that only name each other form groups, and
+    those of a group that name no capture belong to all that others of it name.
+    """
+    direct = others.join(known, F.col("near") == F.col("capture")).select("other_id", "capture").distinct()
+    direct = landed(direct, "warc-direct")
+    ids = others.select(F.col("other_id").alias("_to")).distinct()
+    steps = others.join(ids, F.col("near") == F.col("_to")).select("other_id", F.col("_to").alias("near")).distinct()
+    steps = landed(steps, "warc-steps")
+    ends = steps.select(F.explode(F.array("other_id", "near")).alias("other_id")).distinct()
+    numbers = landed(numbered(ends, ["other_id"]), "warc-numbers")
+    links = steps.join(numbers, "other_id").select("near", F.col("rank").alias("a"))
+    links = links.join(numbers, F.col("near") == F.col("other_id")).select("a", F.col("rank").alias("b"))
+    roots = connected(links).toDF("rank", "root")
+    members = numbers.join(roots, "rank", "left").select("other_id", F.coalesce("root", "rank").alias("root"))
+    members = landed(members, "warc-members")
+    named = members.join(direct, "other_id").select("root", "capture").distinct()
+    far = members.join(direct.select("other_id").distinct(), "other_id", "left_anti").join(named, "root")
+    return direct.unionByName(far.select("other_id", "capture"))
+
+
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: ``record_id``, ``response``, ``request``, ``metadata``, ``page_id``, ``original``.
+    """One nested row per capture: ``record_id``, ``response``, ``requests``, ``request``, ``metadata``, ``page_id``, ``original``.
 
-    Requests and metadata find their response or revisit through their concurrent-to ids, either
-    directly or by way of another request or metadata record. Of several requests the one with the
-    smallest record id is kept, metadata records are all kept, sorted by id; a record without a
-    known capture is left out, and a capture without request or metadata has null or an empty list.
-    A record that occurs twice counts once. ``original`` is the response that a revisit refers to.
+    Requests and all other records find their response or revisit through their concurrent-to ids,
+    directly or over other such records. Requests and the other records (``metadata``) are all
+    kept, sorted by id; ``request`` is the first one. A record that leads to no capture is a row of its own
+    without a response. A record that occurs twice counts once. ``original`` is the response that a
+    revisit refers to. No records, no rows. The records are read several times: land them first.
     """
     records = records.select("record_id", F.col("type"), "concurrent_to", "refers_to", packed(records))
-    heads = records.filter(F.col("type").isin(*HEADS)).groupBy("record_id").agg(F.first("row").alias("response"))
-    others = records.filter(~F.col("type").isin(*HEADS)).select(
-        F.explode("concurrent_to").alias("near"), F.col("record_id").alias("other_id"), "type", "row"
+    is_head = F.col("type").isin(*HEADS)
+    heads = records.filter(is_head).groupBy("record_id").agg(F.first("row").alias("response"))
+    others = records.filter(~is_head).select("record_id", "type", "concurrent_to", _plain("row"), _named_page("row.fields"))
+    others = landed(others.withColumnRenamed("record_id", "other_id").dropDuplicates(["other_id"]), "warc-others")
+    near = others.select("other_id", F.explode("concurrent_to").alias("near"))
+    found = landed(_captures_of(near, heads.select(F.col("record_id").alias("capture"))), "warc-found")
+    request = F.struct("other_id", "record")
+    each = others.join(found, "other_id", "left")
+    # Without a capture the record's own id names the row, which no capture has.
+    linked = each.groupBy(F.coalesce("capture", "other_id").alias("_id"), F.isnull("capture").alias("alone")).agg(
+        F.array_sort(F.collect_list(F.when(F.col("type") == "request", request))).alias("_requests"),
+        F.array_sort(F.collect_list(F.when(F.col("type") != "request", request))).alias("_metadata"),
+        F.min("page").alias("page_id"),
     )
-    known = heads.select(F.col("record_id").alias("capture"))
-    direct = others.join(known, F.col("near") == F.col("capture"))
-    step = direct.select(F.col("other_id").alias("via"), F.col("capture").alias("through")).distinct()
-    indirect = others.join(step, F.col("near") == F.col("via")).select(*others.columns, F.col("through").alias("capture"))
-    linked = direct.unionByName(indirect).groupBy("capture").agg(
-        F.min(F.when(F.col("type") == "request", F.struct("other_id", _plain("row")))).alias("_request"),
-        F.array_sort(
-            F.collect_set(F.when(F.col("type") == "metadata", F.struct("other_id", _plain("row"))))
-        ).alias("_metadata"),
-        F.min(F.when(F.col("type") == "metadata", F.get(F.map_values(F.map_filter("row.fields", _page_id)), F.lit(0))))
-        .try_cast("long")
-        .alias("page_id"),
-    )
-    nested = heads.join(linked, F.col("record_id") == F.col("capture"), "left").select(
+    nested = heads.join(linked.filter("not alone"), F.col("record_id") == F.col("_id"), "left")
+    orphans = linked.filter("alone").withColumn("record_id", F.col("_id"))
+    nested = nested.unionByName(orphans, allowMissingColumns=True).select(
         "record_id",
         "response",
-        F.col("_request.record").alias("request"),
+        F.coalesce(F.transform("_requests", lambda m: m["record"]), F.array()).alias("requests"),
+        F.get("_requests", F.lit(0))["record"].alias("request"),
         F.coalesce(F.transform("_metadata", lambda m: m["record"]), F.array()).alias("metadata"),
         "page_id",
     )
@@ -250,6 +284,11 @@ def assemble(records: DataFrame) -> DataFrame:
     return nested.join(originals, F.col("response.refers_to") == F.col("_id"), "left").drop("_id")
 
 
+def _named_page(fields: str) -> Column:
+    named = F.get(F.map_values(F.map_filter(fields, _page_id)), F.lit(0))
+    return F.when(F.col("type") == "metadata", named).try_cast("long").alias("page")
+
+
 def _page_id(name: Column, _: Column) -> Column:
     return name == "page-id"
 
