@@ -2,39 +2,49 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import landed, n_words, numbered, packed, text_or_empty
+from shoplens.llm.shingles import Recent, mixed
 
 TILE_WORDS = 5
+#: Items of fewer words than a tile are looked for as a whole, from so many words on.
+LEAST_WORDS = 3
 MIN_COVERAGE = 0.75
-#: Benchmark words that one pass over the documents carries to the tasks.
+#: Benchmark words that one pass over the documents carries to the tasks, about 40 bytes each.
 BLOCK_WORDS = 2_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _BORDERS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
+_word = Recent(xxhash.xxh3_64_intdigest, 100_000)
 
 PAIRS = "doc_id string, text_hash long, item_id string, n_tiles long, covered_words long, item_words long"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words without case and punctuation: runs of ASCII letters and digits and of all other characters."""
-    return (text or "").encode(errors="surrogatepass").lower().translate(_BORDERS).split()
+def words_of(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words without case and punctuation: runs of ASCII letters and digits and of all other characters."""
+    found = (text or "").encode(errors="surrogatepass").lower().translate(_BORDERS).split()
+    return np.fromiter(map(_word.__getitem__, found), np.uint64, len(found))
 
 
-def rolling(ids: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin hashes of all windows of ``size`` word numbers."""
-    if len(ids) < size:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(ids) - size + 1, np.uint64)
-    for k in range(size):
-        out = out * _BASE + ids[k : k + len(out)]
-    return out
+class Rolling:
+    """Karp-Rabin hashes of windows of any length, from prefix sums of the words' hashes times powers."""
+
+    def __init__(self, words: np.ndarray):
+        powers = np.full(len(words) + 1, _BASE, np.uint64)
+        back = np.full(len(words) + 1, _INVERSE, np.uint64)
+        powers[0] = back[0] = 1
+        powers, self.back = np.cumprod(powers, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(words) * powers[:-1], dtype=np.uint64)])
+
+    def windows(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return mixed((self.sums[starts + size] - self.sums[starts]) * self.back[starts])
 
 
 def _open_windows(marked: np.ndarray, size: int) -> np.ndarray:
@@ -45,83 +55,129 @@ def _open_windows(marked: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(used[size:] == used[:-size])
 
 
-def _seeds(doc: np.ndarray, item: np.ndarray, doc_open: np.ndarray, item_open: np.ndarray, size: int):
-    """Places (doc, item) of equal unmarked windows: a join on rolling hashes, confirmed word by word."""
-    hashes = rolling(item, size)[item_open]
-    order = np.argsort(hashes, kind="stable")
-    hashes, item_open = hashes[order], item_open[order]
-    mine = rolling(doc, size)[doc_open]
-    low, high = np.searchsorted(hashes, mine, "left"), np.searchsorted(hashes, mine, "right")
-    times = high - low
-    d = np.repeat(doc_open, times)
-    first = np.repeat(low, times)
-    i = item_open[first + np.arange(len(d)) - np.repeat(np.cumsum(times) - times, times)]
-    same = np.ones(len(d), bool)
-    for k in range(size):
-        same &= doc[d + k] == item[i + k]
-    return d[same], i[same]
-
-
 def tiles(doc: np.ndarray, item: np.ndarray, size: int = TILE_WORDS) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (doc start, item start, length), longest first, no word in two tiles.
 
-    Each round finds the maximal matches between unmarked words and marks all of the greatest
-    length that do not overlap, by place in the item, then in the document.
+    Each round finds the greatest length of a match between unmarked words, by halving over the
+    hashes of all open windows of a length, and marks all matches of that length that do not overlap, by place
+    in the item, then in the document. What is held is a few numbers per word, however often words repeat.
     """
+    doc_hashes, item_hashes = Rolling(doc), Rolling(item)
     doc_marked, item_marked = np.zeros(len(doc), bool), np.zeros(len(item), bool)
     out: list[tuple[int, int, int]] = []
-    while True:
-        d, i = _seeds(doc, item, _open_windows(doc_marked, size), _open_windows(item_marked, size), size)
-        if not len(d):
-            return out
-        order = np.lexsort((d, d - i))
-        d, i = d[order], i[order]
-        new = np.concatenate([[True], (np.diff(d) != 1) | (np.diff(d - i) != 0)])
-        starts = np.flatnonzero(new)
-        lengths = np.diff(np.concatenate([starts, [len(d)]])) + size - 1
-        longest = int(lengths.max())
-        best = starts[lengths == longest]
-        for at in best[np.lexsort((d[best], i[best]))]:
-            a, b = int(d[at]), int(i[at])
-            if not doc_marked[a : a + longest].any() and not item_marked[b : b + longest].any():
-                doc_marked[a : a + longest] = item_marked[b : b + longest] = True
-                out.append((a, b, longest))
+    most = min(len(doc), len(item))
+
+    def shared(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Open windows of the document by hash, then place, and those of the item that have an equal one."""
+        d, i = _open_windows(doc_marked, length), _open_windows(item_marked, length)
+        mine, wanted = doc_hashes.windows(d, length), item_hashes.windows(i, length)
+        order = np.argsort(mine, kind="stable")
+        d, mine = d[order], mine[order]
+        low = np.searchsorted(mine, wanted)
+        there = mine[np.minimum(low, len(mine) - 1)] == wanted if len(mine) else np.zeros(len(wanted), bool)
+        return d, mine, i[there], wanted[there]
+
+    while most >= size:
+        low, high = size - 1, most
+        while low < high:
+            half = (low + high + 1) // 2
+            low, high = (half, high) if len(shared(half)[2]) else (low, half - 1)
+        if low < size:
+            break
+        d, mine, places, wanted = shared(low)
+        for b, h in zip(places.tolist(), wanted, strict=True):
+            if item_marked[b : b + low].any():
+                continue
+            for a in d[np.searchsorted(mine, h) : np.searchsorted(mine, h, "right")].tolist():
+                if not doc_marked[a : a + low].any() and np.array_equal(doc[a : a + low], item[b : b + low]):
+                    doc_marked[a : a + low] = item_marked[b : b + low] = True
+                    out.append((a, b, low))
+                    break
+        most = low - 1
+    return out
 
 
 class Block:
-    """Benchmark items as word numbers, and which items have each seed."""
+    """Benchmark items as arrays of word hashes, and which items have each window."""
 
     def __init__(self, items: list[tuple[str, str]], size: int):
-        self.size, self.vocabulary, self.items = size, {}, {}
+        self.size, self.names = size, []
+        known: dict[bytes, int] = {}
+        arrays = []
         for item_id, text in items:
-            ids = tuple(self.vocabulary.setdefault(word, len(self.vocabulary) + 1) for word in words_of(text))
-            if len(ids) >= size:
-                self.items.setdefault(ids, []).append(item_id)
-        self.arrays = [np.array(ids, np.uint64) for ids in self.items]
-        self.names = list(self.items.values())
-        owners = defaultdict(set)
-        for n, ids in enumerate(self.arrays):
-            for h in rolling(ids, size).tolist():
-                owners[h].add(n)
-        self.seeds = np.array(sorted(owners), np.uint64)
-        self.owners = [sorted(owners[h]) for h in self.seeds.tolist()]
+            words = words_of(text)
+            if len(words) >= min(size, LEAST_WORDS):
+                at = known.setdefault(words.tobytes(), len(arrays))
+                if at == len(arrays):
+                    arrays.append(words)
+                    self.names.append([])
+                self.names[at].append(item_id)
+        self.lengths = np.array([len(words) for words in arrays], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.words = np.concatenate([*arrays, np.zeros(0, np.uint64)])
+        self.vocabulary = np.unique(self.words)
+        #: By window size: distinct hashes, where each one's owners start, the owners, and how often they have it.
+        self.indexes = {}
+        for length in range(min(size, LEAST_WORDS), size + 1):
+            own = [n for n, words in enumerate(arrays) if len(words) == length or len(words) > length == size]
+            if own:
+                hashes = [Rolling(arrays[n]).windows(np.arange(len(arrays[n]) - length + 1), length) for n in own]
+                owners = np.repeat(np.array(own, np.int32), [len(h) for h in hashes])
+                pairs, times = np.unique(
+                    np.rec.fromarrays([np.concatenate(hashes), owners], names="h,n"), return_counts=True
+                )
+                seeds, first = np.unique(pairs["h"], return_index=True)
+                self.indexes[length] = seeds, np.append(first, len(pairs)), pairs["n"].copy(), times.astype(np.int32)
+
+    def item(self, n: int) -> np.ndarray:
+        return self.words[self.starts[n] : self.starts[n + 1]]
 
     def found(self, text: str, least: float) -> Iterator[tuple[str, int, int, int]]:
         """(item, tiles, covered words, item words) of each item covered enough by the text."""
-        words = words_of(text)
-        if len(words) < self.size or not len(self.seeds):
+        doc = words_of(text)
+        if not len(doc) or not len(self.vocabulary):
+            return
+        strange = self.vocabulary[np.minimum(np.searchsorted(self.vocabulary, doc), len(self.vocabulary) - 1)] != doc
+        hashes = Rolling(doc)
+        for length, (seeds, first, owners, times) in self.indexes.items():
+            at = _open_windows(strange, length)
+            mine = hashes.windows(at, length)
+            seed = np.minimum(np.searchsorted(seeds, mine), len(seeds) - 1)
+            hit = seeds[seed] == mine
+            shared = np.unique(seed[hit])
+            if not len(shared):
+                continue
+            sizes = first[shared + 1] - first[shared]
+            rows = np.repeat(first[shared] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            # Every window covers its own words at most, so items with too few shared ones need no tiling.
+            items, inverse = np.unique(owners[rows], return_inverse=True)
+            cover = np.bincount(inverse, times[rows]) * length
+            for n in items[cover >= least * self.lengths[items]].tolist():
+                yield from self._tiled(n, doc, at[hit], mine[hit], length, least)
+
+    def _tiled(self, n: int, doc: np.ndarray, at: np.ndarray, mine: np.ndarray, length: int, least: float):
+        item = self.item(n)
+        windows = Rolling(item).windows(np.arange(len(item) - length + 1), length)
+        if _covered(np.flatnonzero(np.isin(windows, mine)), length, len(item)).sum() < least * len(item):
             return
-        number = self.vocabulary.get
-        doc = np.fromiter((number(word, 0) for word in words), np.uint64, len(words))
-        hashes = rolling(doc, self.size)[_open_windows(doc == 0, self.size)]
-        at = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)
-        shared = np.unique(at[self.seeds[at] == hashes])
-        for n in sorted({owner for seed in shared.tolist() for owner in self.owners[seed]}):
-            found = tiles(doc, self.arrays[n], self.size)
-            covered = sum(length for *_, length in found)
-            if covered >= least * len(self.arrays[n]):
-                for name in self.names[n]:
-                    yield name, len(found), covered, len(self.arrays[n])
+        # Only what the document shares with this item, its pieces kept apart.
+        near = _covered(at[np.isin(mine, windows)], length, len(doc))
+        places = np.flatnonzero(near)
+        gaps = np.flatnonzero(np.diff(places) > 1) + 1
+        piece = np.insert(doc[places], gaps, ~item[:1].repeat(len(gaps))) if len(gaps) else doc[places]
+        found = tiles(piece, item, length)
+        covered = sum(size for *_, size in found)
+        if covered >= least * len(item):
+            for name in self.names[n]:
+                yield name, len(found), covered, len(item)
+
+
+def _covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Which of n places lie in a window."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, starts + size, -1)
+    return np.cumsum(change)[:n] > 0
 
 
 def contaminated(
@@ -130,11 +186,12 @@ def contaminated(
     """Pairs of a document and a benchmark item of whose words ``coverage`` or more lie in tiles.
 
     Tiles are passages of at least ``size`` words that both have, in any order, so that reordered
-    passages count. Case and punctuation are ignored. Items of fewer than ``size`` words and null
-    texts are never found; equal items are all reported; repeated documents each give their pairs.
+    passages count. Case and punctuation are ignored. Items of fewer than ``size`` words have to occur as a
+    whole; those of fewer than ``LEAST_WORDS`` words and null texts are never found. Equal items are
+    all reported; repeated documents each give their pairs.
     The benchmark goes to the tasks in blocks of ``BLOCK_WORDS`` words (and the rest of one item),
     each with its own pass over the documents, however large the benchmark is; documents are
-    not shuffled.
+    not shuffled. A block is released after its pass.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string"), text_or_empty("text").alias("text"))
@@ -153,6 +210,8 @@ def contaminated(
                     for pair in block.value.found(text, coverage)
                 ]
                 yield pd.DataFrame(found, columns=[part.split()[0] for part in PAIRS.split(", ")])
+            _word.clear()
+            _word.older = {}
 
         return run
 
@@ -161,7 +220,8 @@ def contaminated(
     for number in range((-1 if blocks is None else blocks) + 1):
         held = placed.filter(F.col("_block") == number).select("item_id", "text").collect()
         block = spark.sparkContext.broadcast(Block([tuple(row) for row in held], size))
-        pairs = rows.mapInPandas(tiled(block), PAIRS)
+        pairs = landed(rows.mapInPandas(tiled(block), PAIRS), "benchmark-pairs")
+        block.unpersist()
         out = pairs if out is None else out.unionByName(pairs)
     if out is None:
         out = spark.createDataFrame([], PAIRS)
