@@ -21,8 +21,10 @@ END_ID = 2
 MAX_BITS = 20
 BLOCK_IDS = 1 << 18
 CHECKPOINT_IDS = 256
+#: Ids that are packed in one step, a multiple of the former.
+PACK_IDS = 1 << 14
 #: Memory of a worker's remembered chunks of text, in each of two generations.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 48 << 20
 #: What an entry takes besides its characters and ids.
 _ENTRY_BYTES = 200
 
@@ -184,17 +186,28 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of ``ids``, and the bit offset of every ``CHECKPOINT_IDS``-th of them."""
-    size = lengths[ids].astype(np.int64)
-    ends = np.cumsum(size)
-    starts = ends - size
-    window = codes[ids] << (64 - size - (starts & 31)).astype(np.uint64)
-    word = starts >> 5
-    n_words = int(ends[-1] >> 5) + 2 if len(ids) else 0
-    # Bits of different ids never meet, so the sums are below 2**32 and exact as doubles.
-    high = np.bincount(word, (window >> np.uint64(32)).astype(np.float64), n_words)
-    low = np.bincount(word + 1, (window & np.uint64(0xFFFFFFFF)).astype(np.float64), n_words)
-    return (high + low).astype(">u4").tobytes(), starts[::CHECKPOINT_IDS]
+    """The bits of ``ids``, and the bit offset of every ``CHECKPOINT_IDS``-th of them; in steps that fit a cache."""
+    sizes = lengths.astype(np.uint8)
+    total = int(np.bincount(ids, minlength=len(lengths)) @ lengths.astype(np.int64)) if len(ids) else 0
+    out = np.zeros((total >> 5) + 2 if len(ids) else 0, np.uint64)
+    checkpoints, at = [], 0
+    for first in range(0, len(ids), PACK_IDS):
+        part = ids[first : first + PACK_IDS]
+        size = sizes[part].astype(np.int64)
+        starts = np.cumsum(size)
+        end = at + int(starts[-1])
+        starts += at - size
+        checkpoints.append(starts[::CHECKPOINT_IDS].copy())
+        window = codes[part] << (64 - size - (starts & 31)).astype(np.uint64)
+        low = at >> 5
+        word = (starts >> 5) - low
+        n = (end >> 5) - low + 2
+        # Bits of different ids never meet, so the sums are below 2**32 and exact as doubles.
+        sums = np.bincount(word, (window >> np.uint64(32)).astype(np.float64), n)
+        sums[1:] += np.bincount(word, (window & np.uint64(0xFFFFFFFF)).astype(np.float64), n)[:-1]
+        out[low : low + n] += sums[: len(out) - low].astype(np.uint64)
+        at = end
+    return out.astype(">u4").tobytes(), np.concatenate([*checkpoints, np.zeros(0, np.int64)])
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
@@ -203,7 +216,8 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
     symbols = np.array(sorted(np.flatnonzero(lengths), key=lambda s: (lengths[s], s)), np.int64)
     spans = 1 << (bits - lengths[symbols].astype(np.int64))
     table = np.repeat(symbols << 5 | lengths[symbols], spans)
-    return np.concatenate([table, np.full((1 << bits) - len(table), 1, np.int64)]), bits
+    kind = np.int32 if len(lengths) < 1 << 26 else np.int64
+    return np.concatenate([table, np.full((1 << bits) - len(table), 1, np.int64)]).astype(kind), bits
 
 
 def unpack(data: bytes, checkpoints: np.ndarray, n_ids: int, table: np.ndarray, bits: int) -> np.ndarray:
@@ -213,12 +227,12 @@ def unpack(data: bytes, checkpoints: np.ndarray, n_ids: int, table: np.ndarray,
     words = np.concatenate([np.frombuffer(data, ">u4").astype(np.uint64), np.zeros(2, np.uint64)])
     pairs = words[:-1] << np.uint64(32) | words[1:]
     at, last = checkpoints.astype(np.int64).copy(), len(pairs) - 1
-    out = np.empty((min(CHECKPOINT_IDS, n_ids), len(at)), np.int64)
-    mask = (1 << bits) - 1
+    out = np.empty((min(CHECKPOINT_IDS, n_ids), len(at)), table.dtype)
+    top, mask = 64 - bits, np.uint64((1 << bits) - 1)
     for row in out:
-        shift = (64 - bits - (at & 31)).astype(np.uint64)
-        found = table[(pairs[np.minimum(at >> 5, last)] >> shift).astype(np.int64) & mask]
-        row[:] = found >> 5
+        shift = (top - (at & 31)).view(np.uint64)
+        found = table[((pairs[np.minimum(at >> 5, last)] >> shift) & mask).view(np.int64)]
+        np.right_shift(found, 5, out=row)
         at += found & 31
     return out.T.reshape(-1)[:n_ids]
 
@@ -319,6 +333,7 @@ def write_packed(docs: DataFrame, path: str, vocabulary: str, max_bits: int = MA
         )
 
     def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _encoders.clear()  # the workers are those that encoded
         parts, held, due = [], 0, None
         for batch in batches:
             for row in batch.itertuples(index=False, name=None):
