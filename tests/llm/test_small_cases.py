@@ -25,14 +25,16 @@ from shoplens.llm import (
     neardup,
     pii,
     quality,
+    queries,
     sharding,
     shingles,
     spans,
     tokens,
     warc,
 )
-from shoplens.llm.common import n_words
+from shoplens.llm.common import landed, n_words
 from shoplens.llm.license_rules import rules
+from shoplens.llm.oracle import ORACLE
 from shoplens.session import shared_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -132,8 +134,8 @@ def test_archives_return_every_page(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, type string")
     path = shared_dir(spark, "warc-test")
     warc.write_archives(pages, path)
-    out = warc.assemble(warc.read_archives(spark, path)).collect()
-    assert len(out) == len(rows) - 1  # the repeated row is one capture
+    out = warc.assemble(landed(warc.read_archives(spark, path), "records")).collect()
+    assert len(out) == len(rows) and len({r.record_id for r in out}) == len(rows), "repeated rows as well"
     for row in out:
         full = (row.original or row).response
         mine = [h or "" for i, _, h, _ in rows if i == row.page_id]
@@ -145,17 +147,64 @@ def test_archives_return_every_page(spark):
             assert row.response.type == "revisit" and row.original.page_id == 4
     kinds = {r.page_id: r.response.type for r in out}
     assert kinds[2] == kinds[3] == "response" and kinds[8] == "response" and kinds[9] == "revisit"
+    assert sorted(r.response.type for r in out if r.page_id == 4) == ["response", "revisit"]
+
+
+def test_repeated_pages_are_rows_of_their_own(spark, tmp_path):
+    """The registered query against its SQL on a table that repeats rows, a third of them equal."""
+    import duckdb
+
+    long, short = "<p>" + "same " * 40, "tiny"
+    rows = [(i, f"http://h{i}.org/", f"{long}{i % 4}") for i in range(40)] + [(3, "http://h3.org/", f"{long}3")] * 25
+    rows += [(7, "u", short)] * 3 + [(8, None, None)] * 2 + [(9, "u", f"{long}0"), (None, "u", f"{long}1")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    table.repartition(3).write.parquet(f"{tmp_path}/pages.parquet")
+    out = queries.QUERIES["op2_warc_transactions"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    wanted = db.sql(ORACLE["op2_warc_transactions"])
+    got = sorted((tuple(r) for r in out.select(*wanted.columns).collect()), key=repr)
+    assert got == sorted(wanted.fetchall(), key=repr) and len(got) == len(rows)
+
+
+def record(name, kind, near=(), page=None):
+    return (name, kind, list(near), "u", None, None, {"page-id": page} if page else {}, 1 if kind in warc.HEADS else None, "d", None)
 
 
 def test_metadata_may_name_the_request(spark):
     rows = [
-        ("<r>", "response", [], "u", None, None, {}, 1, "d", None),
-        ("<q>", "request", ["<r>"], "u", None, None, {}, 0, "d", None),
-        ("<m>", "metadata", ["<q>"], "u", None, None, {"page-id": "7"}, None, None, None),
-        ("<lost>", "metadata", ["<none>"], "u", None, None, {"page-id": "8"}, None, None, None),
+        record("<r>", "response"),
+        record("<q>", "request", ["<r>"]),
+        record("<m>", "metadata", ["<q>"], "7"),
+        record("<lost>", "metadata", ["<none>"], "8"),
     ]
-    out = warc.assemble(spark.createDataFrame(rows, warc.RECORD_SCHEMA)).collect()
-    assert [(r.record_id, r.request.record_id, r.page_id) for r in out] == [("<r>", "<q>", 7)]
+    out = {r.record_id: r for r in warc.assemble(spark.createDataFrame(rows, warc.RECORD_SCHEMA)).collect()}
+    assert sorted(out) == ["<lost>", "<r>"]
+    assert (out["<r>"].request.record_id, out["<r>"].page_id) == ("<q>", 7)
+    lost = out["<lost>"]
+    assert lost.response is None and lost.request is None and lost.page_id == 8
+    assert [m.record_id for m in lost.metadata] == ["<lost>"]
+
+
+def test_foreign_archives_keep_all_records(spark):
+    """Several requests, long chains and circles of concurrent-to ids, shared metadata, records of other types."""
+    rows = [record("<a>", "response"), record("<b>", "revisit"), record("<bare>", "response")]
+    rows += [record(f"<q{i}>", "request", ["<a>"]) for i in (3, 1, 2)]
+    rows += [record("<m0>", "metadata", ["<q1>"])] + [record(f"<m{i}>", "metadata", [f"<m{i - 1}>"]) for i in range(1, 12)]
+    rows += [record("<x>", "metadata", ["<y>"]), record("<y>", "conversion", ["<x>", "<b>"])]
+    rows += [record("<both>", "metadata", ["<a>", "<b>"], "5")]
+    rows += [record("<info>", "warcinfo"), record("<u>", "request", ["<v>"]), record("<v>", "request", ["<u>"])]
+    rows += [record("<q1>", "request", ["<a>"]), record("<a>", "response")]
+    table = spark.createDataFrame(rows, warc.RECORD_SCHEMA).repartition(4)
+    out = {r.record_id: r for r in warc.assemble(table).collect()}
+    names = lambda records: [r.record_id for r in records]
+    assert sorted(out) == ["<a>", "<b>", "<bare>", "<info>", "<u>", "<v>"]
+    assert names(out["<a>"].requests) == ["<q1>", "<q2>", "<q3>"] and out["<a>"].request.record_id == "<q1>"
+    assert names(out["<a>"].metadata) == sorted(["<both>", *[f"<m{i}>" for i in range(12)]])
+    assert names(out["<b>"].metadata) == ["<both>", "<x>", "<y>"] and out["<b>"].requests == []
+    assert out["<bare>"].requests == [] and out["<bare>"].metadata == []
+    assert names(out["<info>"].metadata) == ["<info>"] and names(out["<u>"].requests) == ["<u>"]
+    assert out["<a>"].page_id == out["<b>"].page_id == 5
 
 
 def test_empty_pages(spark):
@@ -267,6 +316,47 @@ def test_leaks_are_found_in_any_order(spark, docs, monkeypatch, block_words):
     assert decontaminate.contaminated(none_of(docs), benchmark).count() == 0
 
 
+def test_short_items_occur_as_a_whole(spark):
+    rows = [(1, "Four score and seven"), (2, "to be, or"), (3, "a b"), (4, "five words are a tile"), (5, "of the")]
+    benchmark = spark.createDataFrame(rows, "item_id long, text string")
+    texts = ["x FOUR score, and seven years", "four score and x seven", "to be or not", "to be x or", "a b", "five words are a tile", "of the of the", None]
+    found = decontaminate.contaminated(documents(spark, texts), benchmark).collect()
+    assert sorted((r.doc_id, r.item_id, r.n_tiles, r.covered_words, r.item_words) for r in found) == [
+        (0, 1, 1, 4, 4), (2, 2, 1, 3, 3), (5, 4, 1, 5, 5),
+    ]
+    kept = decontaminate.decontaminated(documents(spark, texts), benchmark)
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [1, 3, 4, 6, 7]
+
+
+def peak_mb(run):
+    import tracemalloc
+
+    tracemalloc.start()
+    out = run()
+    size = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, size
+
+
+def test_repetitive_texts_take_little_memory():
+    block = decontaminate.Block([("1", "spam " * 800), ("2", "eggs and " * 300 + "spam " * 5)], 5)
+    text = "spam " * 20_000 + "eggs and " * 10_000
+    found, size = peak_mb(lambda: list(block.found(text, 0.75)))
+    assert [(name, covered, words) for name, _, covered, words in found] == [("1", 800, 800), ("2", 605, 605)]
+    assert size < 60, size
+
+
+def test_a_block_of_two_million_words_is_small():
+    rng = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(400_000)])
+    items = [(str(i), " ".join(words[rng.integers(0, len(words), 2000)])) for i in range(1000)]
+    block = decontaminate.Block(items, 5)
+    held = sum(a.nbytes for a in (block.words, block.vocabulary, block.starts, block.lengths))
+    held += sum(a.nbytes for index in block.indexes.values() for a in index)
+    assert len(block.words) == 2_000_000 and held < 100e6, held
+    assert [row[0] for row in block.found("x " + items[7][1][:8000], 0.1)] == ["7"]
+
+
 # --- lines -----------------------------------------------------------------------------------
 
 
@@ -370,6 +460,83 @@ def test_short_lines_within_two_edits_are_one_class(spark):
     assert 100 < len(first) < len(distinct) - 100
 
 
+def pairs_of(spark, texts):
+    """How many pairs are compared beyond the first line of each bucket."""
+    docs = documents(spark, texts)
+    counted = []
+    across = linedups._across
+
+    def count(split, texts):
+        rows = across(split, texts)
+        counted.append(rows.count())
+        return rows
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(linedups, "_across", count)
+        classes = linedups.summarized(docs).collect()
+    return counted[0], classes
+
+
+def test_lines_with_one_common_segment_meet_few_others(spark):
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    common = "".join(rng.choice(letters) for _ in range(20))
+    made = []
+    for n in (300, 1200):
+        texts = [common + "".join(rng.choice(letters) for _ in range(40)) for _ in range(n)]
+        texts += [texts[0][:30] + "X" + texts[0][31:], texts[1][:-1] + "é"]
+        pairs, found = pairs_of(spark, texts)
+        made.append(pairs)
+        own = {r.doc_id: r.first_docs for r in found}
+        assert all(own[i] == [i] for i in range(n)) and own[n] == [0] and own[n + 1] == [1]
+    assert made[1] <= 1200 and made[1] <= 8 * made[0] + 50, made
+
+
+def test_families_with_a_common_segment_are_told_apart(spark):
+    """Many groups in one bucket, none of them connected by the bucket's first line alone."""
+    rng = random.Random(22)
+    common = "x" * 10 + "".join(rng.choice("abcdef") for _ in range(10))
+    texts, family = [], []
+    for k in range(40):
+        base = common + "".join(rng.choice("abcdefghij") for _ in range(40))
+        for _ in range(5):
+            texts.append(changed(rng, base, rng.randint(0, 2)).strip())
+            family.append(k)
+    distinct = sorted(set(texts))
+    parent = {x: x for x in distinct}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in itertools.combinations(distinct, 2):
+        if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2:
+            parent[root(a)] = root(b)
+    first = {}
+    for i, x in enumerate(texts):
+        first.setdefault(root(x), i)
+    found = {r.doc_id: r for r in linedups.summarized(documents(spark, texts)).collect()}
+    assert [found[i].first_docs for i in range(len(texts))] == [[first[root(x)]] for x in texts]
+
+
+def test_very_long_lines_are_compared_as_a_whole(spark):
+    rng = random.Random(23)
+    line = sentence(rng, 20_000)[:100_000]
+    repetitive = "ab" * 50_000
+    texts = [line, line[:50_000] + "#" + line[50_001:], line[:99_000], repetitive, repetitive[:-1], repetitive + "ccc"]
+    found = {r.doc_id: r.first_docs for r in linedups.summarized(documents(spark, texts)).collect()}
+    assert [found[i] for i in range(len(texts))] == [[0], [0], [2], [3], [3], [5]]
+
+
+def test_grams_number_repetitions():
+    assert len(set(linedups.grams("ab" * 50).tolist())) == 100 - linedups.GRAM + 1
+    rng = random.Random(24)
+    for _ in range(300):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(20, 60)))
+        b = changed(rng, a, 2)
+        lost = set(linedups.grams(a).tolist()) - set(linedups.grams(b).tolist())
+        assert len(lost) <= linedups.GRAM * linedups.THRESHOLD
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
