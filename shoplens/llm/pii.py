@@ -15,6 +15,38 @@ from shoplens.llm.spans import NO_HITS, hits, located, overruled
 
 _LOCAL = "A-Za-z0-9._%+-"
 
+# Country codes and lengths of account numbers under ISO 13616.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR",
+    27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL", 29: "BR EG PS QA UA", 30: "JO KW MU", 31: "MT",
+}
+# Common generic and country endings of host names.
+ENDINGS = (
+    "com org net edu gov mil int info biz name io ai app dev me tv co eu ac ae ar at au be bg br by ca ch cl cn cz de dk "
+    "ee es fi fr gr hk hr hu id ie il in ir is it jp ke kr kz lt lu lv ma mx my ng nl no nz pe ph pk pl pt ro rs ru sa se "
+    "sg si sk th tr tw ua uk us uy ve vn za"
+).split()
+# Common given names of the texts' languages.
+GIVEN_NAMES = (
+    "adam alan albert alejandro alex alexander alice amanda amy ana andrea andreas andrew angela anna anne anthony antonio "
+    "barbara benjamin bernd birgit brian camille carla carlos carmen carol caroline charles charlotte christian christine "
+    "christopher claire claudia daniel david deborah diego dominique donald edward elena elizabeth emily emma eric eva "
+    "fernando francisco frank franz friedrich gabriel george gerard hans heather heike heinz helen helena henry isabel jack "
+    "jacques james jan jane javier jean jennifer jessica joan john jonathan jorge jose joseph juan julia julie karen karl "
+    "katharina kevin klaus laura lena linda lisa louis lucas lucia luis luisa marc marco margaret maria marie mark markus "
+    "martin martina mary matthew max michael michel miguel monica monika nancy nathalie nicolas nicole olivier pablo patricia "
+    "patrick paul pedro peter petra philippe pierre rachel rafael richard robert rosa ruth sabine samuel sandra sara sarah "
+    "scott sebastian sofia sophie stefan stephen steven susan susanne sylvie teresa thomas timothy ursula uwe victor "
+    "walter werner william wolfgang yves"
+).split()
+
+
+def _sized_ibans() -> str:
+    """Account numbers of the length that their country has, with or without spaces."""
+    forms = [f"(?:{'|'.join(c.split())})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()]
+    return f"^(?:{'|'.join(forms)})$"
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -38,7 +70,7 @@ KINDS = (
         r"(?=\.?(?:[^A-Za-z0-9.-]|\z)|\.\.)",
         "@",
         r"^[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}$",
-        r"(?i)\.(?:com|org|net|edu|gov|io|info|de|fr|es|uk|eu|ch|at|it|nl)$",
+        rf"(?i)\.(?:{'|'.join(ENDINGS)})$",
         r"(?i)(?:e-?mail|mail|contact|write|reach|kontakt|contacto|courriel|correo)",
         True,
     ),
@@ -47,7 +79,7 @@ KINDS = (
         r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
         r"[0-9]\.[0-9]",
         r"^(?:[0-9]{1,3}\.){3}[0-9]{1,3}$",
-        r"^(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.",
+        r"^(?!(?:10|127|169\.254|192\.168)\.)(?:[1-9]|[1-9][0-9]|1[0-9]{2}|2[01][0-9]|22[0-3])\.",
         r"(?i)(?:\bip\b|address|host|server|from|adresse|direcci)",
         True,
     ),
@@ -56,7 +88,7 @@ KINDS = (
         r"[0-9](?=[ -]?[0-9])[0-9 -]*?(?=[ -]?(?:[^0-9 -]|\z)|[ -][ -])",
         r"[0-9][ -]?[0-9]",
         r"^(?:[0-9]{4}[ -]?){3}[0-9]{4}$|^3[47][0-9]{13}$",
-        r"^(?:4|5[1-5]|3[47]|6011|65)",
+        r"^(?:4|5[0-8]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|30[0-5]|3[689]|35(?:2[89]|[3-8])|6011|62|64[4-9]|65|67)",
         r"(?i)(?:card|visa|master|amex|credit|karte|carte|tarjeta)",
         True,
     ),
@@ -65,7 +97,8 @@ KINDS = (
         r"\+[0-9][ ().0-9-]+[0-9]",
         r"\+[0-9]",
         r"^\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}$",
-        r"^\+(?:1|7|20|27|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
+        r"^\+(?:1|7|2[07]|2(?:1[1-368]|[2346][0-9]|5[0-8]|9[0-9])|3[0-469]|3(?:5[0-9]|7[0-8]|8[0-9])|4[013-9]|42[0-3]|5[1-8]|"
+        r"5[09][0-9]|6[0-6]|6(?:7[02-9]|8[0-9]|9[0-2])|8[1246]|8(?:5[02356]|8[06])|9[0-58]|9(?:6[0-8]|7[0-7]|9[2-8]))",
         r"(?i)(?:phone|tel|call|mobile|fax|cell|whatsapp|anruf|appel|llam)",
         True,
     ),
@@ -74,7 +107,7 @@ KINDS = (
         r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[-. ])[0-9]{3}[-. ][0-9]{4}(?![0-9])",
         r"[0-9]{3}[-. ][0-9]{4}",
         r"^\([2-9][0-9]{2}\) ?[2-9][0-9]{2}-[0-9]{4}$|^[2-9][0-9]{2}([-.])[2-9][0-9]{2}\1[0-9]{4}$",
-        r"^\(?(?:2(?:0[1-9]|1[02-9])|3(?:0[1-9]|1[0-9])|4(?:0[1-9]|1[0-9])|6(?:0[1-9]|1[0-9])|7(?:0[1-9]|1[0-9])|8(?:00|88|77))",
+        r"^\(?(?!37|96|[2-9]11|[2-9]9)[2-9][0-9]{2}[-. )]+(?!11)[2-9]",
         r"(?i)(?:phone|tel|call|mobile|fax|cell|number|nummer)",
     ),
     Kind(
@@ -82,15 +115,15 @@ KINDS = (
         r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
         r"[0-9]-[0-9]{2}-[0-9]",
         r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
-        r"^(?!000|666|9)",
-        r"(?i)(?:ssn|social|security|insurance)",
+        r"^(?!000|666|9|078-05-1120|219-09-9999)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
+        r"(?i)(?:ssn|social|security|insurance|taxpayer)",
     ),
     Kind(
         "iban",
-        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+        r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
         r"[A-Z]{2}[0-9]{2}",
-        r"^[A-Z]{2}[0-9]{2}(?: ?[0-9]{4}){3,7}(?: ?[0-9]{1,3})?$",
-        r"^(?:AT|BE|CH|CZ|DE|DK|ES|FI|FR|GB|IE|IT|LU|NL|NO|PL|PT|SE)",
+        _sized_ibans(),
+        rf"^(?:{'|'.join(' '.join(IBAN_LENGTHS.values()).split())})",
         r"(?i)(?:iban|konto|account|bank|compte|cuenta)",
     ),
     Kind(
@@ -99,7 +132,7 @@ KINDS = (
         r"(?i:password|passwd|pwd|token|secret|api[_-]?key) ?[=:] ?[\"']?[A-Za-z0-9!$%&*+/_.-]{8,128})",
         r"AKIA|gh[pousr]_|(?i:password|passwd|pwd|token|secret|api[_-]?key) ?[=:]",
         r"^AKIA[0-9A-Z]{16}$|^gh[pousr]_|[=:] ?[\"']?(?=[^0-9]*[0-9])(?=[^a-zA-Z]*[a-zA-Z])[A-Za-z0-9!$%&*+/_.-]{12,}$",
-        r"^(?:AKIA|gh[pousr]_|password|passwd|token|api)",
+        r"^(?:AKIA|gh[pousr]_)|[=:] ?[\"']?(?:[sr]k_(?:live|test)_|xox[abprs]-|AIza|glpat-|eyJ|[0-9a-f]{32,}$)",
         r"(?i)(?:key|secret|credential|login|access|aws|auth)",
     ),
     Kind(
@@ -107,7 +140,7 @@ KINDS = (
         r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Señora?)\.? [A-Z][a-zà-ÿ]{1,20}(?: [A-Z][a-zà-ÿ]{1,20})?",
         r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Señora?)\.? [A-Z]",
         r"^(?:Mr|Mrs|Ms|Dr|Prof)\. [A-Z][a-z]+ [A-Z][a-z]+$",
-        r"(?i) (?:anna|james|john|maria|mary|peter|paul|thomas|robert|michael|david|laura|julia|jean|marie|hans|carlos)\b",
+        rf"(?i) (?:{'|'.join(GIVEN_NAMES)})\b",
         r"(?i)(?:dear|signed|name|regards|from|hello|sehr geehrte|cher|estimad)",
     ),
     Kind(
@@ -115,7 +148,7 @@ KINDS = (
         r"(?<![0-9A-Za-z.])[0-9]{8,20}(?![0-9A-Za-z])",
         r"[0-9]{8}",
         r"^[0-9]{10,12}$",
-        r"^(?:DE|ES|FR|GB)",
+        r"^(?![12][09][0-9]{2}(?:0[1-9]|1[0-2])(?:[0-2][0-9]|3[01])$)[1-9]",
         r"(?i)(?:account|acct|customer|passport|licen[cs]e|konto|compte|cuenta)",
     ),
 )
@@ -125,7 +158,8 @@ ORDER = {kind.name: place for place, kind in enumerate(KINDS)}
 COUNTER_CUES = r"(?i)(?:version|v\.|isbn|page|fig\.|figure|chapter|section|no\.|§|[$€£]|ticket|commit|sha)\s*$"
 LABELERS = ("format", "gazetteer", "cue", "counter", "border", "valid")
 FLAGS = ("letters", "upper", "digits8", "digits12", "marks", "spaced", "long", "ends")
-ROUNDS = 50
+#: Expectation-maximisation ends when no belief moves by more, or after so many rounds.
+TOLERANCE, ROUNDS = 1e-6, 5_000
 SMOOTHING = 1.0
 THRESHOLD = 0.5
 
@@ -155,14 +189,28 @@ def _small_parts(hit: Column) -> Column:
     return F.forall(short, lambda part: (F.length(part) <= 3) & (F.left(part, F.lit(3)).cast("int") <= 255))
 
 
+def _mod_97(hit: Column) -> Column:
+    """Whether the check digits of an account number under ISO 13616 are right."""
+    bare = F.replace(hit, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substring(bare, 5, 40), F.left(bare, F.lit(4)))
+    signs = F.filter(F.split(turned, ""), lambda c: c != "")
+
+    def add(rest: Column, sign: Column) -> Column:
+        code = F.ascii(sign)
+        return F.when(code < 58, rest * 10 + code - 48).otherwise(rest * 100 + code - 55) % 97
+
+    return F.aggregate(signs, F.lit(0), add) == 1
+
+
 def _valid() -> Column:
-    """What the base kinds demand of a match; for the other kinds, that the digits are not all one."""
+    """What the base kinds demand of a match, check digits of account numbers; else that the digits are not all one."""
     hit = F.col("hit")
     return (
         F.when(F.col("kind") == "ip", _small_parts(hit))
         .when(F.col("kind") == "card", _luhn(hit))
         .when(F.col("kind") == "phone", F.length(_digits(hit)).between(9, 15))
         .when(F.col("kind") == "email", F.lit(True))
+        .when(F.col("kind") == "iban", _mod_97(hit))
         .otherwise(~_digits(hit).rlike(r"^([0-9])\1{5,}$"))
     )
 
@@ -253,7 +301,10 @@ def posteriors(cells: list[Cell]) -> list[float]:
     candidate has: a free border and digits that are not all one.
     """
     belief = [1 / (1 + exp(2 - sum(cell.votes))) for cell in cells]
+    moved = 1.0
     for _ in range(ROUNDS):
+        if moved <= TOLERANCE:
+            break
         chance = []
         for j in range(len(LABELERS)):
             table = {(truth, vote): SMOOTHING for truth in (0, 1) for vote in (-1, 0, 1)}
@@ -270,7 +321,8 @@ def posteriors(cells: list[Cell]) -> list[float]:
         odds = [
             prior[c.kind] + sum(chance[j][1, vote] - chance[j][0, vote] for j, vote in enumerate(c.votes)) for c in cells
         ]
-        belief = [1 / (1 + exp(-min(30.0, max(-30.0, x)))) for x in odds]
+        before, belief = belief, [1 / (1 + exp(-min(30.0, max(-30.0, x)))) for x in odds]
+        moved = max((abs(x - y) for x, y in zip(before, belief, strict=True)), default=0.0)
     return belief
 
 
