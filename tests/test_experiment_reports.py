@@ -12,8 +12,8 @@ from shoplens.operators import experiments as ops
 from shoplens.operators import feeds, lookups, sales
 from shoplens.plans import summary, variation
 
-BASE = dt.datetime(2020, 5, 28, 13, 37, 40, tzinfo=dt.timezone.utc)
-DAYS = RecentDays(dt.datetime(2020, 5, 30, 7, 30), timezone="Asia/Kolkata")
+BASE = dt.datetime(2021, 3, 9, 14, 12, 5, tzinfo=dt.timezone.utc)
+DAYS = RecentDays(dt.datetime(2021, 3, 11, 8, 10), timezone="Asia/Kolkata")
 KEY = {"client_id": shop.CLIENT, "experiment_id": "exp"}
 
 
@@ -43,7 +43,7 @@ def lab(spark, table):
     still_open = shop.checkout_page()
     return {
         "clients": table("clients", [{"client_id": shop.CLIENT, "client_timezone": "UTC"}]),
-        "experiments": table("experiments", [{**KEY, "creation_time": "2020-05-27T09:51:00Z", "last_updation_time": "2020-05-27T09:51:00Z"}]),
+        "experiments": table("experiments", [{**KEY, "creation_time": "2021-03-08T10:00:00Z", "last_updation_time": "2021-03-08T10:00:00Z"}]),
         "variations": table("variations", [{**KEY, "variation_id": v, "variation_name": f"name_{v}", "traffic_percentage": 50} for v in "ab"]),
         "events": table("events", EVENTS),
         "cookies": table("cookies", COOKIES),
@@ -93,7 +93,7 @@ def test_conversion_over_time(lab, table):
     got = series(lab["events"])
     fifth = lambda v, zero=0: [zero] * 4 + [v] + [zero] * 2
     a, b = got["a"], got["b"]
-    assert a.date == [f"May {d}" for d in range(24, 31)]
+    assert a.date == [f"Mar {d:02d}" for d in range(5, 12)]
     assert (a.session_count, b.session_count) == (fifth(4), fifth(2))
     assert (a.visitor_count, b.visitor_count) == (fifth(3), fifth(2))
     assert (a.goal_conversion_count, b.goal_conversion_count) == (fifth(2), fifth(1))
