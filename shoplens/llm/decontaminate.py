@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -11,40 +12,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.llm.common import landed, n_words, numbered, packed, text_or_empty
-from shoplens.llm.shingles import Recent, mixed
 
 TILE_WORDS = 5
 #: Items of fewer words than a tile are looked for as a whole, from so many words on.
 LEAST_WORDS = 3
 MIN_COVERAGE = 0.75
-#: Benchmark words that one pass over the documents carries to the tasks, about 40 bytes each.
-BLOCK_WORDS = 2_000_000
+#: Benchmark words that one pass over the documents carries to the tasks, under 100 bytes each.
+BLOCK_WORDS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BORDERS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in range(256))
-_word = Recent(xxhash.xxh3_64_intdigest, 100_000)
 
 PAIRS = "doc_id string, text_hash long, item_id string, n_tiles long, covered_words long, item_words long"
 
 
-def words_of(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words without case and punctuation: runs of ASCII letters and digits and of all other characters."""
-    found = (text or "").encode(errors="surrogatepass").lower().translate(_BORDERS).split()
-    return np.fromiter(map(_word.__getitem__, found), np.uint64, len(found))
+def words_of(text: str | None) -> list[bytes]:
+    """Words without case and punctuation: runs of ASCII letters and digits and of all other characters."""
+    return (text or "").encode(errors="surrogatepass").lower().translate(_BORDERS).split()
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+_UP, _DOWN = _powers(_BASE, 1 << 16), _powers(_INVERSE, 1 << 16)
 
 
 class Rolling:
     """Karp-Rabin hashes of windows of any length, from prefix sums of the words' hashes times powers."""
 
     def __init__(self, words: np.ndarray):
-        powers = np.full(len(words) + 1, _BASE, np.uint64)
-        back = np.full(len(words) + 1, _INVERSE, np.uint64)
-        powers[0] = back[0] = 1
-        powers, self.back = np.cumprod(powers, dtype=np.uint64), np.cumprod(back, dtype=np.uint64)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(words) * powers[:-1], dtype=np.uint64)])
+        few = len(words) < len(_UP)
+        powers = _UP if few else _powers(_BASE, len(words))
+        self.back = _DOWN if few else _powers(_INVERSE, len(words) + 1)
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * powers[: len(words)], out=self.sums[1:])
 
     def windows(self, starts: np.ndarray, size: int) -> np.ndarray:
-        return mixed((self.sums[starts + size] - self.sums[starts]) * self.back[starts])
+        return (self.sums[starts + size] - self.sums[starts]) * self.back[starts]
 
 
 def _open_windows(marked: np.ndarray, size: int) -> np.ndarray:
@@ -102,10 +109,16 @@ class Block:
 
     def __init__(self, items: list[tuple[str, str]], size: int):
         self.size, self.names = size, []
+        #: Hashes of the items' words; 0, which no word has, stands for all others.
+        self.vocabulary: dict[bytes, int] = {}
         known: dict[bytes, int] = {}
         arrays = []
         for item_id, text in items:
-            words = words_of(text)
+            found = words_of(text)
+            for word in found:
+                if word not in self.vocabulary:
+                    self.vocabulary[word] = xxhash.xxh3_64_intdigest(word) or 1
+            words = self._hashed(found)
             if len(words) >= min(size, LEAST_WORDS):
                 at = known.setdefault(words.tobytes(), len(arrays))
                 if at == len(arrays):
@@ -115,7 +128,6 @@ class Block:
         self.lengths = np.array([len(words) for words in arrays], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
         self.words = np.concatenate([*arrays, np.zeros(0, np.uint64)])
-        self.vocabulary = np.unique(self.words)
         #: By window size: distinct hashes, where each one's owners start, the owners, and how often they have it.
         self.indexes = {}
         for length in range(min(size, LEAST_WORDS), size + 1):
@@ -129,18 +141,22 @@ class Block:
                 seeds, first = np.unique(pairs["h"], return_index=True)
                 self.indexes[length] = seeds, np.append(first, len(pairs)), pairs["n"].copy(), times.astype(np.int32)
 
+    def _hashed(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.uint64, len(words))
+
     def item(self, n: int) -> np.ndarray:
         return self.words[self.starts[n] : self.starts[n + 1]]
 
     def found(self, text: str, least: float) -> Iterator[tuple[str, int, int, int]]:
         """(item, tiles, covered words, item words) of each item covered enough by the text."""
-        doc = words_of(text)
-        if not len(doc) or not len(self.vocabulary):
-            return
-        strange = self.vocabulary[np.minimum(np.searchsorted(self.vocabulary, doc), len(self.vocabulary) - 1)] != doc
-        hashes = Rolling(doc)
+        doc = self._hashed(words_of(text))
+        strange = doc == 0
+        hashes = None
         for length, (seeds, first, owners, times) in self.indexes.items():
             at = _open_windows(strange, length)
+            if not len(at):
+                continue
+            hashes = hashes or Rolling(doc)
             mine = hashes.windows(at, length)
             seed = np.minimum(np.searchsorted(seeds, mine), len(seeds) - 1)
             hit = seeds[seed] == mine
@@ -164,7 +180,7 @@ class Block:
         near = _covered(at[np.isin(mine, windows)], length, len(doc))
         places = np.flatnonzero(near)
         gaps = np.flatnonzero(np.diff(places) > 1) + 1
-        piece = np.insert(doc[places], gaps, ~item[:1].repeat(len(gaps))) if len(gaps) else doc[places]
+        piece = np.insert(doc[places], gaps, 0)
         found = tiles(piece, item, length)
         covered = sum(size for *_, size in found)
         if covered >= least * len(item):
@@ -210,8 +226,6 @@ def contaminated(
                     for pair in block.value.found(text, coverage)
                 ]
                 yield pd.DataFrame(found, columns=[part.split()[0] for part in PAIRS.split(", ")])
-            _word.clear()
-            _word.older = {}
 
         return run
 
