@@ -11,7 +11,8 @@ from shoplens.operators.sales import order_totals, session_orders
 
 # Fixed visitor attributes the report breaks sales down by.
 DIMENSIONS = ["device", "browser", "os"]
-REGION_SLOTS = 32
+#: Parts in which tenants meet the region reference: at least so many, and more for a large reference.
+REGION_SLOTS, REGIONS_PER_SLOT = 32, 256
 MEASURES = ["session_count", "visitor_count", "sales_conversion_count", "order_count"]
 
 
@@ -121,13 +122,15 @@ def sales_by_region(joined: DataFrame, regions: DataFrame) -> DataFrame:
     """Measures of every reference region for each tenant with visitors, zero where none.
 
     The regions are dealt into slots that every tenant meets, so the grid is an ordinary join of
-    as many parts as there are slots, whatever the size of either side.
+    as many parts as there are slots, whatever the size of either side; their number grows with the regions.
     """
     key = ["client_id", "region"]
     found = _measures(_per_session(joined.filter(F.col("region").isNotNull()), key), key)
-    slots = F.explode(F.sequence(F.lit(0), F.lit(REGION_SLOTS - 1))).alias("_slot")
-    tenants = joined.select("client_id").distinct().select("client_id", slots)
-    slot = F.pmod(F.xxhash64("region_name", "id"), F.lit(REGION_SLOTS)).cast("int").alias("_slot")
+    many = F.greatest(F.lit(REGION_SLOTS), F.ceil(F.count(F.lit(1)) / REGIONS_PER_SLOT)).cast("int")
+    n_slots = regions.agg(many.alias("n")).scalar()
+    tenants = joined.select("client_id").distinct().withColumn("_slots", F.sequence(F.lit(0), n_slots - 1))
+    tenants = tenants.select("client_id", F.explode("_slots").alias("_slot"))
+    slot = F.pmod(F.xxhash64("region_name", "id"), n_slots).cast("int").alias("_slot")
     reference = regions.select("region_name", "id", "type", "geometry", slot)
     grid = tenants.join(reference, "_slot").drop("_slot")
     zero = {c: 0 for c in MEASURES}
