@@ -529,15 +529,35 @@ def test_very_long_lines_are_compared_as_a_whole(spark):
 
 
 def test_grams_number_repetitions():
-    assert len(set(linedups.grams("ab" * 50).tolist())) == 100 - linedups.GRAM + 1
+    assert len(set(linedups.grams("ab" * 50)[0].tolist())) == 100 - linedups.GRAM + 1
     rng = random.Random(24)
     for _ in range(300):
         a = "".join(rng.choice("ab") for _ in range(rng.randint(20, 60)))
         b = changed(rng, a, 2)
-        lost = set(linedups.grams(a).tolist()) - set(linedups.grams(b).tolist())
+        lost = set(linedups.grams(a)[0].tolist()) - set(linedups.grams(b)[0].tolist())
         assert len(lost) <= linedups.GRAM * linedups.THRESHOLD
 
 
+def test_grams_of_one_line_alone_need_few_places():
+    """Whatever two edits change goes in two places, near those that the other line needs."""
+    rng = random.Random(25)
+    reach = 2 * linedups.GRAM + linedups.THRESHOLD
+    for _ in range(500):
+        a = "".join(rng.choice("abcd") for _ in range(rng.randint(20, 200)))
+        b = changed(rng, a, rng.randint(1, 2))
+        if edits(a, b) > linedups.THRESHOLD:
+            continue
+        places = []
+        for x, y in ((a, b), (b, a)):
+            (keys, before), others = linedups.grams(x), set(linedups.grams(y)[0].tolist())
+            alone = [i for i, (k, n) in enumerate(zip(keys.tolist(), before.tolist(), strict=True)) if n == 0 and k not in others]
+            places.append(linedups.edited_places(np.array(alone, np.int64)))
+        assert max(map(len, places)) <= linedups.THRESHOLD, (a, b)
+        for mine, theirs in (places, places[::-1]):
+            if len(mine) == 2:
+                assert all(min(abs(p - q) for q in mine) <= reach for p in theirs), (a, b, places)
+
+
 # --- quality ---------------------------------------------------------------------------------
 
 
