@@ -47,6 +47,11 @@ def experiment_start(experiments: DataFrame) -> DataFrame:
     return experiments.select("client_id", "experiment_id", F.col("creation_time").alias("start_time"))
 
 
+def first_start(starts: DataFrame) -> DataFrame:
+    """When the first of all experiments began, one value: the least of one partial minimum per task; no row for none."""
+    return starts.groupBy(F.lit(0).alias("_all")).agg(F.min("start_time").alias("first")).select("first")
+
+
 def latest_experiment(experiments: DataFrame) -> DataFrame:
     """Per tenant the experiment updated last; the smallest id wins a tie."""
     newest_first = F.struct(

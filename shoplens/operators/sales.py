@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from shoplens.functions.text import page_type
 from shoplens.functions.timeutil import after
+from shoplens.operators.lookups import first_start
 
 
 def paid(orders: DataFrame) -> DataFrame:
@@ -82,7 +83,7 @@ def attributed_sales(
     experiment began count for none and are not read.
     """
     lines = (
-        paid(after(orders, "updated_at", starts.agg(F.min("start_time").alias("first"))))
+        paid(after(orders, "updated_at", first_start(starts)))
         .filter(F.col("cart_token").isNotNull())
         .groupBy("client_id", "cart_token", "order_id", "variant_id", "variant_quantity", "variant_price")
         .agg(F.max("updated_at").alias("last_update"))

@@ -127,7 +127,9 @@ def sales_by_region(joined: DataFrame, regions: DataFrame) -> DataFrame:
     key = ["client_id", "region"]
     found = _measures(_per_session(joined.filter(F.col("region").isNotNull()), key), key)
     many = F.greatest(F.lit(REGION_SLOTS), F.ceil(F.count(F.lit(1)) / REGIONS_PER_SLOT)).cast("int")
-    n_slots = regions.agg(many.alias("n")).scalar()
+    # One partial count per task; no row for no region.
+    counted = regions.groupBy(F.lit(0).alias("_all")).agg(many.alias("n")).select("n")
+    n_slots = F.coalesce(counted.scalar(), F.lit(REGION_SLOTS))
     tenants = joined.select("client_id").distinct().withColumn("_slots", F.sequence(F.lit(0), n_slots - 1))
     tenants = tenants.select("client_id", F.explode("_slots").alias("_slot"))
     slot = F.pmod(F.xxhash64("region_name", "id"), n_slots).cast("int").alias("_slot")

@@ -57,7 +57,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 BATCH = sorted(n for n in QUERIES if not n.startswith("stream_") and n not in ("list_files", "json_roundtrip"))
-PYTHON_ALLOWED = {"ab_evaluation", "experiment_summary"}
+PYTHON_ALLOWED = {"summary_text", "ab_evaluation", "experiment_summary"}
 
 
 @pytest.mark.parametrize("name", BATCH)
