@@ -85,11 +85,11 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     if not folders.exists(spark, path):
         return spark.createDataFrame([], ddl(table) + extra)
     rows = spark.read.schema(ddl(table) + extra).parquet(path)
-    hidden, runs = _packed(spark, root, table) if table in EVENT_TIME else ([], [])
-    if hidden:
-        rows = rows.filter(~F.concat_ws("/", F.col("day").cast("string"), "load").isin(hidden))
-    if table in EVENT_TIME:
+    if table in EVENT_TIME and folders.matching(spark, f"{path}/day=*/load={PACKED}*"):
+        hidden, runs = _packed(spark, root, table)
         rows = rows.filter(~F.col("load").startswith(PACKED) | F.col("load").isin(runs))
+        if hidden:
+            rows = rows.filter(~F.concat_ws("/", F.col("day").cast("string"), "load").isin(hidden))
     return rows
 
 
