@@ -203,6 +203,11 @@ def append(rows: DataFrame, root: str, table: str) -> None:
     folders.mark(spark, _marker(root, table, now.generation + 1, "add", now.sequence))
 
 
+def dealt(documents: DataFrame, table: str) -> DataFrame:
+    """The columns of a load in few tasks; by key, as without one each task sorts its whole rows to deal them out."""
+    return documents.select(*KEYS[table], "rows").hint("rebalance", *KEYS[table])
+
+
 def append_load(documents: DataFrame, root: str, table: str, load: str | None) -> bool:
     """Writes documents (key, ``rows``) as the next load; nothing, and False, if there are none.
 
@@ -211,7 +216,7 @@ def append_load(documents: DataFrame, root: str, table: str, load: str | None) -
     spark = documents.sparkSession
     name, now = load or uuid.uuid4().hex, state(spark, root, table)
     path = f"{root}/{table}_loads/load={now.sequence + 1:0{_GEN}d}-{name}"
-    few = documents.select(*KEYS[table], "rows").hint("rebalance")
+    few = dealt(documents, table)
     few.write.mode("errorifexists").parquet(path)
     stored = not spark.read.schema(few.schema).parquet(path).isEmpty()
     if not stored:
@@ -305,15 +310,20 @@ def sync_orders(
         oldest = documents.agg(month_of(F.min("version"))).first()[0]
         stored = view(spark, root, "orders")
         since = F.col("part") >= F.lit(oldest) if oldest else F.lit(False)
-        near = stored.filter(F.col("open") | since).select(*key, "updated_at", "open")
-        found = near.join(documents.select(*key, "version"), key)
-        later = found.filter(F.col("updated_at") > F.col("version")).select(*key).distinct()
-        changes = documents.select(*key, "rows").join(later, key, "left_anti")
-        if snapshots is not None:
-            closed = near.filter("open").join(snapshots.select("client_id").distinct(), "client_id", "left_semi")
-            closed = closed.join(documents.select(*key), key, "left_anti").select(*key).distinct()
-            none = F.array().cast(dict(documents.dtypes)["rows"]).alias("rows")
-            changes = changes.unionByName(closed.select(*key, none))
+        near = stored.filter(F.col("open") | since)
+        # One row per stored order: its lines shrink before they are shuffled, and one join serves both questions.
+        near = near.groupBy(*key).agg(F.max("updated_at").alias("_last"), F.bool_or("open").alias("_open"))
+        given = documents.withColumn("_given", F.lit(True))
+        later = F.coalesce(F.col("_last") > F.col("version"), F.lit(False))
+        if snapshots is None:
+            changes = given.join(near, key, "left").filter(~later).select(*key, "rows")
+        else:
+            tenants = snapshots.select("client_id").distinct().withColumn("_synced", F.lit(True))
+            both = given.join(near, key, "full").join(tenants, "client_id", "left")
+            gone = F.col("_given").isNull() & F.col("_open") & F.col("_synced")
+            none = F.array().cast(dict(documents.dtypes)["rows"])
+            changes = both.filter((F.col("_given") & ~later) | gone)
+            changes = changes.select(*key, F.coalesce("rows", none).alias("rows"))
         append_load(changes, root, "orders", load)
     finally:
         documents.unpersist()

@@ -270,3 +270,17 @@ def test_tables_of_users_are_not_taken_for_stored_ones(spark, table):
     mine = feeds.order_rows(shop.pages(spark, "orders", many_orders(5, 6))).withColumn("open", F.lit(False)).withColumn("part", F.lit("x"))
     window = ReportWindow("2020-05-01T00-00-00", "2020-08-01T00-00-00", "UTC")
     assert window.restrict(mine, "updated_at", table("clients", [])).count() == 10
+
+
+def test_a_load_is_dealt_out_by_key(spark):
+    plan = versions.dealt(documents(spark, many_orders(5, 3)), "orders")._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan and "hashpartitioning(client_id" in plan
+
+
+@pytest.mark.parametrize("whole", [False, True])
+def test_stored_versions_are_looked_up_by_one_join(spark, tmp_path, monkeypatch, whole):
+    root, plans = str(tmp_path), []
+    tables.append_table(feeds.order_rows(shop.pages(spark, "orders", many_orders(5, 3))), root, "orders")
+    monkeypatch.setattr(versions, "append_load", lambda changes, *_: plans.append(changes._jdf.queryExecution().optimizedPlan().toString()))
+    versions.sync_orders(spark, root, documents(spark, many_orders(1, 4)), tenants(spark, shop.CLIENT) if whole else None)
+    assert plans[0].count("Join ") == 1 + whole, "a second one for the tenants"
