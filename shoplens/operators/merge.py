@@ -29,15 +29,19 @@ def upsert_orders(
     key = ["client_id", "order_id"]
     named = batch.withColumn("version", F.col("updated_at")) if named is None else named
     versions = named.groupBy(*key).agg(F.max("version").alias("_version"))
-    named = versions.select(*key)
-    newer = target.join(versions, key).filter(F.col("updated_at") > F.col("_version")).select(*key).distinct()
-    kept = delete_keys(target, delete_keys(named, newer, key), key)
+    # One row per stored order and per named one, so that each of the wide tables meets one join.
+    last = target.groupBy(*key).agg(F.max("updated_at").alias("_last"))
+    newer = F.coalesce(F.col("_last") > F.col("_version"), F.lit(False))
+    named = versions.join(last, key, "left").select(*key, newer.alias("_newer"))
+    marked = target.join(named, key, "left")
+    # Null where the feed does not name the order.
+    stays = F.coalesce("_newer", F.lit(True))
     if whole_snapshots:
-        unpaid = kept.filter("not payment_status")
-        others = kept.filter("payment_status or payment_status is null")
-        unnamed = unpaid.join(newer, key, "left_anti").join(named.select("client_id").distinct(), "client_id", "left_anti")
-        kept = others.unionByName(unpaid.join(newer, key, "left_semi")).unionByName(unnamed)
-    return kept.unionByName(delete_keys(batch, newer, key))
+        tenants = versions.select("client_id").distinct().withColumn("_synced", F.lit(True))
+        marked = marked.join(tenants, "client_id", "left")
+        stays &= F.coalesce("payment_status", F.lit(True)) | F.coalesce("_newer", F.col("_synced").isNull())
+    kept = marked.filter(stays).select(*key, *[c for c in target.columns if c not in key])
+    return kept.unionByName(delete_keys(batch, named.filter("_newer"), key))
 
 
 def upsert_products(target: DataFrame, batch: DataFrame) -> DataFrame:

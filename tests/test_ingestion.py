@@ -307,3 +307,21 @@ def test_new_dimension_rows(spark):
     client = spark.createDataFrame([("a", "Ann", "Co", False, "u", "UTC", 1590673060, "secret")], "client_id string, full_name string, company_name string, disabled boolean, shopify_app_eg_url string, client_timezone string, creation_timestamp bigint, hashed_password string")
     row = dims.new_clients(client).first()
     assert row.full_name == "Ann" and "hashed_password" not in row.asDict()
+
+
+def test_an_upsert_meets_each_table_once(spark):
+    stored = batch_of(spark, shop.order_page(), shop.checkout_page())
+    got = merge.upsert_orders(stored, batch_of(spark, shop.order_page()[:1], []))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 7, "18 joins before: each named and stored order now meets one"
+
+
+def test_upsert_of_null_keys_and_states(spark, table):
+    def row(client, order, when, paid):
+        return {"client_id": client, "order_id": order, "variant_id": 1, "updated_at": f"2020-03-0{when}T00:00:00Z", "payment_status": paid}
+
+    stored = table("orders", [row("a", 1, 1, None), row("a", 2, 5, False), row("a", 2, 1, False), row("a", 3, 1, False), row("a", None, 1, True), row(None, 4, 1, False)])
+    batch = table("orders", [row("a", 2, 3, True), row("a", 9, 3, True), row("a", None, 3, True), row(None, 4, 3, True)])
+    got = rows_of(merge.upsert_orders(stored, batch), "client_id", "order_id", "payment_status")
+    kept = [("a", 1, None), ("a", 2, False), ("a", 2, False), ("a", None, True), (None, 4, False)]
+    assert got == sorted([*kept, ("a", 9, True), ("a", None, True), (None, 4, True)], key=lambda t: tuple((v is not None, str(v)) for v in t))
