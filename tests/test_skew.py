@@ -112,3 +112,9 @@ def test_hot_groups_shrink_before_the_shuffle(spark, hot):
     plan = first_touch(hot["visits"])._jdf.queryExecution().executedPlan().toString()
     below = plan.split("Exchange")[1]
     assert "partial_min" in below and "HashAggregate" in below and "SortAggregate" not in plan
+
+
+def test_a_task_reads_a_bounded_share(spark):
+    # Sorts and hash tables take some 25 times the shuffled bytes; 64 MB, the default, came to 1.6 GB a task.
+    assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "24m"
+    assert spark.conf.get("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes") == "96m"
