@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shoplens.functions.timeutil import elapsed_hours
@@ -52,16 +52,6 @@ def experiment_span(experiments: DataFrame, events: DataFrame) -> DataFrame:
     )
 
 
-def numbered_variations(variations: DataFrame) -> DataFrame:
-    """Variations of each experiment with their position and how many there are."""
-    experiment = Window.partitionBy("client_id", "experiment_id")
-    return variations.select(
-        *ARM,
-        (F.row_number().over(experiment.orderBy("variation_id")) - 1).alias("_slot"),
-        F.count(F.lit(1)).over(experiment).alias("_arms"),
-    )
-
-
 def assignment_slot(session_id: Column, experiment_id: Column, arms: Column) -> Column:
     """Stable uniform slot of a session: the same on every run, executor and retry."""
     head = F.substring(F.md5(F.concat(session_id, F.lit("|"), experiment_id)), 1, 8)
@@ -80,17 +70,16 @@ def assign(requests: DataFrame, events: DataFrame, variations: DataFrame) -> Dat
         .groupBy("client_id", "experiment_id", "session_id")
         .agg(F.min(first).getField("variation_id").alias("_sticky"))
     )
-    numbered = numbered_variations(variations)
-    arms = numbered.filter(F.col("_slot") == 0).select("client_id", "experiment_id", "_arms")
-    slots = numbered.select("client_id", "experiment_id", "_slot", F.col("variation_id").alias("_fresh"))
+    arm = F.sort_array(F.collect_list(F.struct("variation_id")))
+    arms = variations.groupBy("client_id", "experiment_id").agg(arm.alias("_arms"))
+    slot = assignment_slot(F.col("session_id"), F.col("experiment_id"), F.size("_arms"))
+    fresh = F.get("_arms", slot.cast("int")).getField("variation_id")
     return (
         requests.join(sticky, ["client_id", "experiment_id", "session_id"], "left")
         .join(arms, ["client_id", "experiment_id"], "left")
-        .withColumn("_slot", assignment_slot(F.col("session_id"), F.col("experiment_id"), F.col("_arms")))
-        .join(slots, ["client_id", "experiment_id", "_slot"], "left")
-        .withColumn("variation_id", F.coalesce("_sticky", "_fresh"))
+        .withColumn("variation_id", F.coalesce(F.col("_sticky"), fresh))
         .filter(F.col("variation_id").isNotNull())
-        .drop("_sticky", "_fresh", "_arms", "_slot")
+        .drop("_sticky", "_arms")
     )
 
 

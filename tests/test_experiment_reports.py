@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import random
 
 import duckdb
@@ -286,3 +287,22 @@ def test_assignment_is_sticky_stable_and_uniform(spark, lab, table):
 def test_requests_without_variations_are_dropped(lab, table, spark):
     requests = spark.createDataFrame([("other", "exp", "z")], "client_id string, experiment_id string, session_id string")
     assert ops.assign(requests, lab["events"], lab["variations"]).isEmpty()
+
+
+def test_an_assignment_meets_the_variations_once(spark, table):
+    def arm(variation, experiment="e"):
+        return {"client_id": "a", "experiment_id": experiment, "variation_id": variation}
+
+    variations = table("variations", [arm("y"), arm("x"), arm("x"), arm(None), arm("z", "single")])
+    events = table("events", [dict(arm("old"), session_id="s0", event_name="served", creation_time="2020-03-01T00:00:00Z")])
+    requests = spark.createDataFrame(
+        [("a", e, s) for e, s in (*(("e", f"s{i}") for i in range(40)), ("single", "s1"), ("none", "s1"), ("e", None))],
+        "client_id string, experiment_id string, session_id string",
+    )
+    got = ops.assign(requests, events, variations)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join ") == 2
+    slots = [None, "x", "x", "y"]
+    taken = {f"s{i}": slots[int(hashlib.md5(f"s{i}|e".encode()).hexdigest()[:8], 16) % 4] for i in range(1, 40)}
+    expected = {("e", s, v) for s, v in taken.items() if v} | {("e", "s0", "old"), ("single", "s1", "z")}
+    assert {(r.experiment_id, r.session_id, r.variation_id) for r in got.collect()} == expected
