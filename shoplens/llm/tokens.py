@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
 import zlib
@@ -10,6 +11,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +26,21 @@ BLOCK_IDS = 1 << 18
 CHECKPOINT_IDS = 256
 #: Ids that are packed in one step, a multiple of the former.
 PACK_IDS = 1 << 14
-#: Memory of a worker's remembered chunks of text, in each of two generations.
-CACHE_BYTES = 96 << 20
+#: Memory of a worker's remembered pieces of text, in each of two generations.
+CACHE_BYTES = 48 << 20
+#: Code points of the longest piece that is remembered.
+LONG_PIECE = 64
+#: Text whose pieces are told apart in one step.
+STRETCH_BYTES = 8 << 20
+#: Text whose pieces are found, and different pieces whose ids are looked up, in one step.
+PART_BYTES, TOGETHER = 1 << 19, 1 << 13
 #: What an entry takes besides its characters and ids.
 _ENTRY_BYTES = 200
+_ENCODED = pa.schema(
+    [("doc_id", pa.string()), ("range", pa.int32())]
+    + [(name, pa.int64()) for name in ("before", "n")]
+    + [(name, pa.binary()) for name in ("ids", "counts")]
+)
 
 
 def _byte_signs() -> list[str]:
@@ -36,47 +50,119 @@ def _byte_signs() -> list[str]:
     return [chr(moved.get(byte, byte)) for byte in range(256)]
 
 
-_BYTE_SIGNS = _byte_signs()
-_SPACE, _BREAK = _BYTE_SIGNS[0x20], _BYTE_SIGNS[0x0A]
+_BYTE_SIGNS = "".join(_byte_signs())
 
 
-def _spelled(piece: str) -> str:
-    if piece.isascii():
-        return piece.replace(" ", _SPACE).replace("\n", _BREAK)
-    return "".join(map(_BYTE_SIGNS.__getitem__, piece.encode()))
+def _spelled(pieces: list[str]) -> list[str]:
+    """The pieces, which have no zero byte, by the signs of their bytes."""
+    return codecs.charmap_decode("\0".join(pieces).encode(), "strict", _BYTE_SIGNS)[0].split(_BYTE_SIGNS[0])
 
 
 _LETTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]"
-#: Pieces that the library's splitting rule makes of words, punctuation and a line break before a
-#: word, without digits, apostrophes and other scripts. Only a chunk that consists of them counts.
-_PLAIN = re.compile(rf' ?{_LETTER}+| ?[!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]+|\n(?={_LETTER})').findall
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A piece that the library's splitting rule makes of a word, a number, punctuation or a single line
+#: break, without apostrophes and other scripts.
+_PLAIN = re.compile(rf" ?{_LETTER}+| ?[0-9]+| ?[{re.escape(_PUNCTUATION)}]+|\n").fullmatch
+_OTHER, _GAP, _LINE, _WORD, _NUMBER, _SIGN = range(6)
 
 
-class _Recent(dict):
+def _byte_kinds() -> np.ndarray:
+    """Kind of each byte of UTF-8 text; those of characters past ASCII are settled by two of them."""
+    kinds = np.zeros(256, np.uint8)
+    for kind, signs in ((_GAP, " "), (_LINE, "\n"), (_NUMBER, "0123456789"), (_SIGN, _PUNCTUATION)):
+        kinds[list(signs.encode())] = kind
+    kinds[ord("A") : ord("Z") + 1] = kinds[ord("a") : ord("z") + 1] = _WORD
+    return kinds
+
+
+_KINDS = _byte_kinds()
+#: Bytes that begin a character which surely is no white space: printable ASCII and U+00C0 to U+027F.
+_SOLID = np.zeros(256, bool)
+_SOLID[0x21:0x7F] = _SOLID[0xC3:0xCA] = True
+
+
+def _kinds(data: np.ndarray) -> np.ndarray:
+    kinds = _KINDS[data]
+    high = np.flatnonzero(data[:-1] >= 0xC3)
+    lead, follower = data[high], data[high + 1]
+    letter = (lead < 0xC9) & ~((lead == 0xC3) & ((follower == 0x97) | (follower == 0xB7))) | (lead == 0xC9) & (follower < 0x90)
+    kinds[high[letter]] = kinds[high[letter] + 1] = _WORD
+    return kinds
+
+
+def _cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where pieces begin in texts that begin at ``starts`` (ascending, different, the first 0).
+
+    The library's rule always cuts before a space that a word follows. What is between two such cuts
+    is cut further if it consists of plain pieces alone, and else stays one piece.
+    """
+    kinds = _kinds(data)
+    head = np.zeros(len(data), bool)
+    head[:-1] = (data[:-1] == 0x20) & _SOLID[data[1:]]
+    head[starts[1:] - 1] = False  # the last of a text
+    odd = (kinds == _OTHER) | (kinds == _GAP) & ~head
+    first = head.copy()
+    first[starts] = True
+    odd[:-1] |= (kinds[:-1] == _LINE) & (kinds[1:] == _LINE) & ~first[1:]
+    inner = np.zeros(len(data), bool)
+    inner[1:] = (kinds[1:] != kinds[:-1]) & ~head[:-1] | (kinds[1:] == _LINE)
+    chunks = np.flatnonzero(first)
+    strange = np.unique(np.searchsorted(chunks, np.flatnonzero(odd), "right") - 1)
+    ends = np.append(chunks[1:], len(data))
+    mended = np.zeros(len(data) + 1, np.int8)
+    mended[chunks[strange]] += 1
+    mended[ends[strange]] -= 1
+    inner &= ~np.cumsum(mended[:-1], dtype=np.int8).view(bool)
+    return np.flatnonzero(first | inner)
+
+
+def _all_cuts(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``_cuts`` of the texts with these offsets, found in parts that fit a cache."""
+    begins = np.unique(at[:-1][at[1:] > at[:-1]])
+    parts, first = [], 0
+    while first < len(begins):
+        after = max(first + 1, int(np.searchsorted(begins, begins[first] + PART_BYTES)))
+        low, high = begins[first], begins[after] if after < len(begins) else len(data)
+        parts.append((low + _cuts(data[low:high], begins[first:after] - low)).astype(np.int32))
+        first = after
+    return np.concatenate(parts)
+
+
+class _Recent:
     """A cache within a bound of memory: what is found in the older generation moves to the newer one."""
 
-    def __init__(self, make: Callable[[str], bytes | None], limit: int):
-        super().__init__()
-        self.make, self.limit, self.held, self.older = make, limit, 0, {}
+    def __init__(self, make: Callable[[list[str]], list[bytes]], limit: int):
+        self.make, self.limit, self.held, self.newer, self.older = make, limit, 0, {}, {}
 
-    def __missing__(self, key: str) -> bytes | None:
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        self.held += _ENTRY_BYTES + len(key)
+    def _added(self, keys: list[str], values: list[bytes]) -> None:
+        for key, value in zip(keys, values, strict=True):
+            if len(key) <= LONG_PIECE:
+                self.held += _ENTRY_BYTES + len(key)
+                self.newer[key] = value
         if self.held > self.limit:
-            self.older, self.held = dict(self), 0
-            self.clear()
-        self[key] = value
-        return value
+            self.older, self.newer, self.held = self.newer, {}, 0
+
+    def values(self, keys: list[str]) -> list[bytes]:
+        """The values of different keys."""
+        found = [*map(self.newer.get, keys)]
+        absent = [i for i, value in enumerate(found) if value is None]
+        moved = [keys[i] for i in absent]
+        values = [*map(self.older.get, moved)]
+        new = [key for key, value in zip(moved, values, strict=True) if value is None]
+        made = iter(self.make(new))
+        values = [next(made) if value is None else value for value in values]
+        for i, value in zip(absent, values, strict=True):
+            found[i] = value
+        self._added(moved, values)
+        return found
 
 
 class Encoder:
     """Whole texts to ids with the tokenizers library, without special tokens being added.
 
-    For byte-level BPE vocabularies the text is cut at single spaces before a word, where the
-    library's own splitting rule always cuts as well, and the ids of a chunk are remembered.
-    Texts with other spaces or with special tokens go through the library as a whole.
+    For byte-level BPE vocabularies texts are cut in bulk into pieces, where the library's own splitting
+    rule always cuts as well; each different piece of a stretch of texts is looked up once, and its
+    ids are remembered. Texts with special tokens go through the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -92,46 +178,86 @@ class Encoder:
             and split.get("type") == "ByteLevel"
             and split.get("use_regex")
             and not split.get("add_prefix_space")
+            and not any(token["content"] == " " or _PLAIN(token["content"]) for token in spec["added_tokens"])
         )
         self.added = [token["content"] for token in spec["added_tokens"]]
         self.size = self.tokenizer.get_vocab_size()
         self.width = np.dtype("<u2") if self.size <= 1 << 16 else np.dtype("<u4")
         self.typecode = "H" if self.width.itemsize == 2 else "I"
-        self.chunks = _Recent(self._after_space, CACHE_BYTES)
-        self.bare = _Recent(self._piece, CACHE_BYTES // 8)
+        self.model = self.tokenizer.model
+        self.pieces = _Recent(self._made, CACHE_BYTES)
 
     def _bytes(self, ids: list[int]) -> bytes:
         return array(self.typecode, ids).tobytes()
 
-    def _piece(self, piece: str) -> bytes:
-        return self._bytes([token.id for token in self.tokenizer.model.tokenize(_spelled(piece))])
-
-    def _known(self, piece: str) -> bytes:
-        """A word after a space is remembered as the chunk it is, anything else as it stands."""
-        return self.chunks[piece[1:]] if piece[0] == " " and piece[1].isalpha() else self.bare[piece]
-
-    def _chunk(self, text: str) -> bytes:
-        plain = _PLAIN(text)
-        if sum(map(len, plain)) != len(text):
-            spelled = [piece for piece, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
-            return b"".join(self._bytes([token.id for token in self.tokenizer.model.tokenize(piece)]) for piece in spelled)
-        return self._piece(plain[0]) if len(plain) == 1 else b"".join(map(self._known, plain))
+    def _whole(self, text: str) -> bytes:
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
-    def _after_space(self, chunk: str) -> bytes | None:
-        """The ids of the chunk with its space; none if more space follows, as the cut is then elsewhere."""
-        if chunk.isascii() and chunk.isalpha():
-            return self._bytes([token.id for token in self.tokenizer.model.tokenize(_SPACE + chunk)])
-        return self._chunk(f" {chunk}") if chunk and not chunk[0].isspace() else None
+    def _odd(self, piece: str) -> bytes:
+        if any(token in piece for token in self.added):
+            return self._whole(piece)
+        spelled = [part for part, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(piece)]
+        return self._bytes([token.id for part in spelled for token in self.model.tokenize(part)])
+
+    def _made(self, pieces: list[str]) -> list[bytes]:
+        plain = [*map(_PLAIN, pieces)]
+        alike = [piece for piece, fits in zip(pieces, plain, strict=True) if fits]
+        ids, sizes = [], []
+        for signs in _spelled(alike) if alike else []:
+            split = self.model.tokenize(signs)
+            sizes.append(len(split))
+            ids += [token.id for token in split]
+        every, at, width = self._bytes(ids), 0, self.width.itemsize
+        cuts = iter(np.cumsum(np.array(sizes, np.int64) * width).tolist())
+        out = []
+        for piece, fits in zip(pieces, plain, strict=True):
+            if fits:
+                before, at = at, next(cuts)
+                out.append(every[before:at])
+            else:
+                out.append(self._odd(piece))
+        return out
+
+    def _special(self, texts: pa.Array) -> np.ndarray:
+        found = np.zeros(len(texts), bool)
+        for token in self.added:
+            found |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+        return found
+
+    def encoded(self, texts: pa.Array, end: bytes = b"") -> pa.Array:
+        """The ids of each text (no nulls) and ``end``, as little-endian unsigned integers of the vocabulary's width."""
+        if not self.cut:
+            return pa.array([self._whole(text) + end for text in texts.to_pylist()], pa.binary())
+        texts = texts.cast(pa.string())
+        at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        at -= at[0]
+        if not len(data):
+            return pa.array([end] * len(texts), pa.binary())
+        cuts = _all_cuts(data, at)
+        special = np.flatnonzero(self._special(texts))
+        if len(special):
+            inside = np.zeros(len(data) + 1, np.int8)
+            np.add.at(inside, at[special] + 1, 1)
+            np.add.at(inside, at[special + 1], -1)
+            cuts = cuts[np.cumsum(inside, dtype=np.int8)[cuts] == 0]
+        offsets = pa.py_buffer(np.append(cuts, len(data)).astype(np.int32))
+        pieces = pa.StringArray.from_buffers(len(cuts), offsets, pa.py_buffer(data)).dictionary_encode()
+        different, known = pieces.dictionary, []
+        for first in range(0, len(different), TOGETHER):
+            known += self.pieces.values(different.slice(first, TOGETHER).to_numpy(zero_copy_only=False).tolist())
+        ids = pa.array([*known, end], pa.binary())
+        ends = np.searchsorted(cuts, at[1:])  # pieces up to the end of each text
+        every = np.insert(pieces.indices.to_numpy(), ends, len(known))
+        out = ids.take(pa.array(every))
+        last = np.frombuffer(out.buffers()[1], np.int32)[: len(out) + 1][ends + np.arange(1, len(texts) + 1)]
+        return pa.BinaryArray.from_buffers(
+            pa.binary(), len(texts), [None, pa.py_buffer(np.append(0, last).astype(np.int32)), out.buffers()[2]]
+        )
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned integers of the vocabulary's width."""
-        if self.cut and not any(token in text for token in self.added):
-            first, *rest = text.split(" ")
-            try:
-                return self._chunk(first) + b"".join(map(self.chunks.__getitem__, rest))
-            except TypeError:  # a chunk without ids of its own
-                pass
-        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return self.encoded(pa.array([text], pa.string()))[0].as_py()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -186,28 +312,37 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 def pack(ids: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """The bits of ``ids``, and the bit offset of every ``CHECKPOINT_IDS``-th of them; in steps that fit a cache."""
-    sizes = lengths.astype(np.uint8)
+    """The bits of ``ids``, and the bit offset of every ``CHECKPOINT_IDS``-th of them; in steps that fit a cache.
+
+    Two successive codes, of 40 bits at most, are moved as one.
+    """
+    sizes = np.append(lengths.astype(np.uint8), np.uint8(0))  # the last is that of a filler
+    codes = np.append(codes.astype(np.uint64), np.uint64(0))
     total = int(np.bincount(ids, minlength=len(lengths)) @ lengths.astype(np.int64)) if len(ids) else 0
-    out = np.zeros((total >> 5) + 2 if len(ids) else 0, np.uint64)
+    out = np.zeros((total >> 6) + 2 if len(ids) else 0, np.uint64)
     checkpoints, at = [], 0
     for first in range(0, len(ids), PACK_IDS):
-        part = ids[first : first + PACK_IDS]
-        size = sizes[part].astype(np.int64)
-        starts = np.cumsum(size)
-        end = at + int(starts[-1])
-        starts += at - size
-        checkpoints.append(starts[::CHECKPOINT_IDS].copy())
-        window = codes[part] << (64 - size - (starts & 31)).astype(np.uint64)
-        low = at >> 5
-        word = (starts >> 5) - low
-        n = (end >> 5) - low + 2
-        # Bits of different ids never meet, so the sums are below 2**32 and exact as doubles.
-        sums = np.bincount(word, (window >> np.uint64(32)).astype(np.float64), n)
-        sums[1:] += np.bincount(word, (window & np.uint64(0xFFFFFFFF)).astype(np.float64), n)[:-1]
-        out[low : low + n] += sums[: len(out) - low].astype(np.uint64)
-        at = end
-    return out.astype(">u4").tobytes(), np.concatenate([*checkpoints, np.zeros(0, np.int64)])
+        part = ids[first : first + PACK_IDS].astype(np.int64)
+        if len(part) % 2:
+            part = np.append(part, len(lengths))
+        left, right = part[::2], part[1::2]
+        low_size = sizes[right].astype(np.uint64)
+        value = codes[left] << low_size | codes[right]
+        size = sizes[left].astype(np.int64) + low_size.view(np.int64)
+        ends = np.cumsum(size) + at
+        starts = ends - size
+        checkpoints.append(starts[:: CHECKPOINT_IDS // 2].copy())
+        word = starts >> 6
+        room = 64 - (starts & 63) - size  # bits left behind the codes in their word
+        over = np.flatnonzero(room < 0)
+        head = value << np.maximum(room, 0).view(np.uint64)
+        head[over] = value[over] >> (-room[over]).view(np.uint64)
+        firsts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        # Bits of different codes never meet, so sums are unions.
+        out[word[firsts]] += np.add.reduceat(head, firsts)
+        out[word[over] + 1] += value[over] << (64 + room[over]).view(np.uint64)
+        at = int(ends[-1])
+    return out.astype(">u8").tobytes(), np.concatenate([*checkpoints, np.zeros(0, np.int64)])
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, int]:
@@ -237,6 +372,17 @@ def unpack(data: bytes, checkpoints: np.ndarray, n_ids: int, table: np.ndarray,
     return out.T.reshape(-1)[:n_ids]
 
 
+def _stretches(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """Both columns of the batch, in runs of rows of about ``STRETCH_BYTES`` of text; at least one row each."""
+    sizes = pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes, dtype=np.int64), 0
+    while at < len(sizes):
+        before = int(ends[at - 1]) if at else 0
+        n = max(1, int(np.searchsorted(ends, before + STRETCH_BYTES, "right")) - at)
+        yield batch.column(0).slice(at, n), batch.column(1).slice(at, n)
+        at += n
+
+
 def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame:
     """``doc_id``, ``range``, ``before``, ``n`` and ``ids`` in ascending order of doc_id, landed.
 
@@ -250,27 +396,26 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int = END_ID) -> DataFrame
     rows = rows.repartitionByRange("doc_id", "_hash").sortWithinPartitions(*order)
     rows = rows.select(F.col("doc_id").cast("string"), "text")  # as text, since pandas has no whole numbers with nulls
 
-    def tokenized(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tokenized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, before = encoder(vocabulary), 0
         end = np.array([end_id], own.width).tobytes()
         here = TaskContext.get().partitionId()
         counts = np.zeros(max(own.size, end_id + 1), np.int64)
         for batch in batches:
-            ids = [own.encode(text) + end for text in batch["text"]]
-            sizes = np.array([len(x) // own.width.itemsize for x in ids], np.int64)
-            ends = before + np.cumsum(sizes)
-            counts += np.bincount(np.frombuffer(b"".join(ids), own.width), minlength=len(counts))
-            yield pd.DataFrame(
-                {"doc_id": batch["doc_id"], "range": here, "before": ends - sizes, "n": sizes, "ids": ids, "counts": None}
-            )
-            before = int(ends[-1]) if len(ends) else before
+            for doc_ids, texts in _stretches(batch):
+                ids = own.encoded(texts, end)
+                ends = np.frombuffer(ids.buffers()[1], np.int32).astype(np.int64) // own.width.itemsize
+                counts += np.bincount(np.frombuffer(ids.buffers()[2], own.width, int(ends[-1])), minlength=len(counts))
+                n, sizes = len(ids), np.diff(ends)
+                numbers = [pa.array(x) for x in (np.full(n, here, np.int32), before + ends[:-1], sizes)]
+                yield pa.RecordBatch.from_arrays([doc_ids, *numbers, ids, pa.nulls(n, pa.binary())], schema=_ENCODED)
+                before += int(ends[-1])
         if before:
-            yield pd.DataFrame(
-                {"doc_id": [None], "range": here, "before": before, "n": 0, "ids": None, "counts": [counts.tobytes()]}
-            )
+            last = {"range": here, "before": before, "n": 0, "counts": counts.tobytes()}
+            yield pa.RecordBatch.from_pylist([last], _ENCODED)
 
     schema = "doc_id string, range int, before long, n long, ids binary, counts binary"
-    return landed(rows.mapInPandas(tokenized, schema), "token-ids")
+    return landed(rows.mapInArrow(tokenized, schema), "token-ids")
 
 
 def _width(vocabulary: str) -> np.dtype:

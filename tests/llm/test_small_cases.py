@@ -11,6 +11,7 @@ from math import inf
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from corpus_cases import awkward_texts, documents, none_of, sentence, words
 from pyspark.sql import functions as F
@@ -246,6 +247,39 @@ def test_chunked_encoding_equals_the_library():
         assert np.frombuffer(own.encode(text), own.width).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_texts_encoded_in_bulk_equal_the_library():
+    rng = random.Random(4)
+    tokenizer, own = Tokenizer.from_file(VOCABULARY), tokens.Encoder(VOCABULARY)
+    signs = ["a", "Z", " ", "  ", " w", "\n", "\n\n", "'s", "7", ".", "é", "÷", "ɏ", "ɐ", "²", "\u00a0", "\u0301", "漢", "<|endoftext|>"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 20))) for _ in range(4000)]
+    found = own.encoded(pa.array(["left out", *texts]).slice(1), b"\x02\x00").to_pylist()
+    for text, ids in zip(texts, found, strict=True):
+        assert np.frombuffer(ids, own.width).tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 2]
+
+
+def test_each_word_asks_the_library_once_whatever_stands_beside_it(monkeypatch):
+    own, asked = tokens.Encoder(VOCABULARY), []
+    monkeypatch.setattr(own.pieces, "make", lambda pieces, make=own._made: asked.extend(pieces) or make(pieces))
+    texts = [f"so word{'abcdefghij'[i % 10]}{sign} so\nword{'abcdefghij'[i % 10]}{sign}" for i in range(500) for sign in ("", ".", ",", "!!")]
+    own.encoded(pa.array(texts))
+    assert len(asked) == len(set(asked)) == 26  # so with and without a space, ten words of both kinds, three signs, the line break
+
+
+def test_bulk_encoding_holds_a_stretch_of_text_at_a_time():
+    rng, own = random.Random(5), tokens.Encoder(VOCABULARY)
+    texts = [" ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(600)) for _ in range(5000)]  # 21 MB
+    batch = pa.record_batch([pa.array(map(str, range(len(texts)))), pa.array(texts)], ["doc_id", "text"])
+    stretches = list(tokens._stretches(batch))
+    assert sum(len(part) for _, part in stretches) == 5000 and max(len(part) for _, part in stretches) < 1100
+    tracemalloc.start()
+    try:
+        for _, part in stretches:
+            own.encoded(part)
+        assert own.pieces.held <= tokens.CACHE_BYTES and tracemalloc.get_traced_memory()[1] < 150e6
+    finally:
+        tracemalloc.stop()
+
+
 @pytest.mark.parametrize("kinds", [1, 2, 3, 200, 5000])
 def test_huffman_blocks(kinds):
     rng = np.random.default_rng(kinds)
