@@ -553,6 +553,56 @@ def test_families_with_a_common_segment_are_told_apart(spark):
     assert [found[i].first_docs for i in range(len(texts))] == [[first[root(x)]] for x in texts]
 
 
+def exchanged(rng, base, choices, n):
+    """A line with other words in ``n`` of its places, out of those that each place has to choose from."""
+    line = base.split(" ")
+    for at in rng.sample(range(len(line)), n):
+        line[at] = choices[at][rng.randrange(len(choices[at]))]
+    return " ".join(line)
+
+
+def test_variants_of_one_long_line_meet_few_others(spark):
+    """Each exchange of a word is in several lines, so no gram is in one line alone."""
+    rng = random.Random(26)
+    word = lambda: "".join(rng.choice("aeinorst") for _ in range(6))
+    base = " ".join(word() for _ in range(60))
+    made = []
+    for n in (150, 600):
+        choices = [[word() for _ in range(n // 75)] for _ in range(60)]
+        texts = [exchanged(rng, base, choices, 3) for _ in range(n)]
+        texts += [texts[0][:30] + "X" + texts[0][31:], texts[1][:-1] + "é"]
+        pairs, found = pairs_of(spark, texts)
+        made.append(pairs)
+        own = {r.doc_id: r.first_docs for r in found}
+        assert own[n] == own[0] and own[n + 1] == own[1]
+    assert made[1] <= 8 * made[0] + 50 and made[1] <= 12 * 600, made
+
+
+def test_variants_of_one_long_line_are_told_apart(spark):
+    """Exchanged words and edits, also some that only lines other than the bucket's first connect."""
+    rng = random.Random(27)
+    word = lambda: "".join(rng.choice("aeinorst") for _ in range(rng.randint(1, 8)))
+    base = " ".join(word() for _ in range(50))
+    choices = [[word() for _ in range(3)] for _ in range(50)]
+    texts = [changed(rng, exchanged(rng, base, choices, rng.randint(0, 2)), rng.randint(0, 2)) for _ in range(250)]
+    texts += [changed(rng, rng.choice(texts), rng.randint(1, 3)).strip() for _ in range(150)]
+    distinct = sorted(set(texts))
+    parent = {x: x for x in distinct}
+
+    def root(x):
+        return x if parent[x] == x else root(parent[x])
+
+    for a, b in itertools.combinations(distinct, 2):
+        if linedups.within(a, b):
+            parent[root(a)] = root(b)
+    first = {}
+    for i, x in enumerate(texts):
+        first.setdefault(root(x), i)
+    found = {r.doc_id: r for r in linedups.summarized(documents(spark, texts)).collect()}
+    assert [found[i].first_docs for i in range(len(texts))] == [[first[root(x)]] for x in texts]
+    assert 50 < len(first) < len(distinct) - 50, (len(first), len(distinct))
+
+
 def test_very_long_lines_are_compared_as_a_whole(spark):
     rng = random.Random(23)
     line = sentence(rng, 20_000)[:100_000]
