@@ -553,6 +553,24 @@ def test_families_with_a_common_segment_are_told_apart(spark):
     assert [found[i].first_docs for i in range(len(texts))] == [[first[root(x)]] for x in texts]
 
 
+def test_key_counts_reach_the_driver_in_few_jobs(spark):
+    """Not in one job per partition, of which there are many on a large cluster."""
+    rows = spark.range(1000).select(F.xxhash64("id").alias("key"))
+    set_to = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in set_to}
+    jobs = lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))
+    try:
+        for name, value in set_to.items():
+            spark.conf.set(name, value)
+        earlier = jobs()
+        counts = linedups.sketch.counted(rows, linedups._longs("key"), 1 << 17)
+        assert 1 <= jobs() - earlier <= 8
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+    assert counts.sum() == 1000
+
+
 def exchanged(rng, base, choices, n):
     """A line with other words in ``n`` of its places, out of those that each place has to choose from."""
     line = base.split(" ")
